@@ -1,0 +1,182 @@
+"""Mining in arrival order with keyed state (ST2).
+
+Keyed by the token count ``n`` the outcome is that of one worker that reads all
+lines in order, because lines of different length never meet. Keyed by ``n``
+and the leading tokens, work spreads further, at the price that lines of
+different leading tokens never meet either.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from loomline.functions import tokens as T
+from loomline.operators.lines import with_tokens
+from loomline.options import MinerOptions
+
+OUTPUT = ("line_id LONG, change_type STRING, cluster_id STRING, cluster_size LONG, "
+          "template_mined STRING")
+STATE = "kind STRING, path ARRAY<STRING>, tokens ARRAY<STRING>, sources ARRAY<LONG>, size LONG"
+
+
+def _similar(template: list[str], line: list[str], wildcard: str) -> tuple[float, int]:
+    if not template:
+        return 1.0, 0
+    same = sum(t == x != wildcard for t, x in zip(template, line))
+    return same / len(template), template.count(wildcard)
+
+
+class ArrivalState:
+    """Records of one key: ``template`` (sources: the raw lines it came from),
+    ``raw`` (a line not yet absorbed) and ``fused`` (what users see)."""
+
+    def __init__(self, options: MinerOptions, records: dict[str, dict]):
+        self.options = options
+        self.records = records
+        self.changed: dict[str, dict | None] = {}
+        self.leaves: dict[tuple, list[str]] = {}
+        self.children: dict[tuple, set[str]] = {}
+        self.fused_of: dict[int, str] = {}
+        self.pool: dict[str, None] = {}
+        for key in sorted(records, key=lambda k: int(k[1:])):
+            self._index(key, records[key])
+        self.next_id = 1 + max((int(k[1:]) for k in records), default=0)
+
+    def _index(self, key: str, record: dict) -> None:
+        if record["kind"] == "template":
+            path = tuple(record["path"])
+            self.leaves.setdefault(path, []).append(key)
+            for i, token in enumerate(path):
+                self.children.setdefault(path[:i], set()).add(token)
+        elif record["kind"] == "raw":
+            self.pool[key] = None
+        else:
+            for source in record["sources"]:
+                self.fused_of.setdefault(source, key)
+
+    def _put(self, prefix: str, **record) -> str:
+        key = f"{prefix}{self.next_id}"
+        self.next_id += 1
+        self.records[key] = self.changed[key] = record
+        self._index(key, record)
+        return key
+
+    def _path_of(self, tokens: list[str], add: bool) -> tuple | None:
+        """The leaf of a token list; with ``add``, the one it is stored under."""
+        wildcard, path = self.options.wildcard, ()
+        for token in tokens[:max(min(self.options.depth - 2, len(tokens)) - 1, 0)]:
+            known = self.children.get(path, set())
+            if token not in known:
+                if not add and wildcard not in known:
+                    return None
+                room = len(known) + (wildcard not in known) < self.options.max_children
+                numeric = self.options.numeric_tokens and any(c.isdigit() for c in token)
+                token = token if add and room and not numeric else wildcard
+            path += (token,)
+        return path
+
+    def _best(self, keys: list[str], line: list[str]) -> str | None:
+        """Most similar, then most wildcards, then oldest; None below the bar."""
+        scored = [(_similar(self.records[k]["tokens"], line, self.options.wildcard), -int(k[1:]), k)
+                  for k in keys]
+        if not scored:
+            return None
+        (sim, _), _, key = max(scored)
+        return key if sim >= self.options.sim_th else None
+
+    def _merge(self, a: list[str], b: list[str]) -> list[str]:
+        return [x if x == y else self.options.wildcard for x, y in zip(a, b)]
+
+    def _fuse(self, tokens: list[str], sources: list[int]) -> str:
+        owner = next((self.fused_of[s] for s in sources if s in self.fused_of), None)
+        if owner is None:
+            return self._put("f", kind="fused", path=[], tokens=tokens, sources=sources, size=1)
+        record = self.records[owner]
+        record.update(tokens=self._merge(record["tokens"], tokens), size=record["size"] + 1,
+                      sources=list(dict.fromkeys([*record["sources"], *sources])))
+        self.changed[owner] = record
+        self._index(owner, record)
+        return owner
+
+    def add(self, line_id: int, tokens: list[str]) -> tuple[str, str]:
+        """Take in one line; returns (change type, key of the fused record)."""
+        path = self._path_of(tokens, add=False)
+        hit = self._best(self.leaves.get(path, []), tokens) if path is not None else None
+        if hit is not None:
+            record = self.records[hit]
+            merged = self._merge(record["tokens"], tokens)
+            kind = "none" if merged == record["tokens"] else "changed"
+            record.update(tokens=merged, size=record["size"] + 1)
+            self.changed[hit] = record
+            return kind, self._fuse(merged, record["sources"])
+        partner = self._best(list(self.pool), tokens)
+        merged, sources = tokens, [line_id]
+        if partner is not None:
+            old = self.records.pop(partner)
+            del self.pool[partner]
+            self.changed[partner] = None
+            merged, sources = self._merge(old["tokens"], tokens), [*old["sources"], line_id]
+        self._put("r", kind="raw", path=[], tokens=tokens, sources=[line_id], size=1)
+        self._put("t", kind="template", path=list(self._path_of(merged, add=True)),
+                  tokens=merged, sources=sources, size=1)
+        return "created", self._fuse(merged, sources)
+
+
+class ArrivalMiner(StatefulProcessor):
+    """Keeps one map entry per record; a batch rewrites only changed ones."""
+
+    def __init__(self, options: MinerOptions):
+        self.options = options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("records", "id STRING", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        names = ("kind", "path", "tokens", "sources", "size")
+        records = {k[0]: dict(zip(names, (v[0], list(v[1]), list(v[2]), list(v[3]), v[4])))
+                   for k, v in self.state.iterator()}
+        miner = ArrivalState(self.options, records)
+        tag = "/".join(str(k) for k in key)
+        # Lines of one key and one micro-batch, put in order.
+        batch = pd.concat(list(rows)).sort_values("line_id")
+        out = []
+        for line_id, tokens in zip(batch["line_id"], batch["tokens"]):
+            change, owner = miner.add(int(line_id), list(tokens))
+            fused = miner.records[owner]
+            out.append((int(line_id), change, f"{tag}:{owner}", fused["size"],
+                        " ".join(fused["tokens"])))
+        for name, record in miner.changed.items():
+            if record is None:
+                self.state.removeKey((name,))
+            else:
+                self.state.updateValue((name,), tuple(record[c] for c in names))
+        yield pd.DataFrame(out, columns=["line_id", "change_type", "cluster_id", "cluster_size",
+                                         "template_mined"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_mine_stateful(lines: DataFrame, options: MinerOptions, by_prefix: bool = False,
+                         text_col: str = "text") -> DataFrame:
+    """One result row per line, in arrival order per key, with running sizes.
+
+    Needs the RocksDB state store. The rows of one key and micro-batch are
+    sorted in memory, so the trigger's input bound is the bound of a group.
+    """
+    tagged = with_tokens(lines, options, text_col).withColumn("n", F.size("tokens"))
+    keys = [F.col("n")]
+    if by_prefix:
+        keys.append(F.array_join(T.prefix_key(
+            F.col("tokens"), F.col("n"), options.depth, options.numeric_tokens,
+            options.wildcard), T.SEP).alias("prefix"))
+    return (tagged.select("line_id", "tokens", *keys)
+            .groupBy("n", *(["prefix"] if by_prefix else []))
+            .transformWithStateInPandas(
+                statefulProcessor=ArrivalMiner(options), outputStructType=OUTPUT,
+                outputMode="Append", timeMode="None"))
