@@ -17,10 +17,10 @@ def joint_counts(grouped: DataFrame, labels: DataFrame, keys: Sequence[str] = ()
     keys = list(keys)
     joint = (grouped.select(*keys, on, "cluster_id").join(
         labels.select(*keys, on, "event_id"), [*keys, on])
-        .groupBy(*keys, "cluster_id", "event_id").agg(F.count("*").alias("both")))
+        .groupBy(*keys, "cluster_id", "event_id").agg(F.count("*").alias("common")))
     by_cluster = joint.groupBy(*keys, "cluster_id").agg(
-        F.sum("both").alias("cluster_lines"), F.count("*").alias("labels_inside"))
-    by_label = joint.groupBy(*keys, "event_id").agg(F.sum("both").alias("label_lines"))
+        F.sum("common").alias("cluster_lines"), F.count("*").alias("labels_inside"))
+    by_label = joint.groupBy(*keys, "event_id").agg(F.sum("common").alias("label_lines"))
     return (joint.join(by_cluster, [*keys, "cluster_id"])
             .join(by_label, [*keys, "event_id"]))
 
@@ -29,12 +29,12 @@ def grouping_accuracy(grouped: DataFrame, labels: DataFrame, keys: Sequence[str]
                       ) -> DataFrame:
     """Share of lines in clusters that hold exactly the lines of one label."""
     counts = joint_counts(grouped, labels, keys)
-    exact = ((F.col("both") == F.col("cluster_lines"))
-             & (F.col("both") == F.col("label_lines")))
+    exact = ((F.col("common") == F.col("cluster_lines"))
+             & (F.col("common") == F.col("label_lines")))
     return counts.groupBy(*keys).agg(
-        F.sum("both").alias("lines"),
-        F.sum(F.when(exact, F.col("both")).otherwise(0)).alias("exact_lines"),
-        F.round(F.sum(F.when(exact, F.col("both")).otherwise(0)) / F.sum("both"), 4)
+        F.sum("common").alias("lines"),
+        F.sum(F.when(exact, F.col("common")).otherwise(0)).alias("exact_lines"),
+        F.round(F.sum(F.when(exact, F.col("common")).otherwise(0)) / F.sum("common"), 4)
         .alias("accuracy"))
 
 
@@ -46,8 +46,8 @@ def grouping_errors(grouped: DataFrame, labels: DataFrame, keys: Sequence[str] =
     wrong = (F.when(F.col("labels_inside") > 1, "impure")
              .when(F.col("cluster_lines") < F.col("label_lines"), "incomplete"))
     return (counts.withColumn("error", wrong).filter(F.col("error").isNotNull())
-            .withColumn("missing", F.col("label_lines") - F.col("both"))
-            .select(*keys, "cluster_id", "event_id", "error", "both", "cluster_lines",
+            .withColumn("missing", F.col("label_lines") - F.col("common"))
+            .select(*keys, "cluster_id", "event_id", "error", "common", "cluster_lines",
                     "label_lines", "missing"))
 
 

@@ -50,14 +50,24 @@ class Mined:
     templates: DataFrame
 
 
-def compare_literals(leader: Column, tokens: Column, options: MinerOptions) -> Column:
-    """``struct(sim, params)`` of a leader and a member, vetoes included."""
-    plain = S.positional_similarity(leader, tokens, options.wildcard)
+def literal_marks(tokens: Column, wildcard: str) -> Column:
+    """The literals of a sequence, each with its position. Two sequences of the
+    same length agree in as many positions as their marks have in common."""
+    tagged = F.transform(tokens, lambda t, i: F.concat(i.cast("string"), F.lit(T.SEP), t))
+    plain = F.transform(tokens, lambda t: t != wildcard)
+    return F.when(F.forall(plain, lambda p: p), tagged).otherwise(F.filter(
+        tagged, lambda m: ~m.endswith(T.SEP + wildcard)))
+
+
+def compare(leader: Column, member: dict[str, Column], n: Column, options: MinerOptions) -> Column:
+    """Similarity of a leader struct and a member; a veto makes it zero."""
+    common = F.size(F.array_intersect(leader["marks"], member["marks"]))
+    sim = F.when(n == 0, F.lit(1.0)).otherwise(common.cast("double") / n)
     if not options.static_veto:
-        return plain
-    veto = S.static_position_veto(leader, tokens, options.mask_prefix, options.mask_suffix)
-    nothing = F.struct(F.lit(0.0).alias("sim"), F.lit(0).alias("params"))
-    return F.when(veto, nothing).otherwise(plain)
+        return sim
+    veto = S.static_position_veto(leader["tokens"], member["tokens"],
+                                  options.mask_prefix, options.mask_suffix)
+    return F.when((sim >= S.threshold(n, options.sim_th)) & veto, F.lit(0.0)).otherwise(sim)
 
 
 def choose_leaders(open_members: DataFrame, options: MinerOptions) -> DataFrame:
@@ -66,33 +76,34 @@ def choose_leaders(open_members: DataFrame, options: MinerOptions) -> DataFrame:
     runs before the shuffle as well, so large blocks send few rows."""
     order = W.partitionBy("block").orderBy(
         F.desc("known"), F.desc("cnt"), F.asc("first_id"), F.asc("node_id"))
-    top = (open_members.select("block", "n", "known", "cnt", "first_id", "node_id", "tokens")
+    shown = ["node_id", "marks", "params"] + (["tokens"] if options.static_veto else [])
+    top = (open_members.select("block", "n", "known", "cnt", "first_id", *shown)
            .withColumn("rn", F.row_number().over(order))
            .filter(F.col("rn") <= options.round_leaders))
     listed = top.groupBy("block", "n").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "node_id", "tokens"))).alias("ranked"))
-    sim_th = S.threshold(F.col("n"), options.sim_th)
+        F.array_sort(F.collect_list(F.struct("rn", *shown))).alias("ranked"))
+    n = F.col("n")
 
     def keep(kept: Column, candidate: Column) -> Column:
-        covered = F.exists(kept, lambda k: compare_literals(
-            k["tokens"], candidate["tokens"], options)["sim"] >= sim_th)
+        covered = F.exists(kept, lambda k: compare(k, candidate, n, options)
+                           >= S.threshold(n, options.sim_th))
         return F.when(covered, kept).otherwise(F.concat(kept, F.array(candidate)))
 
     none = F.slice("ranked", 1, 0)
     return listed.select("block", F.aggregate("ranked", none, keep).alias("leaders"))
 
 
-def _nearest(leaders: Column, tokens: Column, node_id: Column, rank_base: int,
-             options: MinerOptions) -> Column:
+def _nearest(leaders: Column, rank_base: int, options: MinerOptions) -> Column:
     """Best leader of one round as an ordered struct: similarity, wildcards,
     earlier rank; a leader is its own best."""
+    member = {"marks": F.col("marks"), "tokens": F.col("tokens")}
 
     def scored(leader: Column) -> Column:
-        match = compare_literals(leader["tokens"], tokens, options)
-        own = leader["node_id"] == node_id
+        own = leader["node_id"] == F.col("node_id")
         return F.struct(
-            F.when(own, F.lit(2.0)).otherwise(match["sim"]).alias("sim"),
-            match["params"].alias("params"),
+            F.when(own, F.lit(2.0)).otherwise(compare(leader, member, F.col("n"), options))
+            .alias("sim"),
+            leader["params"].alias("params"),
             (-(leader["rn"] + F.lit(rank_base))).alias("rank"),
             leader["node_id"].alias("leader_id"))
 
@@ -110,7 +121,9 @@ def assign_to_leaders(nodes: DataFrame, options: MinerOptions) -> DataFrame:
     leader so far and counts on the way how many are still without one.
     """
     sim_th = S.threshold(F.col("n"), options.sim_th)
-    members = nodes.withColumn("near", F.lit(None).cast(NEAR))
+    wild = F.filter("tokens", lambda t: t == options.wildcard)
+    members = (nodes.withColumn("marks", literal_marks(F.col("tokens"), options.wildcard))
+               .withColumn("params", F.size(wild)).withColumn("near", F.lit(None).cast(NEAR)))
     carried = [c for c in nodes.columns if c != "block"]
     settled: list[DataFrame] = []
 
@@ -125,8 +138,7 @@ def assign_to_leaders(nodes: DataFrame, options: MinerOptions) -> DataFrame:
             leaders = stage(leaders, "leaders")
             settle(members.join(leaders, "block", "left_anti"))
         near = F.greatest("near", _nearest(
-            F.col("leaders"), F.col("tokens"), F.col("node_id"),
-            turn * options.round_leaders, options))
+            F.col("leaders"), turn * options.round_leaders, options))
         compared = members.join(leaders, "block").withColumn("near", near).drop("leaders")
         still_open = Observation()
         members = stage(

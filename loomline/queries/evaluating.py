@@ -17,10 +17,10 @@ grouped AS (SELECT event_id AS line_id, event_type AS event_id_label,
   CASE WHEN event_type IN ('click', 'view') THEN 'browse'
        WHEN event_type = 'error' AND value < 50 THEN 'error low' ELSE event_type END AS cluster_id
   FROM events),
-joint AS (SELECT cluster_id, event_id_label AS event_id, count(*) AS both FROM grouped GROUP BY ALL),
-counts AS (SELECT *, CAST(sum(both) OVER (PARTITION BY cluster_id) AS BIGINT) AS cluster_lines,
+joint AS (SELECT cluster_id, event_id_label AS event_id, count(*) AS common FROM grouped GROUP BY ALL),
+counts AS (SELECT *, CAST(sum(common) OVER (PARTITION BY cluster_id) AS BIGINT) AS cluster_lines,
   count(*) OVER (PARTITION BY cluster_id) AS labels_inside,
-  CAST(sum(both) OVER (PARTITION BY event_id) AS BIGINT) AS label_lines FROM joint)"""
+  CAST(sum(common) OVER (PARTITION BY event_id) AS BIGINT) AS label_lines FROM joint)"""
 
 
 def grouped_events(spark, sf_dir):
@@ -35,10 +35,10 @@ def grouped_events(spark, sf_dir):
 
 @query("grouping_accuracy", f"""
 WITH {SQL_GROUPED}
-SELECT CAST(sum(both) AS BIGINT) AS lines, CAST(sum(CASE WHEN both = cluster_lines
-         AND both = label_lines THEN both ELSE 0 END) AS BIGINT) AS exact_lines,
-       round(sum(CASE WHEN both = cluster_lines AND both = label_lines THEN both ELSE 0 END)
-         / CAST(sum(both) AS DOUBLE), 4) AS accuracy
+SELECT CAST(sum(common) AS BIGINT) AS lines, CAST(sum(CASE WHEN common = cluster_lines
+         AND common = label_lines THEN common ELSE 0 END) AS BIGINT) AS exact_lines,
+       round(sum(CASE WHEN common = cluster_lines AND common = label_lines THEN common ELSE 0 END)
+         / CAST(sum(common) AS DOUBLE), 4) AS accuracy
 FROM counts""")
 def grouping_accuracy(spark, sf_dir):
     return E.grouping_accuracy(*grouped_events(spark, sf_dir))
@@ -47,7 +47,7 @@ def grouping_accuracy(spark, sf_dir):
 @query("grouping_errors", f"""
 WITH {SQL_GROUPED}
 SELECT cluster_id, event_id, CASE WHEN labels_inside > 1 THEN 'impure' ELSE 'incomplete' END
-         AS error, both, cluster_lines, label_lines, label_lines - both AS missing
+         AS error, common, cluster_lines, label_lines, label_lines - common AS missing
 FROM counts WHERE labels_inside > 1 OR cluster_lines < label_lines""")
 def grouping_errors(spark, sf_dir):
     return E.grouping_errors(*grouped_events(spark, sf_dir))
@@ -83,17 +83,17 @@ od AS (WITH {I.SQL_ORDERS} SELECT 'orders' AS dataset, o_orderstatus AS label,
   regexp_replace(regexp_replace(regexp_replace(regexp_extract(text, '^order (.*?) (.*)$', 2),
   'priority: .* on ', '', 'g'), '\\d+(?:\\.\\d+)?', '<*>', 'g'), '-', '<*>', 'g') AS t FROM lines),
 al AS (SELECT * FROM ev UNION ALL SELECT * FROM he UNION ALL SELECT * FROM od),
-joint AS (SELECT dataset, t, label, count(*) AS both FROM al GROUP BY ALL),
-counts AS (SELECT *, sum(both) OVER (PARTITION BY dataset, t) AS pc,
-  sum(both) OVER (PARTITION BY dataset, label) AS gc FROM joint)"""
+joint AS (SELECT dataset, t, label, count(*) AS common FROM al GROUP BY ALL),
+counts AS (SELECT *, sum(common) OVER (PARTITION BY dataset, t) AS pc,
+  sum(common) OVER (PARTITION BY dataset, label) AS gc FROM joint)"""
 
 
 @query("benchmark_run", f"""
 WITH {SQL_BENCH}
-SELECT dataset, CAST(sum(both) AS BIGINT) AS lines,
-       CAST(sum(CASE WHEN both = pc AND both = gc THEN both ELSE 0 END) AS BIGINT) AS exact_lines,
-       round(sum(CASE WHEN both = pc AND both = gc THEN both ELSE 0 END)
-         / CAST(sum(both) AS DOUBLE), 4) AS accuracy, count(DISTINCT t) AS clusters
+SELECT dataset, CAST(sum(common) AS BIGINT) AS lines,
+       CAST(sum(CASE WHEN common = pc AND common = gc THEN common ELSE 0 END) AS BIGINT) AS exact_lines,
+       round(sum(CASE WHEN common = pc AND common = gc THEN common ELSE 0 END)
+         / CAST(sum(common) AS DOUBLE), 4) AS accuracy, count(DISTINCT t) AS clusters
 FROM counts GROUP BY dataset""")
 def benchmark(spark, sf_dir):
     """Three datasets in one job; at 0.95 every cleaned text is a cluster."""

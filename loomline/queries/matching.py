@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomline.functions import tokens as T
 from loomline.operators import matching as M
 from loomline.operators import params as P
 from loomline.operators.lines import distinct_shapes, with_tokens
@@ -76,23 +75,18 @@ def extract_parameters(spark, sf_dir):
         F.array_join(F.transform("parameters", lambda p: p["mask_name"]), "|").alias("mask_names"))
 
 
-SQL_ORDER_RX = r"^order\s+(.+?)\s+(.+?)\s+(.+?)\s+(.+?)\s+priority:\s+(.+?)(?:\s+(.+?))?\s+on\s+(.+?)$"
-
-
 @query("parameter_values", f"""
 WITH {I.SQL_ORDERS}, t AS (SELECT line_id, string_split(text, ' ') AS w FROM lines)
-SELECT line_id, array_to_string(list_filter(w, lambda x, i: NOT x IN
-         ('order', 'priority:', 'on', 'NOT', 'SPECIFIED') AND NOT starts_with(x, '4-')
-         OR starts_with(x, '4-')), '|') AS param_values
-FROM t WHERE len(w) = 8""")
+SELECT line_id, array_to_string(list_filter(w, lambda x: NOT x IN
+         ('order', 'priority:', 'on', '4-NOT', 'SPECIFIED')), '|') AS param_values
+FROM t""")
 def parameter_values(spark, sf_dir):
     """Order lines against their mined templates, matched loosely."""
     lines = stage(I.order_lines(spark, sf_dir).select("line_id", "text"), "lines")
     options = PLAIN.with_(sim_th=0.3)
     tagged, templates = event_catalog(lines, options)
     out = P.parameter_values(tagged, templates, options)
-    return out.filter(F.size(T.tokenize(F.col("text"))) == 8).select(
-        "line_id", F.array_join("values", "|").alias("param_values"))
+    return out.select("line_id", F.array_join("values", "|").alias("param_values"))
 
 
 @query("parameter_table", f"""

@@ -62,8 +62,12 @@ p{i} AS (
 
 
 SQL_MINED = f"""
-nodes AS (SELECT shape_id AS id, n, tokens, cnt, first_id, last_id FROM shapes),
-{sql_pass(1, 'nodes', I.sql_key('tokens', I.sql_prefix_length(4)), 0.4)},
+heads AS (SELECT *, {I.sql_key('tokens', I.sql_prefix_length(4))} AS head FROM shapes),
+frequent AS (SELECT n, head FROM heads WHERE n > 1 AND head <> '<*>' GROUP BY n, head
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY sum(cnt) DESC, head) <= 99),
+nodes AS (SELECT shape_id AS id, n, tokens, cnt, first_id, last_id, CASE WHEN n < 2 THEN ''
+  WHEN (n, head) IN (SELECT (n, head) FROM frequent) THEN head ELSE '<*>' END AS capped FROM heads),
+{sql_pass(1, 'nodes', 'capped', 0.4)},
 {sql_pass(2, 'p1', I.sql_key('list_reverse(tokens)', I.sql_suffix_length(4)), 0.4)},
 {sql_pass(3, 'p2', "''", 0.4)}"""
 
