@@ -27,17 +27,18 @@ def local_session(app: str = "loomline", cpus: int | str = "*", **conf: str) ->
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder: its
-    executors are threads of this process, so the folder is shared.
+    Where it is unset, the checkpoint folder set on the context is used; only a
+    local session without either gets a temporary folder, which its executors,
+    threads of one process, share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
+    folder = configured or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="loomline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
