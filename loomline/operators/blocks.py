@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.functions import tokens as T
 from loomline.functions.tokens import SEP
+from loomline.operators.ranking import top_per_group
 from loomline.options import MinerOptions
 
 
@@ -53,9 +54,8 @@ def cap_children(shapes: DataFrame, key_col: str, levels: int, options: MinerOpt
         out = out.withColumn("_tok", token)
         counted = (out.filter(F.col("_tok").isNotNull() & (F.col("_tok") != wildcard))
                    .groupBy(*path, "_tok").agg(F.sum("cnt").alias("_w")))
-        order = W.partitionBy(*path).orderBy(F.desc("_w"), F.asc("_tok"))
-        kept = (counted.withColumn("_rn", F.row_number().over(order))
-                .filter(F.col("_rn") <= options.max_children - 1)
+        order = [F.desc("_w"), F.asc("_tok")]
+        kept = (top_per_group(counted, path, order, options.max_children - 1, F.col("_tok"))
                 .select(*path, "_tok", F.lit(True).alias("_keep")))
         out = (out.join(kept, [*path, "_tok"], "left")
                .withColumn("_path", F.when(F.col("_tok").isNull(), F.col("_path")).otherwise(

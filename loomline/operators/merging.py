@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from loomline.functions import tokens as T
+from loomline.operators.ranking import top_per_group
 from loomline.session import stage
 
 
@@ -80,19 +81,13 @@ def line_results(lines: DataFrame, templates: DataFrame, keys: Sequence[str] = (
 
 def retain_templates(templates: DataFrame, max_clusters: int | None,
                      keys: Sequence[str] = (), id_col: str = "template_id") -> DataFrame:
-    """Keep the ``max_clusters`` most recently used templates of each key.
-
-    With keys the rank limit runs before and after the shuffle; without keys it
-    is a top-k.
-    """
+    """Keep the ``max_clusters`` most recently used templates of each key."""
     if max_clusters is None:
         return templates
     order = [F.desc("last_id"), F.asc(id_col)]
     if not keys:
         return templates.orderBy(*order).limit(max_clusters)
-    ranked = templates.withColumn(
-        "_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("_rn") <= max_clusters).drop("_rn")
+    return top_per_group(templates, keys, order, max_clusters, F.col(id_col))
 
 
 def fuse_labels(links: DataFrame, raw_col: str = "shape_id", template_col: str = "template_id"

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.functions.patterns import quote
 from loomline.functions.tokens import SEP
+from loomline.operators.ranking import top_per_group
 from loomline.options import MinerOptions, mask_names
 
 PARAMETERS = "array<struct<value:string,mask_name:string>>"
@@ -115,7 +116,6 @@ def parameter_table(extracted: DataFrame, top: int = 1, keys: Sequence[str] = ()
                .groupBy(*place, "value").agg(F.count("*").alias("value_lines")))
     totals = counted.groupBy(*place).agg(
         F.sum("value_lines").alias("lines"), F.count("*").alias("distinct_values"))
-    order = W.partitionBy(*place).orderBy(F.desc("value_lines"), F.asc("value"))
-    ranked = (counted.withColumn("rank", F.row_number().over(order))
-              .filter(F.col("rank") <= top))
+    order = [F.desc("value_lines"), F.asc("value")]
+    ranked = top_per_group(counted, place, order, top, F.col("value"), "rank")
     return ranked.join(totals, place)

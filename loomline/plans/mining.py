@@ -27,12 +27,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from loomline.functions import similarity as S
 from loomline.functions import tokens as T
 from loomline.operators.blocks import cap_children, key_text
 from loomline.operators.lines import distinct_shapes, with_tokens
+from loomline.operators.ranking import top_per_group
 from loomline.options import MinerOptions
 from loomline.session import stage
 
@@ -74,12 +75,10 @@ def choose_leaders(open_members: DataFrame, options: MinerOptions) -> DataFrame:
     """``(block, leaders)``: the top ranked members of each block that no kept
     one above them covers. At most ``round_leaders`` per block; the rank limit
     runs before the shuffle as well, so large blocks send few rows."""
-    order = W.partitionBy("block").orderBy(
-        F.desc("known"), F.desc("cnt"), F.asc("first_id"), F.asc("node_id"))
+    order = [F.desc("known"), F.desc("cnt"), F.asc("first_id"), F.asc("node_id")]
     shown = ["node_id", "marks", "params"] + (["tokens"] if options.static_veto else [])
-    top = (open_members.select("block", "n", "known", "cnt", "first_id", *shown)
-           .withColumn("rn", F.row_number().over(order))
-           .filter(F.col("rn") <= options.round_leaders))
+    top = top_per_group(open_members.select("block", "n", "known", "cnt", "first_id", *shown),
+                        ["block"], order, options.round_leaders, F.col("node_id"), "rn")
     listed = top.groupBy("block", "n").agg(
         F.array_sort(F.collect_list(F.struct("rn", *shown))).alias("ranked"))
     n = F.col("n")
@@ -122,8 +121,7 @@ def assign_to_leaders(nodes: DataFrame, options: MinerOptions) -> DataFrame:
     """
     sim_th = S.threshold(F.col("n"), options.sim_th)
     wild = F.filter("tokens", lambda t: t == options.wildcard)
-    members = (nodes.withColumn("marks", literal_marks(F.col("tokens"), options.wildcard))
-               .withColumn("params", F.size(wild)).withColumn("near", F.lit(None).cast(NEAR)))
+    members = nodes.withColumn("near", F.lit(None).cast(NEAR))
     carried = [c for c in nodes.columns if c != "block"]
     settled: list[DataFrame] = []
 
@@ -133,13 +131,16 @@ def assign_to_leaders(nodes: DataFrame, options: MinerOptions) -> DataFrame:
     turn = 0
     while True:
         without = F.col("near").isNull() | (F.col("near.sim") < sim_th)
-        leaders = choose_leaders(members.filter(without), options)
+        marked = members.withColumn("marks", literal_marks(F.col("tokens"), options.wildcard))
+        leaders = choose_leaders(
+            marked.filter(without).withColumn("params", F.size(wild)), options)
         if turn > 0:
             leaders = stage(leaders, "leaders")
             settle(members.join(leaders, "block", "left_anti"))
         near = F.greatest("near", _nearest(
             F.col("leaders"), turn * options.round_leaders, options))
-        compared = members.join(leaders, "block").withColumn("near", near).drop("leaders")
+        compared = (marked.join(leaders, "block").withColumn("near", near)
+                    .drop("leaders", "marks"))
         still_open = Observation()
         members = stage(
             compared.observe(still_open, F.count_if(F.col("near.sim") < sim_th).alias("rows")),

@@ -91,8 +91,7 @@ FROM lines WHERE regexp_matches(text, '{SQL_HEADER}')""")
 def number_lines(spark, sf_dir):
     parsed, _ = SL.parse_format(I.header_lines(spark, sf_dir), HEADER,
                                 keep=["line_id", "o_orderdate"])
-    month = F.date_format("o_orderdate", "yyyy-MM")
-    return SL.number_lines(parsed, ["o_orderdate", "line_id"], month).select("LineId", "line_id")
+    return SL.number_lines(parsed, ["o_orderdate", "line_id"]).select("LineId", "line_id")
 
 
 @query("read_labels", f"""

@@ -64,24 +64,32 @@ def parse_format(lines: DataFrame, log_format: str, text_col: str = "text",
     return parsed, rejected
 
 
-def number_lines(lines: DataFrame, order_cols: Sequence[str], bucket: Column,
-                 id_col: str = "LineId") -> DataFrame:
-    """Dense ids 1..n in the order of ``order_cols``.
+def _with_offsets(counted: DataFrame, runs: Sequence[str], id_col: str) -> DataFrame:
+    """Ids for rows that carry ``_mid``, consecutive inside each run.
 
-    ``bucket`` must not decrease along that order (a file, a day, an id range).
-    Rows are ranked inside their bucket and shifted by the rows of the buckets
-    before it, so only the small table of bucket counts is ordered as a whole.
+    Only the table of runs (file splits or partitions) is ordered as a whole;
+    lines are never ranked by a window, so a long run is no hot spot.
     """
-    counted = lines.withColumn("_bucket", bucket)
-    sizes = counted.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = counted.groupBy(*runs).agg(F.count("*").alias("_rows"), F.min("_mid").alias("_start"))
+    before = W.orderBy(*runs).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    ranked = counted.withColumn(
-        "_rank", F.row_number().over(W.partitionBy("_bucket").orderBy(*order_cols)))
-    numbered = ranked.join(offsets, "_bucket").withColumn(
-        id_col, (F.col("_rank") + F.col("_offset")).cast("long"))
-    return numbered.drop("_bucket", "_rank", "_offset")
+        *runs, "_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    ids = (F.col("_mid") - F.col("_start") + F.col("_offset") + 1).cast("long")
+    return (counted.join(offsets, list(runs)).withColumn(id_col, ids)
+            .drop("_mid", "_start", "_offset"))
+
+
+def number_lines(lines: DataFrame, order_cols: Sequence[str], id_col: str = "LineId") -> DataFrame:
+    """Dense ids 1..n in the order of ``order_cols``.
+
+    The lines are range partitioned and sorted once, and written with a counter
+    per partition; the ids are the counter plus the rows of the partitions
+    before.
+    """
+    ordered = (lines.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+               .withColumn("_mid", F.monotonically_increasing_id()))
+    placed = stage(ordered, "ordered").withColumn("_part", F.shiftright("_mid", 33))
+    return _with_offsets(placed, ["_part"], id_col).drop("_part")
 
 
 def number_file_lines(lines: DataFrame, id_col: str = "LineId") -> DataFrame:
@@ -91,6 +99,5 @@ def number_file_lines(lines: DataFrame, id_col: str = "LineId") -> DataFrame:
     order inside it is the order of a per-task counter; the counter is fixed by
     writing it once.
     """
-    counted = stage(lines.withColumn("_pos", F.monotonically_increasing_id()), "lines")
-    return number_lines(counted, ["_pos"], F.struct("source", "block"), id_col).drop("_pos")
-
+    placed = stage(lines.withColumn("_mid", F.monotonically_increasing_id()), "lines")
+    return _with_offsets(placed, ["source", "block"], id_col)

@@ -2,46 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loomline.functions import tokens as T
-from loomline.operators.lines import with_tokens
-from loomline.operators.matching import anchor_templates
+from loomline.operators.lines import distinct_shapes, with_tokens
+from loomline.operators.matching import match_lines
 from loomline.options import MinerOptions
 
 
-def stream_match(lines: DataFrame, templates: DataFrame, options: MinerOptions,
-                 text_col: str = "text") -> DataFrame:
-    """Stateless stream-static match: adds ``template_id`` (NULL if none).
+def match_batch(lines: DataFrame, templates: DataFrame, options: MinerOptions,
+                strategy: str = "always", text_col: str = "text", id_col: str = "line_id"
+                ) -> DataFrame:
+    """Lines with their ``template_id``, NULL where no template fits. Distinct
+    shapes are matched once and joined back."""
+    tokenized = with_tokens(lines, options, text_col)
+    matched = match_lines(distinct_shapes(tokenized, (), id_col), templates, options, strategy)
+    tagged = tokenized.withColumn("shape_id", T.content_id(F.col("tokens"))).drop("tokens")
+    return tagged.join(matched.select("shape_id", "template_id"), "shape_id", "left").drop("shape_id")
 
-    The catalog is grouped per ``(n, pos, token)`` of its anchors and then per
-    length, into one row of anchor to templates; a line keeps being one row, so
-    no aggregation over the stream is needed. The static side is as large as
-    the catalog and joined on ``n``; the planner broadcasts it if it is small.
+
+def stream_match(lines: DataFrame, templates: DataFrame, options: MinerOptions, path: str,
+                 checkpoint: str, strategy: str = "always", text_col: str = "text",
+                 trigger: dict | None = None) -> StreamingQuery:
+    """Match each micro-batch and write it to ``path`` as ``batch=<id>``.
+
+    The match is the batch join, so the catalog may be of any size; no state is
+    kept, and a replayed batch replaces its own folder.
     """
-    wildcard = options.wildcard
-    anchored = anchor_templates(templates.select("template_id", "n", "tokens"), wildcard)
-    place = F.concat_ws(T.SEP, F.col("pos").cast("string"), "token")
-    per_place = anchored.groupBy("n", place.alias("place")).agg(
-        F.array_sort(F.collect_list(F.struct("template_id", "tokens"))).alias("templates"))
-    index = per_place.groupBy("n").agg(
-        F.map_from_entries(F.collect_list(F.struct("place", "templates"))).alias("index"))
-    tagged = with_tokens(lines, options, text_col).withColumn("n", F.size("tokens"))
-    joined = tagged.join(index, "n", "left")
-    places = F.concat(
-        F.array(F.concat(F.lit("0"), F.lit(T.SEP))),
-        F.transform("tokens", lambda t, i: F.concat((i + 1).cast("string"), F.lit(T.SEP), t)))
-    found = F.flatten(F.filter(
-        F.transform(places, lambda p: F.element_at("index", p)), lambda a: a.isNotNull()))
-    sign = -1 if options.prefer == "most_wildcards" else 1
-
-    def agrees(c: Column) -> Column:
-        return F.forall(F.zip_with(c["tokens"], F.col("tokens"),
-                                   lambda t, x: (t == wildcard) | (t == x)), lambda ok: ok)
-
-    def ranked(c: Column) -> Column:
-        wild = F.size(F.filter(c["tokens"], lambda t: t == wildcard))
-        return F.struct((sign * wild).alias("order"), c["template_id"].alias("template_id"))
-
-    best = F.array_min(F.transform(F.filter(found, agrees), ranked))
-    return joined.withColumn("template_id", best["template_id"]).drop("index", "tokens", "n")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        matched = match_batch(batch, templates, options, strategy, text_col)
+        matched.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (lines.writeStream.foreachBatch(step)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

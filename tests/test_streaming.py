@@ -95,8 +95,10 @@ def test_stream_match_equals_batch(spark, golden):
     mined = mine_templates(lines, options)
     extra = lines.unionByName(spark.createDataFrame([(99, "never seen before this"), (98, "")],
                                                     "line_id long, text string"))
-    out = run_to_table(stream_match(as_stream(extra, 2), mined.templates, options)
-                       .select("line_id", "template_id"))
+    path = fresh_dir(spark, "matched")
+    stream_match(as_stream(extra, 2), mined.templates, options, path,
+                 fresh_dir(spark, "progress")).awaitTermination()
+    out = spark.read.parquet(path)
     names = {r["template_id"]: " ".join(r["tokens"]) for r in mined.templates.collect()}
     got = {r["line_id"]: names.get(r["template_id"]) for r in out.collect()}
     assert got[99] is None and got[98] is None
