@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from loomline.functions.patterns import FLAGS, DIGIT, SPACE, mask_token
+from loomline.functions.patterns import DIGIT, SPACE, WHITESPACE, mask_token
 
 SEP = "\u0001"
 
@@ -18,11 +18,11 @@ EDGE_MARKS = r"[,.!?;:]"
 
 def strip_space(text: Column) -> Column:
     """``str.strip`` with its Unicode notion of whitespace."""
-    return F.regexp_replace(text, f"{FLAGS}^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def rstrip_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"{FLAGS}{SPACE}+$", "")
+    return F.rtrim(text, F.lit(WHITESPACE))
 
 
 def tokenize(text: Column, extra_delimiters: Sequence[str] = ()) -> Column:
@@ -31,7 +31,11 @@ def tokenize(text: Column, extra_delimiters: Sequence[str] = ()) -> Column:
     out = strip_space(text)
     for delimiter in extra_delimiters:
         out = F.replace(out, F.lit(delimiter), F.lit(" "))
-    return F.filter(F.split(out, f"{FLAGS}{SPACE}+"), lambda t: t != "")
+    parts = F.split(out, f"{SPACE}+")
+    if extra_delimiters:
+        return F.filter(parts, lambda t: t != "")
+    # After trimming only the empty line leaves an empty part.
+    return F.when(out == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def split_punctuation(token: Column, whole_mask: str) -> Column:

@@ -7,11 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomline.functions import tokens as T
 from loomline.operators.lines import distinct_shapes, with_tokens
 from loomline.options import DEFAULT_MASKS, MinerOptions
-from loomline.sources.lines import split_text
+from loomline.sources.lines import split_text, spread
+
+
+ID = {"events": ["event_id"], "orders": ["o_orderkey"], "documents": ["doc_id"],
+      "lineitem": ["l_orderkey", "l_linenumber"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *ID[name])
 
 
 def money(name: str) -> Column:

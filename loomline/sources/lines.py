@@ -28,6 +28,18 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         text.alias("text"))
 
 
+def spread(scan: DataFrame, *cols: str) -> DataFrame:
+    """Give a scan of few files at least one partition per core, by a hash of
+    ``cols``. Regexes are the main cost of a line, and one file that cannot be
+    split would keep one core busy; a large table has enough splits and is
+    returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *cols)
+
+
 def split_text(documents: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Explode multi-line texts to ``(id, line_no, text)``, one row per line."""
     exploded = documents.select(
