@@ -65,10 +65,6 @@ def mine_items_unmasked(spark, sf):
     return mine_templates(I.item_lines(spark, sf), MinerOptions()).templates
 
 
-def mine_documents(spark, sf):
-    return mine_templates(I.document_lines(spark, sf), MinerOptions()).templates
-
-
 def match_items(spark, sf):
     shapes = stage(distinct_shapes(with_tokens(I.item_lines(spark, sf), MinerOptions())), "shapes")
     catalog = mine_templates(I.event_lines(spark, sf).unionByName(
@@ -96,12 +92,10 @@ HEADLINE = {
     "distinct_shapes_items": shapes_items,
     "mine_items": mine_items,
     "mine_items_unmasked": mine_items_unmasked,
-    "mine_documents": mine_documents,
     "match_items": match_items,
     "extract_items": extract_items,
     "benchmark_run": score_datasets,
     "static_position_veto": QUERIES["static_position_veto"],
-    "fuse_templates": QUERIES["fuse_templates"],
     "stream_match": QUERIES["stream_match"],
 }
 

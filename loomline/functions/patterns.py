@@ -10,8 +10,6 @@ WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 DIGIT = r"[\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468]"
 FLAGS = "(?Ud)"
-
-
 ASCII_FLAGS = "(?d)"
 # "After a non-alphanumeric or at the start" is the same as "not after an
 # alphanumeric", and the JVM tests the second form several times faster.
