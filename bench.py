@@ -95,7 +95,6 @@ HEADLINE = {
     "match_items": match_items,
     "extract_items": extract_items,
     "benchmark_run": score_datasets,
-    "static_position_veto": QUERIES["static_position_veto"],
     "stream_match": QUERIES["stream_match"],
 }
 
