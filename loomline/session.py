@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +26,14 @@ def local_session(app: str = "loomline", cpus: int | str = "*", **conf: str) ->
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Where it is unset, the checkpoint folder set on the context is used; only a
-    local session without either gets a temporary folder, which its executors,
-    threads of one process, share.
+    Where that is unset, the checkpoint folder of the context is used; with
+    neither, a folder inside the warehouse, which a session shares with all of
+    its executors. No machine-local temporary folder is ever used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return folder.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -55,4 +50,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._staged_at = path
+    return written
+
+
+def release(*staged: DataFrame | None) -> None:
+    """Delete tables written by ``stage`` that no plan needs any more."""
+    for df in staged:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
