@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomline.llm import html_text, mixing, packing, pii, quality_rules, toxicity, warc
+from loomline.llm import html_text, jaccard_join, lattice_dedup, mixing, packing, pii, quality_rules, toxicity, warc
 from loomline.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,49 @@ def pii_key(spark: SparkSession) -> str:
     return spark.conf.get(PII_KEY, "registered query")
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS to_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.to_id)
+SELECT id AS vec_id, (SELECT count(*) FROM l WHERE l.a = r.id) AS n_links, min(to_id) AS component_id,
+       id = min(to_id) AS kept FROM r GROUP BY id"""
+
+
+@query("op1_lattice_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).drop("core_size")
+
+
 @query("op2_html_text")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)),
+      lambda i: array_to_string(list_slice(w, i, i + 2), ' ')))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT s, len(s) AS n, min(doc_id) AS id FROM s GROUP BY s),
+e AS (SELECT id, n, unnest(s) AS x FROM c),
+l AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id
+      AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT id, id AS to_id FROM c UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.to_id),
+k AS (SELECT id, min(to_id) AS component FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(k.component, w.doc_id) AS component_id
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c USING (s) LEFT JOIN k USING (id)"""
+
+
+@query("op4_jaccard_join", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 @query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -69,11 +107,11 @@ OP9_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT *, list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: list_slice(w, i, i + 4)) AS ws FROM t),
-pos AS (SELECT rowid_ AS r, unnest(range(1, len(ws) + 1)) AS at, unnest(ws) AS k
+places AS (SELECT rowid_ AS r, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS k
         FROM (SELECT row_number() OVER () AS rowid_, * FROM win)),
-dup AS (SELECT r, at, lag(at) OVER (PARTITION BY r ORDER BY at) AS last
-        FROM (SELECT r, at, count(*) OVER (PARTITION BY r, k) AS n FROM pos) WHERE n > 1),
-rep AS (SELECT r, sum(least(5, at - coalesce(last, -5)))::BIGINT AS n FROM dup GROUP BY r),
+dup AS (SELECT r, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS prev
+        FROM (SELECT r, pos, count(*) OVER (PARTITION BY r, k) AS n FROM places) WHERE n > 1),
+rep AS (SELECT r, sum(least(5, pos - coalesce(prev, -5)))::BIGINT AS n FROM dup GROUP BY r),
 c AS (SELECT row_number() OVER () AS r, doc_id, len(w)::BIGINT AS n_words,
              length(array_to_string(w, ''))::BIGINT AS word_chars,
              (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
