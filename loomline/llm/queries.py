@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomline.llm import html_text, jaccard_join, lattice_dedup, mixing, packing, pii, quality_rules, toxicity, warc
+from loomline.llm import (
+    html_text, jaccard_join, lattice_dedup, mixing, packing, pii, quality_rules, suffix_tree,
+    toxicity, warc)
 from loomline.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +58,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query("op3_suffix_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder("doc_id") == 1
+    scored = suffix_tree.learn_and_score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
