@@ -160,6 +160,14 @@ def content_blocks(blocks: list[tuple[str, int, bool]], sigma: float = 1.0,
     spread = math.sqrt(sum((v - mean) ** 2 for v in smoothed) / len(smoothed))
     least = min(share * spread, mean)
     dense = [v >= least for v in smoothed]
+    # Smoothing carries a region over its borders: thin blocks at its ends are not part of it.
+    for order in (range(len(dense)), range(len(dense) - 1, -1, -1)):
+        border = True
+        for i in order:
+            if dense[i] and border and ratios[i] < least / 10:
+                dense[i] = False
+            else:
+                border = not dense[i]
     if any(d and inside for d, (*_, inside) in zip(dense, blocks)):
         return [text for text, _, inside in blocks if inside]
     return [text for d, (text, *_) in zip(dense, blocks) if d]
