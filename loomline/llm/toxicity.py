@@ -1,10 +1,10 @@
 """Toxicity (8): votes of the nearest labelled examples by exact TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled rows (``max_examples``, those of least
-hash). The vocabulary is the words, and the beginnings of words, whose presence
-goes with the label beyond chance (log-likelihood ratio), at most
-``max_features`` of them; so the cosine is taken over what tells the classes
-apart, and the rest of a text, however long, does not blur it. Examples with the
+hash). The vocabulary is the words, and the beginnings of words, that are more
+frequent under label 1, beyond chance (log-likelihood ratio), at most
+``max_features`` of them; so the cosine is taken over what speaks for toxicity,
+and the rest of a text, however long, does not blur it. Examples with the
 same vector are one example with counts.
 
 The index is an inverted index in blocks of examples with the largest weight of
@@ -30,12 +30,14 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(r"\w+")
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 BLOCK = 64
+TIE = 1e-12
 NEAR = 0.05  # distance at which a vote counts half of that of an equal vector
 
 
@@ -44,6 +46,21 @@ def terms_of_word(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def without_nested(terms: list[str]) -> list[int]:
+    """Places of the terms that are no beginning or continuation of an earlier one, so
+    that a word counts once in a vector."""
+    taken: set[str] = set()
+    beginnings: set[str] = set()
+    out = []
+    for i, term in enumerate(terms):
+        own = set(terms_of_word(term.rstrip("*"))) | {term}
+        if term not in beginnings and not own & taken:
+            out.append(i)
+            taken.add(term)
+            beginnings |= own
+    return out
+
+
 @dataclass
 class Example:
     vector: tuple[tuple[int, float], ...]
@@ -62,15 +79,23 @@ class Model:
     k: int
     base: float
     steps: tuple[list[float], list[float]] = field(default=((), ()))
-    postings: list[dict[int, list[tuple[int, float]]]] = field(default_factory=list)
-    maxima: list[list[tuple[int, float]]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.postings = [defaultdict(list) for _ in self.idf]
+        """Postings by term, in blocks of examples: (examples, weights), and for each
+        block that a term is in, its largest weight there."""
+        lists: list[list[tuple[int, float]]] = [[] for _ in self.idf]
         for i, example in enumerate(self.examples):
             for term, weight in example.vector:
-                self.postings[term][i // BLOCK].append((i, weight))
-        self.maxima = [[(b, max(w for _, w in rows)) for b, rows in p.items()] for p in self.postings]
+                lists[term].append((i, weight))
+        self.postings, self.maxima = [], []
+        for rows in lists:
+            ids = np.array([i for i, _ in rows], dtype=np.int64)
+            weights = np.array([w for _, w in rows])
+            blocks, first = np.unique(ids // BLOCK, return_index=True)
+            most = np.maximum.reduceat(weights, first) if len(ids) else weights
+            self.postings.append((ids, weights))
+            self.maxima.append((blocks, most))
+        self.rows = np.array([e.toxic + e.clean for e in self.examples], dtype=np.int64)
         self.memory: dict[tuple, tuple] = {}
 
     def vector(self, counts: dict[int, int]) -> tuple[tuple[int, float], ...]:
@@ -82,35 +107,35 @@ class Model:
                 ) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest labelled rows and all ties with the
         last, by falling cosine; exact. ``left_out``: one row of this example is ignored."""
-        bounds: dict[int, float] = defaultdict(float)
+        blocks = -(-len(self.examples) // BLOCK)
+        bounds = np.zeros(blocks)
         for term, weight in vector:
-            for block, most in self.maxima[term]:
-                bounds[block] += weight * most
-        found: list[tuple[float, int, int]] = []
-        least = -1.0
-        for block, bound in sorted(bounds.items(), key=lambda b: (-b[1], b[0])):
-            if bound < least - 1e-12:
-                break
-            sums: dict[int, float] = defaultdict(float)
+            at, most = self.maxima[term]
+            bounds[at] += weight * most
+        order = np.argsort(-bounds, kind="stable")
+        rows = self.rows
+        if left_out is not None:
+            rows = rows.copy()
+            rows[left_out] -= 1
+        found = np.empty(0, dtype=np.int64)
+        cosines = np.zeros(len(self.examples))
+        least, at, step = -1.0, 0, 4
+        while at < blocks and bounds[order[at]] > 0 and bounds[order[at]] >= least - TIE:
+            wanted = np.zeros(blocks, dtype=bool)
+            wanted[order[at:at + step]] = True
+            at, step = at + step, step * 4
             for term, weight in vector:
-                for i, w in self.postings[term].get(block, ()):
-                    sums[i] += weight * w
-            for i, cosine in sums.items():
-                e = self.examples[i]
-                n = e.toxic + e.clean - (i == left_out)
-                if n > 0 and cosine >= least - 1e-12:
-                    found.append((cosine, i, n))
-            found.sort(key=lambda f: (-f[0], f[1]))
-            rows, kept = 0, 0
-            for kept, (cosine, _, n) in enumerate(found, 1):
-                rows += n
-                if rows >= self.k:
-                    least = cosine
-                    while kept < len(found) and found[kept][0] >= least - 1e-12:
-                        kept += 1
-                    break
-            del found[kept:]
-        return [(c, i) for c, i, _ in found]
+                ids, weights = self.postings[term]
+                inside = wanted[ids // BLOCK]
+                cosines[ids[inside]] += weight * weights[inside]
+            fresh = np.flatnonzero(np.repeat(wanted, BLOCK)[:len(cosines)] & (cosines > 0) & (rows > 0))
+            found = np.r_[found, fresh[cosines[fresh] >= least - TIE]]
+            found = found[np.lexsort((found, -cosines[found]))]
+            reached = np.searchsorted(np.cumsum(rows[found]), self.k)
+            if reached < len(found):
+                least = cosines[found[reached]]
+                found = found[cosines[found] >= least - TIE]
+        return [(float(cosines[i]), int(i)) for i in found]
 
     def raw(self, vector: tuple[tuple[int, float], ...], left_out: tuple[int, int] | None = None
             ) -> tuple[float, list[tuple[float, int]]]:
@@ -230,8 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 25, max_examples: int = 20_
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (part(a, share * n_toxic) + part(b, share * n_clean)
                  + part(n_toxic - a, (1 - share) * n_toxic) + part(n_clean - b, (1 - share) * n_clean))
-    chosen = counted.filter("term != ''").filter(share < 1).withColumn("ratio", ratio).filter(
-        F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "term").limit(max_features).collect()
+    chosen = counted.filter("term != ''").filter((share < 1) & (a * n_clean > b * n_toxic)).withColumn(
+        "ratio", ratio).filter(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "term").limit(max_features).collect()
+    chosen = [chosen[i] for i in without_nested([r["term"] for r in chosen])]
     features = {r["term"]: i for i, r in enumerate(chosen)}
     n = n_clean + n_toxic
     idf = [math.log((1 + n) / (1 + r["clean"] + r["toxic"])) + 1.0 for r in chosen]

@@ -201,6 +201,10 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert T.score(docs.limit(0), model).count() == 0
 
 
+def test_nested_terms_count_once():
+    assert T.without_nested(["trash", "tras*", "idio*", "idiot", "idiotic*", "vile", "tra"]) == [0, 2, 5, 6]
+
+
 def test_likelihood_ratio():
     assert T.likelihood_ratio(10, 10, 100, 100) == pytest.approx(0.0) and T.likelihood_ratio(50, 1, 100, 100) > 30
 
