@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(r"\w+")
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7)
 BLOCK = 64
 TIE = 1e-12
 NEAR = 0.05  # distance at which a vote counts half of that of an equal vector
@@ -47,17 +47,15 @@ def terms_of_word(word: str) -> list[str]:
 
 
 def without_nested(terms: list[str]) -> list[int]:
-    """Places of the terms that are no beginning or continuation of an earlier one, so
-    that a word counts once in a vector."""
+    """Places of the terms that do not continue an earlier one: what is left of a word
+    says more than the beginnings that were chosen before it."""
     taken: set[str] = set()
-    beginnings: set[str] = set()
     out = []
     for i, term in enumerate(terms):
         own = set(terms_of_word(term.rstrip("*"))) | {term}
-        if term not in beginnings and not own & taken:
+        if not own & taken:
             out.append(i)
             taken.add(term)
-            beginnings |= own
     return out
 
 
