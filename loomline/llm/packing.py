@@ -8,7 +8,7 @@ space finds in O(log n). A group holds ``group_docs`` documents on average
 however many there are, so tasks neither grow nor skew, and groups share nothing.
 
 Ids are not shuffled: a piece carries its length and CRC, and with ``with_ids``
-its ids. Words are tokenised once per task and looked up after that; that equals
+its ids. Words are tokenised once per worker and looked up after that; that equals
 the tokenizer on the whole text because its pieces never cross white space.
 
 Defined results: a null or empty text has no ids but the end id; a null doc_id
@@ -18,6 +18,7 @@ itself; very long texts are cut, never truncated; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,34 +28,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 400_000  # words a task remembers before it starts anew
+CACHED_CHUNKS = 300_000  # what a worker remembers before it starts anew
+CACHED_WORDS = 900_000
+MARKS = rb".,#$%&*!|?:;()\"-"
+PARTS = re.compile(rb"([" + re.escape(MARKS) + rb"]*)(.*?)([" + re.escape(MARKS) + rb"]*)", re.DOTALL)
+_coders: dict[str, "WordIds"] = {}
+
+
+def coder_of(path: str) -> "WordIds":
+    """The coder of a worker process; it outlives a task, so words are coded once a worker."""
+    if path not in _coders:
+        _coders[path] = WordIds(path)
+    return _coders[path]
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes, word by word."""
+    """Ids of texts as little-endian bytes, chunk by chunk between white space.
+
+    A chunk is coded as marks, word and marks, since the tokenizer never joins a
+    letter or digit with a mark; the word goes by its lower case, as there. What
+    does not fit this form, or might hold a special token, is coded as it is.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def parts(self, chunk: bytes) -> tuple[bytes, ...]:
+        if b"<" in chunk:
+            return (chunk,)
+        before, word, after = PARTS.fullmatch(chunk).groups()
+        text = word.decode("utf-8")
+        if not text or not text[0].isalnum() or not text[-1].isalnum():
+            return (chunk,)
+        return tuple(p for p in (before, word.lower(), after) if p)
 
     def learn(self, split: Iterable[list[bytes]]) -> None:
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
         fresh: set[bytes] = set()
-        for words in split:
-            fresh |= set(words).difference(self.known)
-        ordered = list(fresh)
-        for at in range(0, len(ordered), 8192):
-            some = ordered[at:at + 8192]
+        for chunks in split:
+            fresh |= set(chunks).difference(self.known)
+        parts = {chunk: self.parts(chunk) for chunk in fresh}
+        unknown = list({p for some in parts.values() for p in some}.difference(self.words))
+        for at in range(0, len(unknown), 8192):
+            some = unknown[at:at + 8192]
             coded = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8") for w in some], add_special_tokens=False)
             for word, enc in zip(some, coded):
-                self.known[word] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
+                self.words[word] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
+        for chunk, some in parts.items():
+            self.known[chunk] = b"".join([self.words[p] for p in some])
 
-    def of(self, words: list[bytes], end_id: int) -> bytes:
-        return b"".join(map(self.known.__getitem__, words)) + struct.pack("<I", end_id)
+    def of(self, chunks: list[bytes], end_id: int) -> bytes:
+        return b"".join(map(self.known.__getitem__, chunks)) + struct.pack("<I", end_id)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -89,7 +121,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, sequence: int = 2048, end_
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(vocabulary)
+        coder = coder_of(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

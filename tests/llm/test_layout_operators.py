@@ -113,6 +113,7 @@ def test_tree_splits_quotas_exactly(spark):
 def texts():
     return [(1, "Hello world, it's 2024! <|endoftext|> ÄÖ é"), (2, None), (3, ""), (4, "x " * 5000),
             (5, "a b c\x1cd"), (5, "again the same id"), (None, "no id"), (6, "ſtraße İ Σας " * 50),
+            (7, "#A<|ENDOFTEXT|>B. <|endoftext|>, (It's) don't'S. x\u0301. .\u0301a (…end…) $5.00, Ǆ. K's ½! \u0301x"),
             *[(10 + i, "some words of text " * (i % 40)) for i in range(300)]]
 
 
