@@ -10,6 +10,22 @@ from loomline.functions.patterns import DIGIT, SPACE, WHITESPACE, mask_token
 
 SEP = "\u0001"
 
+ESCAPE = "\u0002"
+
+
+def escape_marks(text: Column) -> Column:
+    """``text`` without the separator, so that values can be written next to each other."""
+    return F.when(text.rlike(f"[{SEP}{ESCAPE}]"), F.replace(
+        F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(SEP), F.lit(ESCAPE + "a"))
+    ).otherwise(text)
+
+
+def unescape_marks(value: Column) -> Column:
+    return F.when(F.contains(value, F.lit(ESCAPE)), F.replace(
+        F.replace(value, F.lit(ESCAPE + "a"), F.lit(SEP)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
+    ).otherwise(value)
+
+
 # Token shapes that punctuation splitting leaves whole.
 WHOLE_ADDRESS = r"^\d{1,3}(\.\d{1,3}){3}(:\d{1,5})?$"
 WHOLE_CLOCK = r"^\d{1,2}:\d{2}(:\d{2})?$"
@@ -132,8 +148,10 @@ def suffix_key(tokens: Column, n: Column, depth: int, numeric_tokens: bool = Tru
 
 
 def content_id(tokens: Column) -> Column:
-    """128-bit content hash of a token sequence; stable under retry."""
-    return F.md5(F.concat_ws(SEP, tokens))
+    """128-bit content hash of a token sequence; stable under retry. Every token is
+    written behind its length, so no two sequences are written alike."""
+    return F.md5(F.array_join(F.transform(
+        tokens, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), ""))
 
 
 def token_text(tokens: Column) -> Column:

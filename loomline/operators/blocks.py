@@ -10,6 +10,7 @@ from loomline.functions import tokens as T
 from loomline.functions.tokens import SEP
 from loomline.operators.ranking import top_per_group
 from loomline.options import MinerOptions
+from loomline.session import release, stage
 
 
 def key_text(key: Column) -> Column:
@@ -40,29 +41,66 @@ def with_suffix_key(shapes: DataFrame, options: MinerOptions, name: str = "suffi
 def cap_children(shapes: DataFrame, key_col: str, levels: int, options: MinerOptions,
                  keys: Sequence[str] = ()) -> DataFrame:
     """Keep the ``max_children - 1`` most frequent tokens under each key prefix;
-    the others become the wildcard. One pass per level.
+    the others become the wildcard, level by level.
 
-    The table of kept tokens holds at most ``max_children`` rows per prefix:
-    counts are combined before the shuffle and the rank limit runs on both
-    sides of it, so a prefix that holds most rows is no hot spot.
+    Works on the table of distinct keys. Only levels at which some prefix has
+    too many children cost a pass, so depth alone costs nothing; the shapes are
+    joined once, with the final keys. Counts are combined before the shuffle and
+    the rank limit runs on both sides of it, so a prefix that holds most rows
+    is no hot spot.
     """
+    group = [*keys, "n"]
+    paths = stage(shapes.groupBy(*group, F.col(key_col).alias("_key")).agg(F.sum("cnt").alias("_w"))
+                  .withColumn("_path", F.slice("_key", 1, levels)), "paths")
+    level, capped = 0, False
+    while (level := _crowded_level(paths, group, level, options)) is not None:
+        fresh = stage(_cap_level(paths, group, level, options), "paths")
+        release(paths)
+        paths, capped = fresh, True
+    if not capped:
+        return shapes.withColumn(key_col, F.slice(key_col, 1, levels))
+    final = paths.select(*group, F.col("_key").alias(key_col), "_path")
+    return (shapes.join(final, [*group, key_col], "left")
+            .withColumn(key_col, F.coalesce("_path", F.slice(key_col, 1, levels))).drop("_path"))
+
+
+def _crowded_level(paths: DataFrame, group: Sequence[str], after: int, options: MinerOptions
+                   ) -> int | None:
+    """The first level beyond ``after`` where a prefix has more children than kept."""
+    start = F.struct(F.lit(0).cast("long").alias("above"),
+                     F.array().cast("array<struct<above:bigint,token:string>>").alias("nodes"))
+    nodes = F.aggregate(
+        "_path", start,
+        lambda s, t: F.struct(
+            F.xxhash64(s["above"], t).alias("above"),
+            F.concat(s["nodes"], F.array(F.struct(s["above"].alias("above"), t.alias("token"))))
+            .alias("nodes")),
+        lambda s: s["nodes"])
+    placed = paths.select(*group, F.posexplode(nodes).alias("_level", "_node")).filter(
+        (F.col("_level") >= after) & (F.col("_node.token") != options.wildcard))
+    children = placed.select(*group, "_level", "_node.above", "_node.token").distinct()
+    crowded = children.groupBy(*group, "_level", "above").agg(F.count("*").alias("_c")).filter(
+        F.col("_c") >= options.max_children)
+    found = crowded.agg(F.min("_level")).first()[0]
+    return None if found is None else found + 1
+
+
+def _cap_level(paths: DataFrame, group: Sequence[str], level: int, options: MinerOptions
+               ) -> DataFrame:
+    """``_path`` with the rare tokens of one level turned into the wildcard."""
     wildcard = F.lit(options.wildcard)
-    path = [*keys, "n", "_path"]
-    out = shapes.withColumn("_path", F.array().cast("array<string>"))
-    for level in range(1, levels + 1):
-        token = F.try_element_at(F.col(key_col), F.lit(level))
-        out = out.withColumn("_tok", token)
-        counted = (out.filter(F.col("_tok").isNotNull() & (F.col("_tok") != wildcard))
-                   .groupBy(*path, "_tok").agg(F.sum("cnt").alias("_w")))
-        order = [F.desc("_w"), F.asc("_tok")]
-        kept = (top_per_group(counted, path, order, options.max_children - 1, F.col("_tok"))
-                .select(*path, "_tok", F.lit(True).alias("_keep")))
-        out = (out.join(kept, [*path, "_tok"], "left")
-               .withColumn("_path", F.when(F.col("_tok").isNull(), F.col("_path")).otherwise(
-                   F.concat("_path", F.array(F.when(F.col("_keep"), F.col("_tok"))
-                                             .otherwise(wildcard)))))
-               .drop("_tok", "_keep"))
-    return out.withColumn(key_col, F.col("_path")).drop("_path")
+    above = paths.withColumn("_above", F.slice("_path", 1, level - 1)).withColumn(
+        "_tok", F.try_element_at("_path", F.lit(level)))
+    on = [*group, "_above", "_tok"]
+    counted = (above.filter(F.col("_tok").isNotNull() & (F.col("_tok") != wildcard))
+               .groupBy(*on).agg(F.sum("_w").alias("_cw")))
+    order = [F.desc("_cw"), F.asc("_tok")]
+    kept = (top_per_group(counted, [*group, "_above"], order, options.max_children - 1, F.col("_tok"))
+            .select(*on, F.lit(True).alias("_keep")))
+    replaced = F.concat("_above", F.array(wildcard), F.slice("_path", level + 1, 1 << 30))
+    return above.join(kept, on, "left").withColumn("_path", F.when(
+        F.col("_tok").isNull() | F.coalesce("_keep", F.lit(False)), F.col("_path"))
+        .otherwise(replaced)).drop("_above", "_tok", "_keep")
 
 
 def template_keys(templates: DataFrame, options: MinerOptions,

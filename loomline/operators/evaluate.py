@@ -18,6 +18,12 @@ def joint_counts(grouped: DataFrame, labels: DataFrame, keys: Sequence[str] = ()
     joint = (grouped.select(*keys, on, "cluster_id").join(
         labels.select(*keys, on, "event_id"), [*keys, on])
         .groupBy(*keys, "cluster_id", "event_id").agg(F.count("*").alias("common")))
+    return size_counts(joint, keys)
+
+
+def size_counts(joint: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(cluster_id, event_id, common)`` with the sizes of cluster and label."""
+    keys = list(keys)
     by_cluster = joint.groupBy(*keys, "cluster_id").agg(
         F.sum("common").alias("cluster_lines"), F.count("*").alias("labels_inside"))
     by_label = joint.groupBy(*keys, "event_id").agg(F.sum("common").alias("label_lines"))
@@ -28,7 +34,11 @@ def joint_counts(grouped: DataFrame, labels: DataFrame, keys: Sequence[str] = ()
 def grouping_accuracy(grouped: DataFrame, labels: DataFrame, keys: Sequence[str] = ()
                       ) -> DataFrame:
     """Share of lines in clusters that hold exactly the lines of one label."""
-    counts = joint_counts(grouped, labels, keys)
+    return score_counts(joint_counts(grouped, labels, keys), keys)
+
+
+def score_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Accuracy from the counts of ``size_counts``."""
     exact = ((F.col("common") == F.col("cluster_lines"))
              & (F.col("common") == F.col("label_lines")))
     return counts.groupBy(*keys).agg(
@@ -59,7 +69,7 @@ def missing_lines(grouped: DataFrame, labels: DataFrame, cluster_id: str, event_
 
 
 # Fixed value: the wording of a summary line.
-REPORT = (r"Evaluation on Dataset: (\w+), Group Accuracy: ([\d.]+), Duration: ([\d.]+) sec, "
+REPORT = (r"Evaluation on Dataset: (\S+), Group Accuracy: ([\d.]+), Duration: ([\d.]+) sec, "
           r"Total of (\d+) lines, rate ([\d.]+) lines/sec, (\d+) clusters")
 
 

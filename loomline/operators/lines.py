@@ -13,8 +13,8 @@ from loomline.options import Mask, MinerOptions
 
 
 def line_tokens(text: Column, options: MinerOptions) -> Column:
-    """Mask and tokenise one text column."""
-    masked = mask_text(text, options.masks, options.mask_prefix, options.mask_suffix)
+    """Mask and tokenise one text column; a null text is an empty line."""
+    masked = mask_text(F.coalesce(text, F.lit("")), options.masks, options.mask_prefix, options.mask_suffix)
     if options.punctuation:
         return T.tokenize_punct(masked, options.extra_delimiters,
                                 options.mask_prefix, options.mask_suffix)

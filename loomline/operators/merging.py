@@ -17,15 +17,17 @@ def merge_group(members: DataFrame, group_cols: Sequence[str], wildcard: str = "
     members agree, else it is the wildcard.
 
     Min and max per position are combined before the shuffle, so a group of
-    any size arrives as one row per position and task.
+    any size arrives as one row per position and task. A group of empty lines
+    keeps its row.
     """
     groups = list(group_cols)
-    placed = members.select(*groups, F.posexplode(tokens_col).alias("_pos", "_tok"))
+    placed = members.select(*groups, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
     folded = placed.groupBy(*groups, "_pos").agg(
         F.min("_tok").alias("_lo"), F.max("_tok").alias("_hi"))
     token = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.lit(wildcard))
     merged = folded.groupBy(*groups).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", token.alias("_tok")))).alias("_at"))
+        F.array_sort(F.collect_list(F.when(
+            F.col("_pos").isNotNull(), F.struct("_pos", token.alias("_tok"))))).alias("_at"))
     return merged.select(*groups, F.transform("_at", lambda a: a["_tok"]).alias(tokens_col))
 
 

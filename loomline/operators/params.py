@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.functions.patterns import quote
-from loomline.functions.tokens import SEP
+from loomline.functions.tokens import SEP, escape_marks, unescape_marks
 from loomline.operators.ranking import top_per_group
 from loomline.options import MinerOptions, mask_names
 
@@ -42,12 +42,13 @@ def extraction_patterns(templates: DataFrame, options: MinerOptions, exact: bool
     """Add the extraction regex of each template, once per catalog row.
 
     Adds ``names`` (mask names in order), ``regex`` (anchored, one named group
-    per parameter) and ``pick`` (a replacement that lists the groups).
+    per parameter) and ``pick`` (a replacement: a separator, which no escaped line
+    holds, and the groups).
     """
     bodies = _capture_patterns(options, exact)
     prefix, suffix = options.mask_prefix, options.mask_suffix
     any_mask = (f"{quote(prefix)}({'|'.join(quote(n) for n in bodies)}){quote(suffix)}")
-    template = F.col(template_col)
+    template = escape_marks(F.col(template_col))
     names = F.regexp_extract_all(template, F.lit(any_mask), F.lit(1))
     literals = F.transform(
         F.split(template, any_mask, -1),
@@ -62,8 +63,8 @@ def extraction_patterns(templates: DataFrame, options: MinerOptions, exact: bool
     pieces = F.zip_with(literals, groups, lambda s, g: F.concat(s, F.coalesce(g, F.lit(""))))
     return (templates.withColumn("names", names)
             .withColumn("regex", F.concat(F.lit("(?Ud)^"), F.array_join(pieces, ""), F.lit("$")))
-            .withColumn("pick", F.array_join(F.transform("names", lambda n, i: F.concat(
-                F.lit("${p"), i.cast("string"), F.lit("}"))), SEP)))
+            .withColumn("pick", F.concat(F.lit(SEP), F.array_join(F.transform(
+                "names", lambda n, i: F.concat(F.lit("${p"), i.cast("string"), F.lit("}"))), SEP))))
 
 
 def _call(name: str, *args: Column) -> Column:
@@ -77,24 +78,27 @@ def extract_parameters(lines: DataFrame, templates: DataFrame, options: MinerOpt
     not fit its template.
 
     ``lines(template_id, text)`` join ``templates(template_id, template)``. One
-    match yields all values: the groups are written next to each other with a
-    separator and split. Rows are grouped by template inside each partition so
+    match tells whether the line fits and yields all values: the result starts with
+    a separator only then, and the groups behind it are split. Rows are grouped by template inside each partition so
     that a compiled regex serves a run of lines; a template with most of the
     lines still spreads over all partitions.
     """
     catalog = extraction_patterns(
         templates.select(*keys, "template_id", template_col), options, exact, template_col)
-    text = F.col(text_col)
+    text = escape_marks(F.col(text_col))
     for delimiter in options.extra_delimiters:
         text = F.replace(text, F.lit(delimiter), F.lit(" "))
     joined = lines.join(catalog, [*keys, "template_id"]).sortWithinPartitions("template_id")
-    values = F.split(_call("regexp_replace", text, F.col("regex"), F.col("pick")), SEP, -1)
+    # An array of one, exploded: the match is not computed again where it is used twice.
+    found = joined.withColumn("_found", F.explode(F.array(
+        _call("regexp_replace", text, F.col("regex"), F.col("pick")))))
+    values = F.slice(F.split("_found", SEP, -1), 2, 1 << 30)
     parameters = F.when(
-        _call("rlike", text, F.col("regex")),
+        F.col("_found").startswith(SEP),
         F.when(F.size("names") == 0, F.array().cast(PARAMETERS)).otherwise(
-            F.zip_with(values, F.col("names"),
-                       lambda v, m: F.struct(v.alias("value"), m.alias("mask_name")))))
-    return joined.withColumn("parameters", parameters).drop("names", "regex", "pick")
+            F.zip_with(values, F.col("names"), lambda v, m: F.struct(
+                unescape_marks(v).alias("value"), m.alias("mask_name")))))
+    return found.withColumn("parameters", parameters).drop("names", "regex", "pick", "_found")
 
 
 def parameter_values(lines: DataFrame, templates: DataFrame, options: MinerOptions,

@@ -59,8 +59,8 @@ class MinerOptions:
     """Options shared by mining, matching and extraction.
 
     ``sim_th = 0.0`` asks for the threshold that grows with the line length.
-    ``round_leaders`` and ``split_rounds`` only shape the work (leaders tried
-    per round, rounds before a large block is divided), see ``plans.mining``.
+    ``round_leaders`` only shapes the work (members tried as leaders per block
+    and round), see ``plans.mining``.
     """
 
     sim_th: float = 0.4
@@ -77,15 +77,14 @@ class MinerOptions:
     static_veto: bool = False
     prefer: str = "most_wildcards"
     round_leaders: int = 64
-    split_rounds: int = 8
 
     def __post_init__(self) -> None:
         if self.depth < 3:
             raise ValueError("depth must be at least 3")
         if self.prefer not in ("most_wildcards", "fewest_wildcards"):
             raise ValueError(f"unknown preference {self.prefer!r}")
-        if self.round_leaders < 1 or self.split_rounds < 1:
-            raise ValueError("round_leaders and split_rounds must be positive")
+        if self.round_leaders < 1:
+            raise ValueError("round_leaders must be positive")
 
     @property
     def wildcard(self) -> str:

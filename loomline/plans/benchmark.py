@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.functions.masks import delete_patterns, replace_patterns
-from loomline.operators.evaluate import grouping_accuracy
+from loomline.operators.evaluate import score_counts, size_counts
 from loomline.options import MinerOptions
 from loomline.plans.mining import Mined, assign_lines, mine_templates
 from loomline.session import stage
@@ -30,27 +30,32 @@ class Dataset:
 
 def prepare(datasets: Sequence[Dataset], options: MinerOptions) -> DataFrame:
     """Parsed and cleaned lines of all datasets with a ``dataset`` column.
-    Lines that do not fit their format are dropped; labels go by line id."""
+    Lines that do not fit their format have no text and are ``rejected``."""
     parts = []
     for d in datasets:
-        parsed, _ = parse_format(d.lines, d.log_format, keep=("line_id", "event_id"))
-        text = delete_patterns(F.col("Content"), d.delete)
-        text = replace_patterns(text, d.replace, options.wildcard)
-        parts.append(parsed.select(F.lit(d.name).alias("dataset"), "line_id", "event_id",
-                                   text.alias("text")))
+        parsed, rejected = parse_format(d.lines, d.log_format, keep=("line_id", "event_id"))
+        # One step at a time: each pattern names its input more than once.
+        text = parsed.withColumn("_text", delete_patterns(F.col("Content"), d.delete)).select(
+            "line_id", "event_id", replace_patterns(F.col("_text"), d.replace, options.wildcard)
+            .alias("text"), F.lit(False).alias("rejected"))
+        lost = rejected.select("line_id", "event_id", F.lit(None).cast("string").alias("text"),
+                               F.lit(True).alias("rejected"))
+        parts.append(text.unionByName(lost).withColumn("dataset", F.lit(d.name)))
     return reduce(DataFrame.unionByName, parts)
 
 
 def benchmark_run(datasets: Sequence[Dataset], options: MinerOptions
                   ) -> tuple[DataFrame, Mined]:
     """Returns (scores per dataset, mined result). Scores: lines, exact lines,
-    accuracy, clusters."""
-    lines = stage(prepare(datasets, options), "benchmark")
+    accuracy (all over the parsed lines), clusters, and rejected lines."""
+    prepared = stage(prepare(datasets, options), "benchmark")
+    lines = prepared.filter("NOT rejected").drop("rejected")
     mined = mine_templates(lines, options, ["dataset"])
     assigned = assign_lines(lines, mined, options, ["dataset"])
-    labelled = assigned.select("dataset", "line_id", "event_id",
-                               F.col("template_id").alias("cluster_id"))
-    scores = grouping_accuracy(labelled.drop("event_id"),
-                               labelled.select("dataset", "line_id", "event_id"), ["dataset"])
+    counts = size_counts(assigned.groupBy(
+        "dataset", F.col("template_id").alias("cluster_id"), "event_id")
+        .agg(F.count("*").alias("common")), ["dataset"])
+    scores = score_counts(counts, ["dataset"])
     clusters = mined.templates.groupBy("dataset").agg(F.count("*").alias("clusters"))
-    return scores.join(clusters, "dataset"), mined
+    rejected = prepared.groupBy("dataset").agg(F.count_if("rejected").alias("rejected"))
+    return scores.join(clusters, "dataset").join(rejected, "dataset"), mined

@@ -14,17 +14,16 @@ pass are the members of the next.
 
 Leaders are found in rounds, a bounded number per block and round, so what a
 block sends to its members is bounded too; members meet their block's leaders
-in one row, no pairs are written. A block that still has members without a
-leader after ``split_rounds`` rounds is divided: these members go on in smaller
-blocks, one per nearest leader. Nothing is left out, each round settles at
-least one member of every open block, and the number of rounds grows with the
-logarithm of the block size.
+in one row, no pairs are written. A block stays whole: as long as it has members
+without a leader it goes on, all its members against the new leaders of the
+round, and blocks that are done leave. Each round settles ``round_leaders``
+members of every open block, so the number changes the rounds, not the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -43,12 +42,16 @@ class Mined:
     """Result of one mining job.
 
     ``shapes``: distinct token sequences; ``lineage``: shape to the template of
-    each pass; ``templates``: the catalog.
+    each pass; ``templates``: the catalog. ``tagged`` holds the mined lines with
+    their shape, as written by the one pass that masks them; ``source`` is the
+    table it was made from.
     """
 
     shapes: DataFrame
     lineage: DataFrame
     templates: DataFrame
+    tagged: DataFrame | None = None
+    source: DataFrame | None = None
 
 
 def literal_marks(tokens: Column, wildcard: str) -> Column:
@@ -149,12 +152,6 @@ def assign_to_leaders(nodes: DataFrame, options: MinerOptions) -> DataFrame:
         if not still_open.get["rows"]:
             settle(members)
             break
-        if turn % options.split_rounds == 0:
-            settle(members.filter(F.col("near.sim") >= sim_th))
-            members = (members.filter(F.col("near.sim") < sim_th)
-                       .withColumn("block", F.md5(F.concat_ws(
-                           T.SEP, "block", F.col("near.leader_id"))))
-                       .withColumn("near", F.lit(None).cast(NEAR)))
     return reduce(DataFrame.unionByName, settled)
 
 
@@ -246,20 +243,29 @@ def mine_shapes(shapes: DataFrame, options: MinerOptions, keys: Sequence[str] =
 
 def mine_templates(lines: DataFrame, options: MinerOptions, keys: Sequence[str] = (),
                    text_col: str = "text", id_col: str = "line_id") -> Mined:
-    """Lines to a catalog of templates."""
-    tokenized = with_tokens(lines, options, text_col)
-    return mine_shapes(distinct_shapes(tokenized, keys, id_col), options, keys)
+    """Lines to a catalog of templates. Lines are masked and tokenised once: the
+    result is written, and both the shapes and ``assign_lines`` read it."""
+    tagged = stage(tag_lines(lines, options, text_col), "tagged")
+    shapes = distinct_shapes(tagged, keys, id_col)
+    return replace(mine_shapes(shapes, options, keys), tagged=tagged.drop("tokens"), source=lines)
+
+
+def tag_lines(lines: DataFrame, options: MinerOptions, text_col: str = "text") -> DataFrame:
+    """Lines with ``tokens`` and ``shape_id``."""
+    return with_tokens(lines, options, text_col).withColumn(
+        "shape_id", T.content_id(F.col("tokens")))
 
 
 def assign_lines(lines: DataFrame, mined: Mined, options: MinerOptions,
                  keys: Sequence[str] = (), text_col: str = "text") -> DataFrame:
     """Add ``template_id`` to every line by its shape.
 
-    The lineage has one row per shape; a shape with a large share of the lines
-    stays spread because the planner broadcasts the small side or splits it.
+    Lines that ``mined`` was made from are not masked again. The lineage has one
+    row per shape; a shape with a large share of the lines stays spread because
+    the planner broadcasts the small side or splits it.
     """
     keys = list(keys)
-    shape = T.content_id(F.col("tokens"))
-    tagged = with_tokens(lines, options, text_col).withColumn("shape_id", shape).drop("tokens")
+    tagged = mined.tagged if lines is mined.source else (
+        tag_lines(lines, options, text_col).drop("tokens"))
     return tagged.join(mined.lineage.select(*keys, "shape_id", "template_id"),
                        [*keys, "shape_id"]).drop("shape_id")

@@ -68,6 +68,36 @@ def cap_children(spark, sf_dir):
                          B.key_text(F.col("key")).alias("key"))
 
 
+SIX_LEVELS = FEW_CHILDREN.with_(depth=9, max_children=3)
+
+
+def sql_capped(depth: int, kept: int) -> str:
+    """Keys of ``shapes`` with rare children replaced, one pair of steps per level."""
+    parts = [f"""c0 AS (SELECT shape_id, n, cnt, {I.sql_prefix_length(depth)} AS len, '' AS path,
+  string_split({I.sql_key('tokens', I.sql_prefix_length(depth))}, chr(1)) AS k FROM shapes)"""]
+    for i in range(1, depth - 2):
+        parts.append(f"""r{i} AS (
+  SELECT n, path, k[{i}] AS t, row_number() OVER (PARTITION BY n, path ORDER BY sum(cnt) DESC, k[{i}]) AS rn
+  FROM c{i - 1} WHERE len >= {i} AND k[{i}] <> '<*>' GROUP BY n, path, k[{i}]),
+c{i} AS (
+  SELECT c.shape_id, c.n, c.cnt, c.len, c.k, CASE WHEN c.len < {i} THEN c.path ELSE c.path
+         || CASE WHEN {i} > 1 THEN chr(1) ELSE '' END
+         || CASE WHEN r.rn <= {kept} THEN c.k[{i}] ELSE '<*>' END END AS path
+  FROM c{i - 1} c LEFT JOIN r{i} r ON c.n = r.n AND c.path = r.path AND c.len >= {i} AND c.k[{i}] = r.t)""")
+    return ", ".join(parts)
+
+
+@query("cap_children_deep", f"""
+WITH {I.SQL_DOCUMENT_SHAPES}, {sql_capped(9, 2)}
+SELECT shape_id, n, path AS key FROM c6""")
+def cap_children_deep(spark, sf_dir):
+    """Six levels, two children and the wildcard at each."""
+    keyed = B.with_prefix_key(I.document_shapes(spark, sf_dir), SIX_LEVELS, "key")
+    capped = B.cap_children(stage(keyed, "keyed"), "key", 6, SIX_LEVELS)
+    return capped.select("shape_id", F.col("n").cast("long").alias("n"),
+                         B.key_text(F.col("key")).alias("key"))
+
+
 def block_leaders(keyed, key_col: str):
     """The top ranked shape of each ``(n, key)`` block, as its template."""
     order = F.struct(-F.col("cnt"), F.col("first_id"), F.col("shape_id"))

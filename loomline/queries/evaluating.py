@@ -93,7 +93,9 @@ WITH {SQL_BENCH}
 SELECT dataset, CAST(sum(common) AS BIGINT) AS lines,
        CAST(sum(CASE WHEN common = pc AND common = gc THEN common ELSE 0 END) AS BIGINT) AS exact_lines,
        round(sum(CASE WHEN common = pc AND common = gc THEN common ELSE 0 END)
-         / CAST(sum(common) AS DOUBLE), 4) AS accuracy, count(DISTINCT t) AS clusters
+         / CAST(sum(common) AS DOUBLE), 4) AS accuracy, count(DISTINCT t) AS clusters,
+       CASE WHEN dataset = 'headers' THEN (WITH {I.SQL_HEADERS} SELECT CAST(count_if(
+         NOT regexp_matches(text, '{SQL_HEADER}')) AS BIGINT) FROM lines) ELSE 0 END AS rejected
 FROM counts GROUP BY dataset""")
 def benchmark(spark, sf_dir):
     """Three datasets in one job; at 0.95 every cleaned text is a cluster."""
@@ -102,7 +104,7 @@ def benchmark(spark, sf_dir):
 
 
 @query("result_table", """
-WITH s AS (SELECT event_type AS dataset, CAST(sum(CAST(value AS DECIMAL(18,2))) / 100 AS DECIMAL(30,2))
+WITH s AS (SELECT event_type || '-log.txt' AS dataset, CAST(sum(CAST(value AS DECIMAL(18,2))) / 100 AS DECIMAL(30,2))
              AS d, count(*) AS n, count(DISTINCT user_id) AS c,
              CAST(count_if(value < 50) / CAST(count(*) AS DOUBLE) AS DECIMAL(30,4)) AS a
            FROM events GROUP BY event_type)
@@ -112,7 +114,8 @@ SELECT dataset, CAST(a AS DOUBLE) AS group_accuracy, CAST(d AS DOUBLE) AS durati
 def result_table(spark, sf_dir):
     """Summary lines per event type, written as text and parsed back."""
     value = F.col("value").cast("decimal(18,2)")
-    stats = I.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("dataset")).agg(
+    stats = I.table(spark, sf_dir, "events").groupBy(
+        F.concat("event_type", F.lit("-log.txt")).alias("dataset")).agg(
         (F.count_if(F.col("value") < 50) / F.count("*")).alias("accuracy"),
         (F.sum(value) / 100).cast("decimal(30,2)").cast("double").alias("duration"),
         F.count("*").alias("lines"), F.count_distinct("user_id").alias("clusters"))

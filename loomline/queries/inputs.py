@@ -7,15 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomline.functions import tokens as T
 from loomline.operators.lines import distinct_shapes, with_tokens
 from loomline.options import DEFAULT_MASKS, MinerOptions
-from loomline.sources.lines import split_text, spread
-
-
-ID = {"events": ["event_id"], "orders": ["o_orderkey"], "documents": ["doc_id"],
-      "lineitem": ["l_orderkey", "l_linenumber"]}
+from loomline.sources.lines import split_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *ID[name])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def money(name: str) -> Column:
@@ -152,10 +148,15 @@ SQL_DOCUMENTS = f"""lines AS (
         FROM documents))"""
 
 
+def sql_id(tokens: str) -> str:
+    """The content id of a list of tokens."""
+    return f"md5(array_to_string(list_transform({tokens}, lambda t: length(t) || ':' || t), ''))"
+
+
 def sql_shapes(tokens: str) -> str:
     """Distinct shapes of the CTE ``lines``."""
     return f"""shapes AS (
-  SELECT md5(array_to_string(tokens, chr(1))) AS shape_id, len(tokens) AS n, tokens,
+  SELECT {sql_id("tokens")} AS shape_id, len(tokens) AS n, tokens,
          count(*) AS cnt, min(line_id) AS first_id, max(line_id) AS last_id
   FROM (SELECT line_id, {tokens} AS tokens FROM lines) GROUP BY tokens)"""
 
@@ -186,9 +187,10 @@ def sql_suffix_length(depth: int, n: str = "n") -> str:
 def sql_fold(source: str, groups: str, name: str = "folded") -> str:
     """Position-wise fold of ``tokens`` per group."""
     return f"""{name}_places AS (
-  SELECT {groups}, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos FROM {source}),
+  SELECT {groups}, unnest(CASE WHEN len(tokens) = 0 THEN [NULL] ELSE tokens END) AS tok,
+         generate_subscripts(CASE WHEN len(tokens) = 0 THEN [NULL] ELSE tokens END, 1) AS pos FROM {source}),
 {name}_marks AS (
   SELECT {groups}, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '<*>' END AS tok
   FROM {name}_places GROUP BY {groups}, pos),
 {name} AS (
-  SELECT {groups}, list(tok ORDER BY pos) AS tokens FROM {name}_marks GROUP BY {groups})"""
+  SELECT {groups}, list_filter(list(tok ORDER BY pos), lambda t: t IS NOT NULL) AS tokens FROM {name}_marks GROUP BY {groups})"""

@@ -102,8 +102,10 @@ def read_labels(spark, sf_dir):
     path = fresh_dir(spark, "labels")
     template = F.concat(K.mask_text(F.col("text"), I.NUMBERED.masks), F.lit(', "'),
                         "event_type", F.lit('"'))
+    # Columns in another order and one that is not asked for: they are read by name.
     ST.write_csv(I.event_lines(spark, sf_dir).select(
-        "line_id", F.col("event_type").alias("EventId"), template.alias("EventTemplate")), path)
+        F.col("event_type").alias("EventId"), F.col("text").alias("Content"),
+        template.alias("EventTemplate"), "line_id"), path)
     return ST.read_labels(spark, path)
 
 

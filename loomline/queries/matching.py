@@ -91,7 +91,7 @@ def parameter_values(spark, sf_dir):
 
 @query("parameter_table", f"""
 WITH {I.SQL_EVENTS},
-v AS (SELECT md5(replace({I.SQL_NUM}, ' ', chr(1))) AS template_id,
+v AS (SELECT {I.sql_id(f"string_split({I.SQL_NUM}, ' ')")} AS template_id,
              unnest(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')) AS value,
              generate_subscripts(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), 1) AS pos
       FROM lines),

@@ -193,7 +193,7 @@ def change_log(spark, sf_dir):
 
 @query("line_results", f"""
 WITH {I.SQL_EVENTS}, masked AS (SELECT line_id, {I.SQL_NUM} AS m FROM lines)
-SELECT line_id, 'none' AS change_type, md5(replace(m, ' ', chr(1))) AS cluster_id,
+SELECT line_id, 'none' AS change_type, {I.sql_id("string_split(m, ' ')")} AS cluster_id,
        count(*) OVER (PARTITION BY m) AS cluster_size, m AS template_mined,
        (SELECT count(DISTINCT m) FROM masked) AS total_cluster_count
 FROM masked""")

@@ -16,6 +16,7 @@ def local_session(app: str = "loomline", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.openCostInBytes", "256k")  # small files still use all cores
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():

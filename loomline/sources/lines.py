@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from loomline.functions.patterns import FLAGS, SPACE, header_pattern, quote
-from loomline.functions.tokens import SEP, rstrip_space, strip_space, tokenize
+from loomline.functions.tokens import (
+    SEP, escape_marks, rstrip_space, strip_space, tokenize, unescape_marks)
 from loomline.session import stage
 
 
@@ -28,18 +29,6 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         text.alias("text"))
 
 
-def spread(scan: DataFrame, *cols: str) -> DataFrame:
-    """Give a scan of few files at least one partition per core, by a hash of
-    ``cols``. Regexes are the main cost of a line, and one file that cannot be
-    split would keep one core busy; a large table has enough splits and is
-    returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *cols)
-
-
 def split_text(documents: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Explode multi-line texts to ``(id, line_no, text)``, one row per line."""
     exploded = documents.select(
@@ -63,15 +52,16 @@ def parse_format(lines: DataFrame, log_format: str, text_col: str = "text",
 
     Every ``<Name>`` of the format is a string column. ``keep`` names input
     columns to carry along. All fields come out of one match: they are written
-    next to each other with a separator and split.
+    next to each other with a separator and split; a separator in the line itself
+    is escaped before.
     """
     names, regex = header_pattern(log_format)
-    text = strip_space(F.col(text_col))
+    text = escape_marks(strip_space(F.col(text_col)))
     fits = text.rlike(regex)
     pick = SEP.join(f"${{f{i}}}" for i in range(len(names)))
     values = F.split(F.regexp_replace(text, regex, pick), SEP, -1)
     parsed = lines.filter(fits).select(*keep, values.alias("_values")).select(
-        *keep, *[F.col("_values")[i].alias(n) for i, n in enumerate(names)])
+        *keep, *[unescape_marks(F.col("_values")[i]).alias(n) for i, n in enumerate(names)])
     rejected = lines.filter(~F.coalesce(fits, F.lit(False)))
     return parsed, rejected
 

@@ -1 +1 @@
-"""Streams: matching, mining into a versioned catalog, per-line mining."""
+"""Streams: matching, mining into a versioned catalog."""

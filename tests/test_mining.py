@@ -21,7 +21,16 @@ def test_golden(spark, golden):
 def test_golden_other_profile(spark, golden):
     options = MinerOptions(depth=10, max_children=1000, numeric_tokens=False,
                            extra_delimiters=("_",))
-    assert texts(mine_templates(golden, options).templates) == GOLDEN_TEMPLATES
+    # Five leading tokens keep the pumps apart at first; by their ends "three" meets "three".
+    deep = {t for t in GOLDEN_TEMPLATES if "operator" not in t[0]} | {
+        ("<*> <*> started by operator <*>", 4), ("valve nine closed by operator carla", 1)}
+    assert texts(mine_templates(golden, options).templates) == deep
+
+
+@pytest.mark.parametrize("depth", [10, 400])
+def test_deep_keys_are_planned(spark, golden, depth):
+    options = MinerOptions(depth=depth, max_children=3)
+    assert mine_templates(golden, options).templates.agg(F.sum("size")).first()[0] == 15
 
 
 def test_order_and_partitions_do_not_matter(spark, golden):
@@ -72,7 +81,7 @@ def test_one_pass_matches_restatement(spark, leaders):
     """The rounds are an evaluation detail: any number of leaders per round
     gives the result of the plain algorithm."""
     nodes = random_nodes(80)
-    options = FAST.with_(sim_th=0.7, round_leaders=leaders, split_rounds=1000)
+    options = FAST.with_(sim_th=0.7, round_leaders=leaders)
     got = {r["node_id"]: r["leader_id"] for r in assign_to_leaders(
         spark.createDataFrame(nodes, NODES), options).collect()}
     blocks = defaultdict(list)
@@ -85,19 +94,20 @@ def test_one_pass_matches_restatement(spark, leaders):
     assert got == want
 
 
-def test_divided_blocks_keep_every_member(spark):
-    """With a split after every round each member still gets one leader that it
-    resembles, and no member is lost."""
-    nodes = random_nodes(80, 4)
-    options = FAST.with_(sim_th=0.7, round_leaders=3, split_rounds=1)
+@pytest.mark.parametrize("leaders", [256, 700])
+def test_a_large_block_stays_whole(spark, leaders):
+    """More than a thousand leaders in one block, in several rounds."""
+    rng = random.Random(8)
+    rows = {tuple(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(1700)}
+    nodes = [("b6", f"id{i:05d}", 0, 6, list(t), 1 + i % 3, i, i, 1)
+             for i, t in enumerate(sorted(rows))]
+    members = [dict(zip(("block", "node_id", "known", "n", "tokens", "cnt", "first_id"), row))
+               for row in nodes]
+    want = leader_algorithm(members, 0.6)
+    assert len(set(want.values())) > 1000
     got = {r["node_id"]: r["leader_id"] for r in assign_to_leaders(
-        spark.createDataFrame(nodes, NODES), options).collect()}
-    tokens = {row[1]: row[4] for row in nodes}
-    assert set(got) == set(tokens)
-    for node, leader in got.items():
-        a, b = tokens[leader], tokens[node]
-        assert got[leader] == leader and len(a) == len(b)
-        assert node == leader or sum(x == y != "<*>" for x, y in zip(a, b)) >= 0.7 * len(a)
+        spark.createDataFrame(nodes, NODES), FAST.with_(sim_th=0.6, round_leaders=leaders)).collect()}
+    assert got == want
 
 
 def labelled(spark, count=4000):
@@ -218,8 +228,20 @@ def test_cap_children(spark):
 
 
 def test_empty_group_tokens(spark):
-    df = spark.createDataFrame([("g", ["a", "b"]), ("g", ["a", "c"]), ("h", ["x"])],
+    df = spark.createDataFrame([("g", ["a", "b"]), ("g", ["a", "c"]), ("h", ["x"]), ("e", []), ("e", [])],
                                "g string, tokens array<string>")
     rows = {r["g"]: r["tokens"] for r in G.merge_group(df, ["g"]).collect()}
-    assert rows == {"g": ["a", "<*>"], "h": ["x"]}
+    assert rows == {"g": ["a", "<*>"], "h": ["x"], "e": []}
     assert T.SEP == "\x01"
+
+
+def test_null_blank_and_control_lines_keep_their_rows(spark):
+    """Lines whose tokens were once written alike stay one row each."""
+    lines = spark.createDataFrame([(1, None), (2, ""), (3, "a\x01b"), (4, "a b"), (5, "  ")],
+                                  "line_id long, text string")
+    mined = mine_templates(lines, FAST)
+    tagged = assign_lines(lines, mined, FAST)
+    rows = {r["line_id"]: r for r in G.line_results(tagged, mined.templates).collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5] and tagged.count() == 5
+    assert len({rows[i]["cluster_id"] for i in (1, 2, 5)}) == 1
+    assert len({r["cluster_id"] for r in rows.values()}) == 3

@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import functools
 import os
 from collections import Counter
 
@@ -7,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomline.queries import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -15,18 +17,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
 
 
-@pytest.fixture(scope="module")
-def sql():
+@functools.cache
+def tables():
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_query_matches_sql(spark, sql, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = sql.execute(entry.oracle_sql()[name]).df()
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, name):
+    got = QUERIES[name](spark, SF).toPandas()
+    want = tables().execute(ORACLE[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     rows = [Counter(map(tuple, df[cols].itertuples(index=False))) for df in (got, want)]
