@@ -176,7 +176,13 @@ def small_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
 
 
 def prefix_index(sets: DataFrame, least_size: int, percent: int) -> DataFrame:
-    """``(token, doc, n)``: shingles of each prefix that other sets hold too."""
+    """``(token, doc, n, pos, first)``: shingles of each prefix that other sets hold too.
+
+    ``pos`` is how many shingles of the set come before it, so a partner whose first
+    common shingle it is has at most ``n - pos`` in common. ``first``: that is enough
+    for a partner of the same size. Of two sets that link, the smaller holds a common
+    shingle of both prefixes in its ``first`` part.
+    """
     able = sets.filter(F.col("n") >= least_size)
     tokens = able.select("doc_id", F.explode("tokens").alias("token"))
     shared = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "lists")
@@ -187,37 +193,39 @@ def prefix_index(sets: DataFrame, least_size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, sizes, emitted, listed = (batch.column(i) for i in range(4))
-            out_doc, out_n, out_token = [], [], []
+            out_doc, out_n, out_token, out_pos = [], [], [], []
             for doc, n, per_level, rows in zip(docs.to_pylist(), sizes.to_pylist(),
                                                emitted.to_pylist(), listed):
                 df = rows.values.field("df").to_numpy(zero_copy_only=False)
                 token = rows.values.field("token").to_numpy(zero_copy_only=False)
                 level = levels[(token.view(np.uint64) >> np.uint64(61)).astype(np.int64)]
                 order = np.lexsort((token, df, level))
-                room = prefix_size(n, percent)
+                room, passed = prefix_size(n, percent), 0
                 for at in range(4):
                     here = order[level[order] == at]
-                    room -= per_level[at] - len(here)  # shingles of no other set come first
-                    if room <= 0:
+                    passed += per_level[at] - len(here)  # shingles of no other set come first
+                    if passed >= room:
                         break
-                    taken = here[:room]
-                    room -= len(taken)
+                    taken = here[:room - passed]
+                    out_pos.append(np.arange(passed, passed + len(taken)))
+                    passed += len(taken)
                     out_token.append(token[taken])
                     out_doc.append(np.full(len(taken), doc, dtype=np.int64))
                     out_n.append(np.full(len(taken), n, dtype=np.int64))
             if out_token:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), pa.int64()) for c in (out_token, out_doc, out_n)],
-                    ["token", "doc", "n"])
+                    [*(pa.array(np.concatenate(c), pa.int64()) for c in (out_token, out_doc, out_n)),
+                     pa.array(np.concatenate(out_pos), pa.int64())], ["token", "doc", "n", "pos"])
 
     rows = known.join(able.select("doc_id", "n", "emitted"), "doc_id").select(
         "doc_id", "n", "emitted", "listed")
-    return rows.mapInArrow(run, "token long, doc long, n long")
+    return rows.mapInArrow(run, "token long, doc long, n long, pos long").withColumn(
+        "first", F.col("n") - F.col("pos") >= needed(F.col("n"), F.col("n"), percent))
 
 
-def compatible(a: Column, b: Column, percent: int) -> Column:
-    """Can sets of these sizes link?"""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def needed(a: Column, b: Column, percent: int) -> Column:
+    """``least_common`` of two sizes."""
+    return F.floor(((a + b) * percent + (100 + percent - 1)) / (100 + percent))
 
 
 def common_of(a: np.ndarray, b: np.ndarray) -> int:
@@ -244,10 +252,17 @@ def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 def light_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``(a, b)`` of the members of short lists."""
-    grouped = lists.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "doc"))).alias("m"))
+    grouped = lists.groupBy("token").agg(F.sort_array(F.collect_list(
+        F.struct("n", "pos", "doc"))).alias("m"))
+
+    def may_link(x: Column, y: Column) -> Column:
+        least = needed(x["n"], y["n"], percent)
+        return (x["n"] - x["pos"] >= least) & (y["n"] - y["pos"] >= least)
+
+    # In order of size, so that x is the smaller one.
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(
         F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (x["n"] * 100 >= y["n"] * percent)
-                 & (x["doc"] != y["doc"])),
+                 & may_link(x, y) & (x["doc"] != y["doc"])),
         lambda y: F.struct(F.least(x["doc"], y["doc"]).alias("a"),
                            F.greatest(x["doc"], y["doc"]).alias("b")))))
     return grouped.select(F.inline(pairs)).distinct()
@@ -272,14 +287,20 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def heavy_links(lists: DataFrame, sets: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """Links between members of long lists: buckets that a list connects, two at a time."""
-    homes = lists.groupBy("doc", "n").agg(F.min("token").alias("home"))
+    """Links between members of long lists: buckets that a list connects, two at a time.
+
+    A set's bucket is its longest list and its class of size, so that sets of one list
+    are in few buckets and only buckets of like sizes meet; large ones are dealt by hash.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    homes = lists.groupBy("doc", "n").agg(
+        F.max(F.struct("len", "token"))["token"].alias("home")).withColumn("class", size_class)
     homes = stage(homes, "homes")
-    counts = stage(homes.groupBy("home").agg(
+    counts = stage(homes.groupBy("home", "class").agg(
         F.ceil(F.count("*") / bucket).cast("int").alias("parts")), "homes")
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    members = stage(homes.join(counts, "home").select(
-        "doc", "n", F.xxhash64("home", part).alias("bucket")), "members")
+    members = stage(homes.join(counts, ["home", "class"]).select(
+        "doc", "n", F.xxhash64("home", "class", part).alias("bucket")), "members")
     ranges = stage(members.groupBy("bucket").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "buckets")
     placed = stage(lists.select("token", "doc").join(members.select("doc", "bucket"), "doc")
                    .select("token", "bucket").distinct().join(ranges, "bucket"), "buckets")
@@ -350,8 +371,14 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     edges = [small_links(sets, boundary, percent)] if boundary else []
     least_size = -(-percent * (boundary + 1) // 100)
     index = stage(prefix_index(sets, least_size, percent), "index")
-    lengths = stage(index.groupBy("token").agg(F.count("*").alias("len")).filter("len > 1"), "lengths")
-    lists = stage(index.join(lengths, "token"), "lists")
+    # A list needs a member of a first part; larger sets meet it with their whole prefix.
+    least_first = stage(index.groupBy("token").agg(
+        F.min(F.when(F.col("first"), F.col("n"))).alias("least"), F.count("*").alias("len"))
+        .filter("len > 1 AND least IS NOT NULL").select("token", "least"), "lengths")
+    able = stage(index.join(least_first, "token").filter(
+        F.col("first") | (F.col("n") > F.col("least"))).drop("least"), "lists")
+    lengths = stage(able.groupBy("token").agg(F.count("*").alias("len")).filter("len > 1"), "lengths")
+    lists = stage(able.join(lengths, "token"), "lists")
     short, long_ = lists.filter(F.col("len") <= heavy), lists.filter(F.col("len") > heavy)
     pairs = stage(light_pairs(short, percent), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))) \
