@@ -30,7 +30,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -179,56 +178,82 @@ def link_counts(coded: DataFrame, cores: DataFrame, threshold: float, tables: in
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "id", "tab", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         "own")
-    rows = dealt.join(full, "id")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tab, cell, i, j = key
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        lengths = pdf["vec"].map(len).to_numpy()
-        parts = []
-        for dim in np.unique(lengths):
-            part = pdf[lengths == dim]
-            if part["core"].nunique() > 1:
-                parts.append(_compare(part, int(tab), int(cell), int(i), int(j), threshold, tables))
-        empty = pd.DataFrame({"id": [], "n": [], "root": []}, dtype="int64")
-        return pd.concat(parts) if parts else empty
-
-    return rows.groupBy("tab", "cell", "i", "j").applyInPandas(run, "id long, n long, root long")
-
-
-def _compare(part: pd.DataFrame, tab: int, cell: int, i: int, j: int, threshold: float,
-             tables: int) -> pd.DataFrame:
-    ids, core = part["id"].to_numpy(), part["core"].to_numpy()
-    own = part["own"].to_numpy()
-    vec = np.stack(part["vec"].to_numpy())
-    cells = np.stack(part["cells"].to_numpy()).reshape(len(part), tables, -1)
-    left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-    linked = vec[left] @ vec[right].T >= threshold
-    linked &= core[left][:, None] != core[right][None, :]
-    if i == j:
-        linked &= ids[left][:, None] < ids[right][None, :]
-    a, b = np.nonzero(linked)
-    a, b = left[a], right[b]
-    root = forest(a, b, len(part))
-    counts = np.zeros(len(part), dtype=np.int64)
+    group = ["tab", "cell", "i", "j"]
+    rows = dealt.join(full, "id").select(
+        *group, "own", "id", "core", F.size("vec").alias("dim"), "vec", "cells")
+    # Most cells hold two or three vectors: a partition is sorted by group and compared in
+    # runs of whole groups, not called group by group.
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "dim", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            held = some if held is None else pa.concat_tables([held, some])
+            key = _keys(held)
+            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (
+                (key != key[-1]).any()) else 0
+            if last:
+                yield _compare(held.slice(0, last), threshold, tables)
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield _compare(held, threshold, tables)
+
+    return ordered.mapInArrow(run, "id long, n long, root long")
+
+
+def _keys(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows.column(c).to_numpy() for c in ("tab", "cell", "i", "j", "dim")], axis=1)
+
+
+def _compare(rows: pa.Table, threshold: float, tables: int) -> pa.RecordBatch:
+    """Links of whole groups, sorted by group: counts and a forest of links by vector."""
+    key = _keys(rows)
+    ids, core, own = (rows.column(c).to_numpy() for c in ("id", "core", "own"))
+    group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
+    lists = [rows.column(c).combine_chunks() for c in ("vec", "cells")]
+    flat = [x.flatten().to_numpy() for x in lists]
+    begin = [np.r_[0, np.cumsum(x.value_lengths().to_numpy())] for x in lists]
+    across = key[:, 2] != key[:, 3]
+    left, right = [], []
+    for d in range(1, int(np.bincount(group).max(initial=1))):
+        a = np.flatnonzero(group[:-d] == group[d:])
+        b = a + d
+        use = (core[a] != core[b]) & (~across[a] | (own[a] != own[b]))
+        a, b = a[use], b[use]
+        for at in range(0, len(a), 8192):
+            x, y = a[at:at + 8192], b[at:at + 8192]
+            for dim in np.unique(key[x, 4]):
+                p, q = x[key[x, 4] == dim], y[key[x, 4] == dim]
+                steps = np.arange(dim)
+                cosine = (flat[0][begin[0][p][:, None] + steps] * flat[0][begin[0][q][:, None] + steps]).sum(axis=1)
+                left.append(p[cosine >= threshold])
+                right.append(q[cosine >= threshold])
+    a = np.concatenate(left) if left else np.empty(0, dtype=np.int64)
+    b = np.concatenate(right) if right else np.empty(0, dtype=np.int64)
+    root = forest(a, b, len(ids))
+    counts = np.zeros(len(ids), dtype=np.int64)
+    width = int(begin[1][1]) // tables if len(ids) else 0
     for at in range(0, len(a), 20_000):
-        pa_, pb = a[at:at + 20_000], b[at:at + 20_000]
-        first = np.ones(len(pa_), dtype=bool)
-        for t in range(tab + 1):
-            common = cells[pa_, t][:, :, None] == cells[pb, t][:, None, :]
-            if t < tab:
-                first &= ~common.any(axis=(1, 2))
-            else:  # cells are in rising order: the first common one is the smallest
-                smallest = np.where(common.any(axis=2), cells[pa_, t], np.iinfo(np.int64).max).min(axis=1)
-                first &= smallest == cell
-        counts += np.bincount(pa_[first], minlength=len(part))
-        counts += np.bincount(pb[first], minlength=len(part))
-    said = (counts > 0) | (root != np.arange(len(part)))
-    return pd.DataFrame({"id": ids[said], "n": counts[said], "root": ids[root[said]]})
+        p, q = a[at:at + 20_000], b[at:at + 20_000]
+        first = np.ones(len(p), dtype=bool)
+        for t in range(tables):
+            steps = np.arange(t * width, (t + 1) * width)
+            mine = flat[1][begin[1][p][:, None] + steps]
+            common = mine[:, :, None] == flat[1][begin[1][q][:, None] + steps][:, None, :]
+            # Cells are in rising order: the first common one is the smallest.
+            smallest = np.where(common.any(axis=2), mine, np.iinfo(np.int64).max).min(axis=1)
+            first &= np.where(key[p, 0] > t, ~common.any(axis=(1, 2)),
+                              (key[p, 0] < t) | (smallest == key[p, 1]))
+        counts += np.bincount(p[first], minlength=len(ids))
+        counts += np.bincount(q[first], minlength=len(ids))
+    said = (counts > 0) | (root != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[said]), pa.array(counts[said]), pa.array(ids[root[said]])], ["id", "n", "root"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 4, blocks: int = 2,
-                    probes: int = 2, scale: float = 0.6, coarse_probes: int = 3, chunk: int = 256,
+                    probes: int = 2, scale: float = 0.65, coarse_probes: int = 3, chunk: int = 256,
                     seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept, core_size`` of every vector."""
     given = vectors.select(F.col(id_col).cast("long").alias("id"),
