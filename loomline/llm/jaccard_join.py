@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.llm.components import connected_components, forest
-from loomline.session import stage
+from loomline.session import release, stage
 
 SMALL_LIMIT = 29  # sets above this size have too many subsets to be worth listing
 LEVELS = (0, 1, 2, 2, 3, 3, 3, 3)  # hash level of a shingle by its three highest bits
@@ -367,10 +367,14 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
                             ["doc_id", "n", "k1", "k2"], "left_semi")
                  .select("doc_id", "n", "tokens", "emitted", "small"), "sets")
 
+    # What is left to read of the signatures is slim; their shingles go once they are used.
+    slim = stage(signed.select("doc_id", "n", "k1", "k2"), "slim")
+    release(signed)
     boundary = choose_boundary(sets, percent)
-    edges = [small_links(sets, boundary, percent)] if boundary else []
+    edges = [stage(small_links(sets, boundary, percent), "edges")] if boundary else []
     least_size = -(-percent * (boundary + 1) // 100)
     index = stage(prefix_index(sets, least_size, percent), "index")
+    release(sets)
     # A list needs a member of a first part; larger sets meet it with their whole prefix.
     least_first = stage(index.groupBy("token").agg(
         F.min(F.when(F.col("first"), F.col("n"))).alias("least"), F.count("*").alias("len"))
@@ -389,7 +393,8 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     for more in edges[1:]:
         links = links.unionByName(more)
     components = connected_components(links)
-    out = signed.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left").join(
+    release(full, *edges[:-2])
+    out = slim.join(classes, ["n", "k1", "k2"], "left").join(
         components.withColumnRenamed("node", "class_id"), "class_id", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(
