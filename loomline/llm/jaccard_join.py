@@ -289,13 +289,17 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def heavy_links(lists: DataFrame, sets: DataFrame, percent: int, bucket: int) -> DataFrame:
     """Links between members of long lists: buckets that a list connects, two at a time.
 
-    A set's bucket is its longest list and its class of size, so that sets of one list
-    are in few buckets and only buckets of like sizes meet; large ones are dealt by hash.
+    Lists that share members are one cluster (the shingles of a common passage, say). A
+    set's bucket is its cluster and its class of size, dealt by hash where it is large, so
+    few buckets hold the sets of a list and only buckets of like sizes meet.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    homes = lists.groupBy("doc", "n").agg(
-        F.max(F.struct("len", "token"))["token"].alias("home")).withColumn("class", size_class)
-    homes = stage(homes, "homes")
+    first = stage(lists.groupBy("doc", "n").agg(F.min("token").alias("token")), "first")
+    clusters = connected_components(
+        lists.select("doc", F.col("token").alias("a")).join(
+            first.select("doc", F.col("token").alias("b")), "doc").select("a", "b"))
+    homes = stage(first.join(clusters.withColumnRenamed("node", "token"), "token", "left").select(
+        "doc", "n", F.coalesce("component", "token").alias("home"), size_class.alias("class")), "homes")
     counts = stage(homes.groupBy("home", "class").agg(
         F.ceil(F.count("*") / bucket).cast("int").alias("parts")), "homes")
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
