@@ -18,6 +18,7 @@ itself; very long texts are cut, never truncated; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_CHUNKS = 300_000  # what a worker remembers before it starts anew
-CACHED_WORDS = 900_000
+CACHED_CHUNKS = 600_000  # what a worker remembers before it starts anew
+CACHED_WORDS = 700_000
 MARKS = rb".,#$%&*!|?:;()\"-"
 PARTS = re.compile(rb"([" + re.escape(MARKS) + rb"]*)(.*?)([" + re.escape(MARKS) + rb"]*)", re.DOTALL)
 _coders: dict[str, "WordIds"] = {}
@@ -51,6 +52,8 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
+        # Spark gives each worker one core; threads of the library would only wait for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
