@@ -1,7 +1,11 @@
 """PII (6): format-preserving pseudonyms by keyed Feistel networks, in DataFrame functions.
 
-Candidates are found by one pattern; each is validated (Luhn and IBAN check
-digits, real dates, number plan of phones, ranges of SSN and IPv4). A valid value
+Values are found level by level, each level in what the ones before left: mail
+addresses and secrets, complete North American phones, cards and IBANs, addresses,
+dates and SSNs, other phones, phones in unusual groups. Patterns fit valid values
+only (real dates, number plan of phones, ranges of SSN and IPv4) and end where a
+value does; cards and IBANs are tried at every place with their check digits (Luhn,
+97), so what is not valid takes nothing away from its neighbours. A valid value
 is mapped to another valid value of its own format: its digits are read as a pair
 of numbers (a, b) from fixed ranges, and a Feistel network on that pair, keyed by
 SHA-256, permutes all pairs. So equal values stay equal in every document, unequal
@@ -19,29 +23,140 @@ other columns pass, ``n_pii`` replaces an input column of that name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.llm.common import let
 
 ROUNDS = 8
 
-# Patterns of candidates, tried in this order at each place.
-KINDS: tuple[tuple[str, str], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"),
+# Where a value may begin.
+BORDER = r"(?<![A-Za-z0-9.@+_-])"
+
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+
+# Days that exist, of 1900 to 2099: two digits (0) or one or two (0?) for day and month.
+YEAR = "(?:19|20)[0-9]{2}"
+LEAP_YEAR = "(?:(?:19|20)(?:0[48]|[2468][048]|[13579][26])|2000)"
+
+
+def day_month(first: str, zero: str, cut: str) -> tuple[str, str]:
+    """Patterns of a day and a month in either order, of any year and of leap years."""
+    day = {29: f"(?:{zero}[1-9]|1[0-9]|2[0-8])", 30: f"(?:{zero}[1-9]|[12][0-9]|30)",
+           31: f"(?:{zero}[1-9]|[12][0-9]|3[01])"}
+    pairs = [(day[31], f"(?:{zero}[13578]|1[02])"), (day[30], f"(?:{zero}[469]|11)"), (day[29], f"{zero}2")]
+    join = lambda d, m: d + cut + m if first == "day" else m + cut + d
+    return "(?:" + "|".join(join(d, m) for d, m in pairs) + ")", join("29", f"{zero}2")
+
+
+def dates_ymd() -> str:
+    usual, leap = day_month("month", "0", "[-/.]")
+    return f"(?:{YEAR}[-/.]{usual}|{LEAP_YEAR}[-/.]{leap})(?![A-Za-z0-9])"
+
+
+def dates_dmy() -> str:
+    (day, leap_day), (month, leap_month) = (day_month(f, "0?", "[/.-]") for f in ("day", "month"))
+    return (f"(?:(?:{day}|{month})[/.-]{YEAR}|(?:{leap_day}|{leap_month})[/.-]{LEAP_YEAR})"
+            "(?![A-Za-z0-9])")
+
+
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU"}
+
+
+def ibans() -> list[str]:
+    """Patterns of IBANs: of the length of the country; the longest of any country; and of
+    other lengths, longest first, where the country has no known one."""
+    def of(country: str, length: int) -> str:
+        fours, rest = divmod(length - 4, 4)
+        return f"{country}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    exact = "|".join(of("(?:" + c.replace(" ", "|") + ")", n) + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+    longest = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    return [exact, longest, *(of(f"(?!{known})[A-Z]{{2}}", n) for n in range(34, 14, -1))]
+
+
+CARDS = ["[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5}"]
+#: Where a card or an IBAN may begin, and how much text one needs with what follows it.
+NUMBER_PLACE = BORDER + (r"(?=[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4}|[0-9]{13}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"
+                         r"|3[0-9]{3}[ -][0-9]{6})")
+NUMBER_CHARS, NUMBER_PIECES = 64, 16
+
+END = "(?!-?[A-Za-z0-9])"  # of a phone
+US_PHONE = rf"(?:1[ .-])?[2-9][0-9]{{2}}[ .-][2-9][0-9]{{2}}[ .-][0-9]{{4}}{END}"
+TAIL = rf"[ .-](?!{US_PHONE})"
+
+
+def groups(before: str, lengths: tuple[int, ...], tail: str = "") -> str:
+    """``before`` with a country code or none, and two or three groups of digits, the first
+    of them in brackets if there are three."""
+    *first, a, b = lengths
+    bracket = rf"\([0-9]{{{first[0]}}}\)[ .-]?" if first else ""
+    return rf"{before}{bracket}[0-9]{{{a}}}[ .-][0-9]{{{b}}}" + (f"{TAIL}[0-9]{{{tail}}}" if tail else "")
+
+
+def marked_phones() -> list[str]:
+    """Forms with a plus or brackets, longest first: 8 to 15 digits in all, one more group
+    only after fewer than ten digits without the country code."""
+    plain = [(a, b) for a in (4, 3, 2) for b in (4, 3)]
+    bracketed = [(p, *ab) for p in (4, 3, 2) for ab in plain]
+    code = r"\+[0-9]{1,3}[ .-]?"
+    more = [groups(f"(?:{code})?", g, "2,4" if sum(g) < 9 else "2,3") for g in bracketed if sum(g) < 10]
+    more += [groups(code, g, "2,4") for g in plain]
+    full = [groups(f"(?:{code})?" if sum(g) > 7 else code, g) for g in bracketed]
+    full += [groups(rf"\+[0-9]{{{max(1, 8 - sum(g))},3}}[ .-]?", g) for g in plain]
+    return [f"(?:{p}){END}" for p in more + full]
+
+
+#: Complete North American forms with a plus or brackets.
+FULL_PHONE = (rf"(?:\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})|(?<!\+[0-9]{{1,3}} )\([0-9]{{3}}\))"
+              rf"[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}{END}")
+#: Other forms with a plus or brackets, of 8 to 15 digits, and the usual one without.
+OTHER_PHONE = "|".join([r"(?=[+(])(?:" + "|".join(marked_phones()) + ")", r"\+[0-9]{8,15}(?![A-Za-z0-9])", US_PHONE])
+#: Ten digits, or eleven from 1, in unusual groups.
+LOOSE_PHONE = "|".join(
+    rf"(?={'1[ .-]?' if sum(g) == 11 else ''}[2-9](?:[ .-]?[0-9]){{2}}[ .-]?[2-9])"
+    + "[ .-]".join(f"[0-9]{{{n}}}" for n in g) + END
+    for g in ((2, 4, 4), (3, 4, 3), (4, 3, 3), (4, 4, 2), (3, 4, 4), (4, 3, 4), (4, 4, 3)))
+
+# Kinds by level, each tried in what the levels before left. A pattern fits nothing but
+# valid values; cards and IBANs have check digits, so they have a level of their own.
+Kinds = tuple[tuple[str, str], ...]
+NAMED: Kinds = (
+    ("email", EMAIL),
     ("aws_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?"
-               r"[A-Za-z0-9+/_.-]{8,}[\"']?"),
-    ("hex_key", r"[0-9a-f]{32,64}(?![A-Za-z0-9])"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ipv4", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])"),
-    ("date_ymd", r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}(?![A-Za-z0-9])"),
-    ("date_dmy", r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}(?![A-Za-z0-9])"),
-    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
-    ("card", r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])"),
-    ("phone", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}[ .-][0-9]{3,4}"
-              r"(?:[ .-][0-9]{2,4})?(?![A-Za-z0-9-])|\+[0-9]{8,15}(?![A-Za-z0-9])"),
+               rf"(?!{EMAIL})(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{{8,}}[\"']?"),
+    ("hex_key", r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"),
+)
+FULL_PHONES: Kinds = (("phone", FULL_PHONE),)
+SHORT: Kinds = (
+    ("ipv4", rf"(?:{OCTET}\.){{3}}{OCTET}(?![A-Za-z0-9]|\.[0-9])"),
+    ("date_ymd", dates_ymd()),
+    ("date_dmy", dates_dmy()),
+    ("ssn", r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])"),
 )
-CANDIDATE = r"(?<![A-Za-z0-9.@+_-])(?:" + "|".join(p for _, p in KINDS) + ")"
+OTHER_PHONES: Kinds = (("phone", OTHER_PHONE),)
+LOOSE_PHONES: Kinds = (("phone", LOOSE_PHONE),)
+
+# A run of words with digits, or of few capitals, one space apart: no kind but the named
+# ones goes beyond one.
+RUN_CHARS = "A-Za-z0-9+()./@_-"
+DIGIT_WORD = r"(?=[A-Za-z+()./@_-]*+[0-9])[" + RUN_CHARS + "]++"
+SHORTEST = "(?:[0-9][^0-9]{0,3}){4}|[A-Z]{2}[0-9]{2}"
+RUN = f"(?<![{RUN_CHARS}]){DIGIT_WORD}(?: (?:{DIGIT_WORD}|[A-Z]{{1,4}}(?![{RUN_CHARS}])))*+"
+
+
+def alternation(kinds: Kinds) -> str:
+    return BORDER + "(?:" + "|".join(f"(?:{p})" for _, p in kinds) + ")"
 
 
 def digits_of(value: Column) -> Column:
@@ -278,30 +393,106 @@ MAKERS = {"email": email, "aws_key": aws_key, "secret": secret, "hex_key": hex_k
           "card": card}
 
 
-def pseudonym(key: str, hit: Column) -> Column:
+def pseudonym(key: str, hit: Column, kinds: Kinds) -> Column:
     """The pseudonym of one candidate, or null if it is valid for no kind."""
-    made = [F.when(hit.rlike("^(?:" + pattern + ")$"), MAKERS[kind](key, hit)) for kind, pattern in KINDS]
+    made = [F.when(hit.rlike("^(?:" + pattern + ")$"), MAKERS[kind](key, hit)) for kind, pattern in kinds]
     return F.coalesce(*made)
 
 
+Replaced = Callable[[Column], Column]  # text to a struct of the text with pseudonyms and how many
+
+
+def as_is(text: Column) -> Column:
+    return F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+
+
+def joined(parts: Column) -> Column:
+    """One struct of an array of them."""
+    return let(parts, lambda ps: F.struct(
+        F.array_join(F.transform(ps, lambda p: p["text"]), "").alias("text"),
+        F.aggregate(ps, F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("n")))
+
+
+def by_pattern(text: Column, pattern: str, change: Replaced, rest: Replaced) -> Column:
+    """``change`` of what fits the pattern, ``rest`` of what lies between."""
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    between = F.transform(F.split(text, pattern), rest)  # ``rest`` once, or levels would multiply
+    return joined(F.flatten(F.zip_with(between, hits, lambda b, h: F.filter(F.array(b, h), F.isnotnull))))
+
+
+def by_kinds(text: Column, key: str, kinds: Kinds, rest: Replaced) -> Column:
+    def change(hit: Column) -> Column:
+        return let(pseudonym(key, hit, kinds), lambda now: F.struct(
+            F.coalesce(now, hit).alias("text"), now.isNotNull().cast("long").alias("n")))
+
+    return by_pattern(text, alternation(kinds), change, rest)
+
+
+def number_at(key: str, text: Column) -> Column:
+    """The card or IBAN at the beginning of a text, as ``was`` and ``now``, or null."""
+    tried = [F.regexp_extract(text, f"^(?:{p})(?![A-Za-z0-9])", 0) for p in (*CARDS, *ibans())]
+    return F.get(F.filter(F.transform(
+        F.filter(F.array(*tried), lambda was: was != ""),
+        lambda was: F.struct(was.alias("was"), F.when(was.rlike("^[0-9]"), card(key, was))
+                             .otherwise(iban(key, was)).alias("now"))),
+        lambda hit: hit["now"].isNotNull()), F.lit(0))
+
+
+def by_check_digits(text: Column, key: str, rest: Replaced) -> Column:
+    """Cards and IBANs replaced, wherever one begins; ``rest`` of what lies between.
+
+    The text is cut at each place where one may begin. A place whose candidates all fail
+    takes nothing away from the places after it.
+    """
+    def ahead(pieces: Column, i: Column) -> Column:
+        return F.left(F.array_join(F.transform(F.slice(pieces, i + 1, F.lit(NUMBER_PIECES)), lambda p: F.left(
+            p, F.lit(NUMBER_CHARS))), ""), F.lit(NUMBER_CHARS))
+
+    # plain: text since the last value; skip: characters of a value still to pass over.
+    start = F.struct(
+        F.lit(0).alias("skip"), F.lit("").alias("plain"),
+        F.array().cast("array<struct<plain:string,now:string>>").alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        hit = F.when(s["skip"] == 0, x["hit"])
+        passed = F.when(hit.isNull(), s["skip"]).otherwise(F.length(hit["was"]))
+        left_over = F.substring(x["piece"], passed + 1, F.length(x["piece"]))
+        found = F.concat(s["found"], F.array(F.struct(s["plain"].alias("plain"), hit["now"].alias("now"))))
+        return F.struct(
+            F.greatest(passed - F.length(x["piece"]), F.lit(0)).alias("skip"),
+            F.when(hit.isNull(), F.concat(s["plain"], left_over)).otherwise(left_over).alias("plain"),
+            F.when(hit.isNull(), s["found"]).otherwise(found).alias("found"))
+
+    def pieces_of(pieces: Column) -> Column:
+        return F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), F.when(
+            p.rlike("^[A-Z0-9]{4}"), let(ahead(pieces, i), lambda t: F.when(
+                t.rlike("^" + NUMBER_PLACE), number_at(key, t)))).alias("hit")))
+
+    def finish(s: Column) -> Column:
+        last = F.struct(s["plain"].alias("plain"), F.lit(None).cast("string").alias("now"))
+        return joined(F.transform(F.concat(s["found"], F.array(last)), lambda f: let(
+            rest(f["plain"]), lambda r: F.struct(
+                F.concat(r["text"], F.coalesce(f["now"], F.lit(""))).alias("text"),
+                (r["n"] + f["now"].isNotNull().cast("long")).alias("n")))))
+
+    return let(F.aggregate(let(F.split(text, NUMBER_PLACE), pieces_of), start, step), finish)
+
+
 def replace_pii(text: Column, key: str) -> Column:
     """A struct of the text with pseudonyms and how many there are, for texts with candidates."""
-    hits = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
-                       lambda h: F.struct(h.alias("was"), pseudonym(key, h).alias("now")))
-    between = F.split(text, CANDIDATE)
-    return let(hits, lambda hs: F.struct(
-        F.array_join(F.zip_with(between, hs, lambda b, h: F.concat(
-            b, F.coalesce(h["now"], h["was"], F.lit("")))), "").alias("text"),
-        F.size(F.filter(hs, lambda h: h["now"].isNotNull())).cast("long").alias("n_pii")))
+    loose = lambda t: by_kinds(t, key, LOOSE_PHONES, as_is)
+    other = lambda t: by_kinds(t, key, OTHER_PHONES, loose)
+    short = lambda t: by_kinds(t, key, SHORT, other)
+    checked = lambda t: by_check_digits(t, key, short)
+    run = lambda t: F.when(t.rlike(SHORTEST), by_kinds(t, key, FULL_PHONES, checked)).otherwise(as_is(t))
+    return by_kinds(text, key, NAMED, lambda t: by_pattern(t, RUN, run, as_is))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``, and ``n_pii``."""
     text = F.col(text_col).cast("string")
-    untouched = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_pii"))
-    done = F.when(text.rlike("[0-9@]"), F.when(
-        text.rlike(CANDIDATE), replace_pii(text, key)).otherwise(untouched)).otherwise(untouched)
+    done = F.when(text.rlike("[0-9@]"), replace_pii(text, key)).otherwise(as_is(text))
     carried = [c for c in docs.columns if c.lower() not in ("n_pii", "_done")]
     rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.explode(F.array(done)).alias("_done"))
     return rows.select(*[F.col("_done.text").alias(c) if c == text_col else F.col(f"`{c}`")
-                         for c in carried], F.col("_done.n_pii").alias("n_pii"))
+                         for c in carried], F.col("_done.n").alias("n_pii"))
