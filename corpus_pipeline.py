@@ -6,7 +6,7 @@ stage's ``docs``. All but the last return the columns of ``documents``:
 
 1. ``quality_rules`` drops the documents that the rules reject;
 2. ``jaccard_join`` keeps one document, that of the smallest id, of each group of
-   near copies (3-word shingles, 90 %); documents without words and without an id
+   near copies (5-word shingles, 80 %); documents without words and without an id
    link with nothing and stay, of rows that repeat an id one stays;
 3. ``pii`` replaces personal data by pseudonyms;
 4. ``mix_sources`` repeats and leaves out documents so that sources come near
@@ -28,6 +28,9 @@ from loomline.llm import jaccard_join, mixing, packing, pii, quality_rules
 from loomline.llm.queries import pii_key, vocabulary_path
 from loomline.session import stage
 
+# Near copies share four fifths of their shingles of five words; op4's query keeps its own contract.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,7 +42,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
-    joined = jaccard_join.join_similar(docs)
+    joined = jaccard_join.join_similar(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
     kept = stage(joined.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
     one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one_each.unionByName(docs.filter("doc_id IS NULL"))

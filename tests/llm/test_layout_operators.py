@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import random
 import re
 import struct
 import zlib
@@ -248,6 +249,39 @@ def test_stages_against_plain_versions(spark):
     assert pieces == mixed
 
 
+def test_near_copies_of_four_fifths_are_dropped(spark):
+    """Copies whose five-word Jaccard lies between 0.8 and 0.9, by one passage or by single
+    words, go; those below 0.8 stay."""
+    def grams(words):
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+    def near(a, b):
+        x, y = grams(a), grams(b)
+        return len(x & y) / len(x | y)
+
+    rng = random.Random(5)
+    rows, gone, left = [], set(), set()
+    for group in range(60):
+        words = [f"w{group}x{i}" for i in range(rng.randrange(100, 401))]
+        first = 1000 * group
+        rows.append((first, " ".join(words), "en", "s", 1))
+        left.add(first)
+        for k in range(1, 9):
+            copy, edits = list(words), rng.randrange(1, len(words) // 10)
+            start = rng.randrange(len(words) - edits)
+            for at in range(start, start + edits) if k % 2 else rng.sample(range(len(words)), max(1, edits // 4)):
+                copy[at] = f"new{group}y{k}y{at}"
+            value = near(words, copy)
+            if 0.8 <= value < 0.9 or value < 0.65:
+                rows.append((first + k, " ".join(copy), "en", "s", 1))
+                (gone if value >= 0.8 else left).add(first + k)
+                break
+    assert len(gone) > 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()}
+    assert got == left
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = corpus(spark).limit(0)
     for _, function in corpus_pipeline.STAGES:
