@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomline.llm import (
     html_text, jaccard_join, lattice_dedup, mixing, packing, pii, quality_rules, suffix_tree,
-    toxicity, warc)
+    token_blocks, toxicity, warc, whitening)
 from loomline.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(pages, warc.archive_folder(pages))
     return warc.read_archives(archives, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op12_token_blocks")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = token_blocks.write_blocks(docs, vocabulary_path(token_blocks.VOCABULARY),
+                                        token_blocks.block_folder(docs))
+    return token_blocks.read_blocks(written)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
