@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomline.llm import (
-    html_text, jaccard_join, lattice_dedup, mixing, packing, pii, quality_rules, suffix_tree,
-    token_blocks, toxicity, warc, whitening)
+    html_text, jaccard_join, lattice_dedup, mixing, packing, phrase_mining, pii, quality_rules,
+    suffix_tree, token_blocks, toxicity, warc, whitening)
 from loomline.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +166,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+t AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 2))) AS k FROM s),
+f AS (SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, k, count(*) AS f
+      FROM t GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS g, f AS a FROM f WHERE k > 1 AND f >= 30),
+ks AS (SELECT lang, phrase, g, a, unnest(range(1, len(g))) AS k FROM c),
+sides AS (SELECT lang, phrase, a, k, array_to_string(list_slice(g, 1, k), ' ') AS first,
+                 array_to_string(list_slice(g, k + 1, len(g)), ' ') AS rest FROM ks),
+cuts AS (SELECT s.lang, s.phrase, s.a, s.k, x.f AS l, y.f AS r, (2000000::HUGEINT * s.a) // (x.f + y.f) AS score
+         FROM sides s JOIN f x ON x.lang = s.lang AND x.phrase = s.first
+                      JOIN f y ON y.lang = s.lang AND y.phrase = s.rest),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+starts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS i FROM c),
+lens AS (SELECT lang, g, a, i, unnest(range(2, len(g) - i + 2)) AS k FROM starts),
+parts AS (SELECT lang, a AS b, array_to_string(list_slice(g, i, i + k - 1), ' ') AS phrase
+          FROM lens WHERE k < len(g)),
+gone AS (SELECT DISTINCT best.lang, best.phrase FROM best JOIN parts USING (lang, phrase) WHERE 100 * b >= 80 * a),
+top AS (SELECT lang, phrase, a, l, r, score::BIGINT AS score,
+               row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+        FROM best ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM top JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op11_phrase_mining", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @query("op12_token_blocks")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
