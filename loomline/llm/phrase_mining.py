@@ -52,7 +52,7 @@ BREAKS = b",;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(BREAKS + b"\t", b"." * len(BREAKS) + b" ")
 SCALE = 2_000_000
 HIGHEST = SCALE + 1
-BATCH_BYTES = 4 << 20  # texts of one row of codes
+BATCH_BYTES = 2 << 20  # texts of one row of codes
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
