@@ -16,7 +16,7 @@ all little-endian; the block starts index the blocks, the id starts the document
 any document is read by seeking to its blocks. Task attempts write files of their own
 name, and only the files of successful attempts enter the list that readers go by.
 
-Encoding: a worker remembers the ids of the chunks between blanks. A cut before a blank
+Encoding: a worker remembers the ids of the chunks between blanks, up to a bound. A cut before a blank
 that a non-blank character follows, or that follows one, never lies inside a piece of the
 byte-level tokenizer, so the ids are those of the whole text (tested); texts with other
 runs of white space are cut only where white space begins.
@@ -36,11 +36,12 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomline.session import fresh_dir, stage
@@ -49,11 +50,13 @@ VOCABULARY = "byte_bpe_50k.json"
 MAGIC, BLOCK = b"PFOR0001", 1024
 HEAD = struct.Struct("<IHBH")
 FOOTER = struct.Struct("<QQQ8s")  # blocks, documents, place of the block starts
-REMEMBERED = 1_000_000  # chunks that a worker remembers before it starts anew
+ENCODED_BYTES = 8 << 20  # texts encoded at a time
+REMEMBERED = 2_000_000  # chunks that a worker remembers before it starts anew
 # White space where a cut before a blank or line feed could fall inside a piece.
 INSIDE = re.compile(r"\s[ \n](?!\S)")
 RUNS = re.compile(r"(?<=\S)(?=\s)")
 ENDING = re.compile(r"(.*[A-Za-z0-9])([.,;:!?)\"]+)", re.DOTALL)
+WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")  # one piece with the blank before it
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
@@ -64,8 +67,21 @@ def encoder_of(path: str) -> "ChunkEncoder":
     return _encoders[path]
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian bytes, by chunks."""
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself where it shows,
+    else the next one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+class ChunkEncoder(dict):
+    """Ids of chunks as little-endian bytes, encoded when first asked for.
+
+    A chunk that starts with neither a line feed nor NUL stands for itself with a blank
+    before it; one that starts with NUL for what follows. Plain words are one piece of the
+    tokenizer, so they go to its merges at once; marks after a word are pieces of their own.
+    """
 
     def __init__(self, path: str) -> None:
         # Spark gives each worker one core; threads of the library would only wait for it.
@@ -73,60 +89,66 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.marks: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ending = None if chunk[-1:].isalnum() or len(chunk) > 64 else ENDING.fullmatch(chunk)
+        if ending:
+            word, marks = ending.groups()
+            if marks not in self.marks:
+                self.marks[marks] = self.whole(marks)
+            ids = self[word] + self.marks[marks]
+        elif WORD.fullmatch(chunk):
+            piece = b" " + chunk.encode()
+            ids = array("I", [t.id for t in self.merges.tokenize(
+                piece.decode("latin-1").translate(self.letters))]).tobytes()
+        else:
+            ids = self.whole(chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk)
+        if len(chunk) <= 256:  # whole texts and long runs are not worth remembering
+            self[chunk] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        coded = self.tokenizer.encode_batch_fast((text,), add_special_tokens=False)
+        return array("I", coded[0].ids).tobytes()
 
     def chunks(self, text: str) -> list[str]:
-        """Chunks of a text. A chunk that starts with neither a blank nor a line feed
-        stands for itself with a blank before it; the first has a NUL before it."""
-        if any(s in text for s in self.special):
+        """Chunks of a text, cut where no piece of the tokenizer can lie across."""
+        if "\0" in text or any(s in text for s in self.special):
             return ["\0" + text]
         if INSIDE.search(text):
             found = RUNS.split(text)
-            return ["\0" + found[0], *(c[1:] if c[0] == " " and c[1:2].strip() and c[1] != "\0"
-                                       else "\0" + c for c in found[1:])]
+            return ["\0" + found[0], *(c[1:] if c[0] == " " and c[1:2].strip() else "\0" + c for c in found[1:])]
         found = text.replace("\n", " \n").split(" ")
         found[0] = "\0" + found[0]
-        return found if "\0" not in text else ["\0" + text]
-
-    def learn(self, split: Iterable[list[str]]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.parts.clear()
-        fresh: set[str] = set()
-        for chunks in split:
-            fresh |= set(chunks).difference(self.known)
-        pieces: dict[str, tuple[str, ...]] = {}
-        for chunk in fresh:
-            text = chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk
-            ending = None if chunk[-1:].isalnum() or len(text) > 64 else ENDING.fullmatch(text)
-            pieces[chunk] = ending.groups() if ending else (text,)
-        unknown = list({p for some in pieces.values() for p in some if p}.difference(self.parts))
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at:at + 4096]
-            for text, enc in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[text] = array("I", enc.ids).tobytes()
-        for chunk, some in pieces.items():
-            self.known[chunk] = b"".join([self.parts[p] for p in some if p])
-        if any(len(c) > 256 for c in fresh):  # whole texts and long runs are not worth remembering
-            self.long = [c for c in fresh if len(c) > 256]
-            for c in self.long:
-                for p in pieces[c]:
-                    self.parts.pop(p, None)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(t) for t in texts]
+        if len(self) > REMEMBERED:
+            self.clear()
         gc.disable()  # a collection would walk all that is remembered
-        self.learn(split)
+        found = self.__getitem__
+        out = [b"".join(map(found, self.chunks(t))) for t in texts]
         gc.enable()
-        found = self.known.__getitem__
-        out = [b"".join(map(found, chunks)) for chunks in split]
-        for chunk in self.__dict__.pop("long", ()):
-            self.known.pop(chunk, None)
         return out
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``limit`` bytes in a string column, or one row."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def pack_block(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     """One block of at most 65535 ids."""
     least = int(ids.min())
@@ -134,11 +156,10 @@ def pack_block(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     rank = min(len(wide) - 1, int(len(wide) * percentile / 100))
     bits = int(np.partition(wide, rank)[rank]).bit_length()
     out = np.nonzero(wide >> bits)[0]
-    kept = wide.copy()
+    kept = wide.astype(np.uint32)
     kept[out] = 0
-    packed = np.packbits(((kept[:, None] >> np.arange(bits)) & 1).astype(np.uint8),
-                         bitorder="little").tobytes()
-    return b"".join((HEAD.pack(least, len(ids), bits, len(out)), packed,
+    flags = ((kept[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    return b"".join((HEAD.pack(least, len(ids), bits, len(out)), np.packbits(flags, bitorder="little").tobytes(),
                      out.astype("<u2").tobytes(), wide[out].astype("<u4").tobytes()))
 
 
@@ -147,14 +168,14 @@ def unpack_block(data: bytes) -> np.ndarray:
     least, count, bits, outliers = HEAD.unpack_from(data)
     at = HEAD.size
     size = -(-count * bits // 8)
-    flat = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * bits, bitorder="little")
-    ids = flat.reshape(count, bits).astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    flags = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * bits, bitorder="little")
+    ids = (flags.reshape(count, bits) @ (2.0 ** np.arange(bits))).astype(np.uint32)  # exact below 2**53
     at += size
     places = np.frombuffer(data, "<u2", outliers, at)
     ids[places] = np.frombuffer(data, "<u4", outliers, at + 2 * outliers)
     if at + 6 * outliers != len(data):
         raise ValueError("block does not end where its head says")
-    return (ids + least).astype(np.uint32)
+    return ids + np.uint32(least)
 
 
 class BlockWriter:
@@ -253,9 +274,8 @@ def write_blocks(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
         store, root = files.FileSystem.from_uri(folder)
         end = struct.pack("<I", end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                if writer is None and some.num_rows:
+            for some in by_bytes(batch, 1, ENCODED_BYTES):
+                if writer is None:
                     store.create_dir(root, recursive=True)
                     name, part = f"{uuid.uuid4().hex}.pfor", some.column(2)[0].as_py()
                     writer = BlockWriter(store.open_output_stream(f"{root}/{name}", compression=None), percentile)
