@@ -11,13 +11,16 @@ joined to its smallest member without a comparison.
 
 *Large sets* scan inverted lists, restricted to a prefix: in one order of all
 shingles, sets that link share a shingle among the first n - ceil(0.9 n) + 1 of
-each. The order is by hash level, then by how many documents hold the shingle, so
-that prefixes are made of rare shingles; only as many levels are counted as a
-prefix needs. Short lists make pairs, at most ``heavy`` squared a list. Members of
-long lists are dealt to buckets of bounded size, and each pair of buckets that a
-list connects is compared once, as a product of incidence matrices inside a task,
-which returns a spanning forest of its links. All links found are verified by
-exact intersection sizes.
+each. The order puts shingles last that repeat within batches of documents, by how
+often, so that prefixes are made of rare shingles; it is a table of ``ORDER_BITS``
+bits of hashes, however large the corpus, and any order gives the same links. Short
+lists make pairs, at most ``heavy`` squared a list. Members of long lists are dealt
+to chunks with some pivots of their cluster in each, and a chunk is compared inside a
+task as a product of incidence matrices, so near copies of one text become one
+component by their pivots. What is in different components after that is dealt to
+buckets of bounded size, and each pair of buckets that a list connects is compared,
+unless both are of one component. Tasks return spanning forests of links, and all links
+are verified by exact intersection sizes.
 
 The *boundary* between small and large minimises the estimated cost from the
 histogram of sizes and the mean length of lists. Sets a little below the boundary
@@ -47,10 +50,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.llm.components import connected_components, forest
+from loomline.operators.ranking import top_per_group
 from loomline.session import release, stage
 
 SMALL_LIMIT = 29  # sets above this size have too many subsets to be worth listing
-LEVELS = (0, 1, 2, 2, 3, 3, 3, 3)  # hash level of a shingle by its three highest bits
+ORDER_BITS = 20  # size of the table of frequent shingles
+PIVOTS, OWN_BUCKET = 16, 64  # pivots of a cluster; components from this size have buckets of their own
+BUCKET_SHINGLES = 400_000  # a bucket holds no more shingles than this, or one set
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,11 +97,28 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, n``, a 128-bit key of the set, the shingles of the levels that its
-    prefix needs, their number by level, and the whole set if it is small."""
-    levels = np.array(LEVELS)
+def frequency_order(docs: DataFrame, size: int) -> np.ndarray:
+    """A class of frequency for each bucket of shingle hashes; 0 where none repeats."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                texts = whole.column(1).slice(at, 512).to_pylist()
+                s, n = np.unique(np.concatenate([shingles(t, size) for t in texts]), return_counts=True)
+                s, n = s[n > 1], n[n > 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)), pa.array(n, pa.int64())],
+                    ["bucket", "f"])
 
+    order = np.zeros(1 << ORDER_BITS, dtype=np.uint8)
+    found = docs.mapInArrow(run, "bucket long, f long").groupBy("bucket").agg(
+        F.least(F.floor(F.log2(F.sum("f")) * 4), F.lit(255)).cast("int").alias("class")).toArrow()
+    order[found["bucket"].to_numpy()] = found["class"].to_numpy()
+    return order
+
+
+def signatures(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> DataFrame:
+    """``doc_id, n``, a 128-bit key of the set, its prefix in order, and the whole set if
+    it is small."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -104,24 +127,18 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for text in batch.column(1).to_pylist():
                     s = shingles(text, size)
                     n = len(s)
-                    level = levels[(s >> np.uint64(61)).astype(np.int64)]
-                    per_level = np.bincount(level, minlength=4)
-                    need = prefix_size(n, percent) if n else 0
-                    last = int(np.searchsorted(np.cumsum(per_level), need))
-                    per_level[last + 1:] = 0
+                    first = np.argsort(order[s >> np.uint64(64 - ORDER_BITS)], kind="stable")
+                    prefix = s[first[:prefix_size(n, percent) if n else 0]]
                     out.append((n, int(s.sum(dtype=np.uint64).astype(np.int64)),
                                 int(mix(s).sum(dtype=np.uint64).astype(np.int64)),
-                                s[:int(per_level.sum())].view(np.int64), per_level.tolist(),
-                                s.tobytes() if n <= SMALL_LIMIT else None))
-                n, k1, k2, tokens, per_level, small = zip(*out)
+                                prefix.view(np.int64), s.tobytes() if n <= SMALL_LIMIT else None))
+                n, k1, k2, tokens, small = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
                      pa.array(k2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-                     pa.array(per_level, pa.list_(pa.int32())), pa.array(small, pa.binary())],
-                    ["doc_id", "n", "k1", "k2", "tokens", "emitted", "small"])
+                     pa.array(small, pa.binary())], ["doc_id", "n", "k1", "k2", "tokens", "small"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens array<long>, "
-                                "emitted array<int>, small binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens array<long>, small binary")
 
 
 def choose_boundary(sets: DataFrame, percent: int, scan_weight: float = 8.0) -> int:
@@ -183,43 +200,10 @@ def prefix_index(sets: DataFrame, least_size: int, percent: int) -> DataFrame:
     for a partner of the same size. Of two sets that link, the smaller holds a common
     shingle of both prefixes in its ``first`` part.
     """
-    able = sets.filter(F.col("n") >= least_size)
-    tokens = able.select("doc_id", F.explode("tokens").alias("token"))
-    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "lists")
-    known = tokens.join(shared, "token").groupBy("doc_id").agg(
-        F.collect_list(F.struct("df", "token")).alias("listed"))
-    levels = np.array(LEVELS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, sizes, emitted, listed = (batch.column(i) for i in range(4))
-            out_doc, out_n, out_token, out_pos = [], [], [], []
-            for doc, n, per_level, rows in zip(docs.to_pylist(), sizes.to_pylist(),
-                                               emitted.to_pylist(), listed):
-                df = rows.values.field("df").to_numpy(zero_copy_only=False)
-                token = rows.values.field("token").to_numpy(zero_copy_only=False)
-                level = levels[(token.view(np.uint64) >> np.uint64(61)).astype(np.int64)]
-                order = np.lexsort((token, df, level))
-                room, passed = prefix_size(n, percent), 0
-                for at in range(4):
-                    here = order[level[order] == at]
-                    passed += per_level[at] - len(here)  # shingles of no other set come first
-                    if passed >= room:
-                        break
-                    taken = here[:room - passed]
-                    out_pos.append(np.arange(passed, passed + len(taken)))
-                    passed += len(taken)
-                    out_token.append(token[taken])
-                    out_doc.append(np.full(len(taken), doc, dtype=np.int64))
-                    out_n.append(np.full(len(taken), n, dtype=np.int64))
-            if out_token:
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(c), pa.int64()) for c in (out_token, out_doc, out_n)),
-                     pa.array(np.concatenate(out_pos), pa.int64())], ["token", "doc", "n", "pos"])
-
-    rows = known.join(able.select("doc_id", "n", "emitted"), "doc_id").select(
-        "doc_id", "n", "emitted", "listed")
-    return rows.mapInArrow(run, "token long, doc long, n long, pos long").withColumn(
+    tokens = sets.filter(F.col("n") >= least_size).select(
+        F.col("doc_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "lists")
+    return tokens.join(shared, "token").select("token", "doc", "n", F.col("pos").cast("long").alias("pos")).withColumn(
         "first", F.col("n") - F.col("pos") >= needed(F.col("n"), F.col("n"), percent))
 
 
@@ -287,50 +271,86 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def heavy_links(lists: DataFrame, sets: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """Links between members of long lists: buckets that a list connects, two at a time.
+    """Links between members of long lists, enough of them to connect what links.
 
-    Lists that share members are one cluster (the shingles of a common passage, say). A
-    set's bucket is its cluster and its class of size, dealt by hash where it is large, so
-    few buckets hold the sets of a list and only buckets of like sizes meet.
+    Lists that share members are one cluster (the shingles of a common passage, say).
+    First the members of a cluster are compared in chunks that its pivots join, then
+    those that lie in different components, in buckets of like size.
     """
-    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     first = stage(lists.groupBy("doc", "n").agg(F.min("token").alias("token")), "first")
     clusters = connected_components(
         lists.select("doc", F.col("token").alias("a")).join(
             first.select("doc", F.col("token").alias("b")), "doc").select("a", "b"))
     homes = stage(first.join(clusters.withColumnRenamed("node", "token"), "token", "left").select(
-        "doc", "n", F.coalesce("component", "token").alias("home"), size_class.alias("class")), "homes")
-    counts = stage(homes.groupBy("home", "class").agg(
-        F.ceil(F.count("*") / bucket).cast("int").alias("parts")), "homes")
+        "doc", "n", F.coalesce("component", "token").alias("home")), "homes")
+    release(first)
+    near = stage(chunk_links(homes, sets, percent, bucket), "near")
+    far = stage(bucket_links(homes, lists, sets, near, percent, bucket), "far")
+    release(homes)
+    return near.unionByName(far)
+
+
+def chunk_links(homes: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Links inside chunks of a cluster; the pivots of the cluster are in each chunk."""
+    pivots = stage(top_per_group(homes, ["home"], [F.xxhash64("doc"), F.col("doc")], PIVOTS, F.col("doc"))
+                   .select("home", "doc"), "pivots")
+    sizes = homes.groupBy("home").agg(F.greatest(
+        F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / BUCKET_SHINGLES)).cast("int").alias("parts"))
+    parts = stage(sizes, "parts")
+    own = homes.join(parts, "home").select(
+        "home", "doc", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int").alias("part"))
+    shown = pivots.join(parts.filter("parts > 1"), "home").select(
+        "home", "doc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = own.unionByName(shown).distinct().join(sets, "doc")
+    return rows.groupBy("home", "part").applyInPandas(
+        lambda pdf: linked_rows(pdf, percent), "a long, b long")
+
+
+def linked_rows(pdf: pd.DataFrame, percent: int, sides: str | None = None) -> pd.DataFrame:
+    """A spanning forest of the links of a group's rows; with ``sides`` of those between
+    rows that differ in it."""
+    pdf = pdf.sort_values("doc", kind="stable").reset_index(drop=True)
+    a, b = linked_in_block([np.frombuffer(s, dtype=np.uint64) for s in pdf["set"]], percent)
+    if sides is not None:
+        across = pdf[sides].to_numpy()[a] != pdf[sides].to_numpy()[b]
+        a, b = a[across], b[across]
+    root = forest(a, b, len(pdf))
+    docs, moved = pdf["doc"].to_numpy(), root != np.arange(len(pdf))
+    return pd.DataFrame({"a": docs[moved], "b": docs[root[moved]]})
+
+
+def bucket_links(homes: DataFrame, lists: DataFrame, sets: DataFrame, near: DataFrame, percent: int,
+                 bucket: int) -> DataFrame:
+    """Links between components that a list connects, by pairs of buckets."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    joined = connected_components(near)
+    known = stage(homes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "doc", "n", "home", size_class.alias("class"), F.coalesce("component", "doc").alias("component")), "known")
+    large = stage(known.groupBy("component").count().filter(F.col("count") >= OWN_BUCKET).select(
+        "component", F.col("component").alias("own")), "large")
+    placed = known.join(large, "component", "left")
+    counts = stage(placed.groupBy("home", "class", "own").agg(F.greatest(
+        F.ceil(F.count("*") / bucket), F.ceil(F.sum("n") / BUCKET_SHINGLES)).cast("int").alias("parts")), "counts")
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    members = stage(homes.join(counts, ["home", "class"]).select(
-        "doc", "n", F.xxhash64("home", "class", part).alias("bucket")), "members")
-    ranges = stage(members.groupBy("bucket").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "buckets")
-    placed = stage(lists.select("token", "doc").join(members.select("doc", "bucket"), "doc")
+    members = stage(placed.alias("p").join(counts.alias("c"), (F.col("p.home") == F.col("c.home")) & (
+        F.col("p.class") == F.col("c.class")) & F.col("p.own").eqNullSafe(F.col("c.own"))).select(
+        "doc", "n", "component", "p.own", F.xxhash64("p.home", "p.class", F.coalesce("p.own", F.lit(-1)),
+                                                     F.col("p.own").isNull(), part).alias("bucket")), "members")
+    ranges = stage(members.groupBy("bucket").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("own")), "buckets")
+    spread = stage(lists.select("token", "doc").join(members.select("doc", "bucket"), "doc")
                    .select("token", "bucket").distinct().join(ranges, "bucket"), "buckets")
-    first = placed.select("token", F.col("bucket").alias("i"), F.col("lo").alias("lo_i"),
-                          F.col("hi").alias("hi_i"))
-    pairs = stage(first.join(placed, "token").filter(
+    one = spread.select("token", F.col("bucket").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"),
+                        F.col("own").alias("own_i"))
+    pairs = stage(one.join(spread, "token").filter(
         (F.col("i") <= F.col("bucket")) & (F.col("hi_i") * 100 >= F.col("lo") * percent)
-        & (F.col("hi") * 100 >= F.col("lo_i") * percent))
+        & (F.col("hi") * 100 >= F.col("lo_i") * percent)
+        & ~F.coalesce(F.col("own_i") == F.col("own"), F.lit(False)))
         .select("i", F.col("bucket").alias("j")).distinct(), "pairs")
     sided = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("bucket"))
-    full = stage(members.join(sets, "doc"), "members")
-    rows = sided.join(full, "bucket")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        pdf = pdf.sort_values("doc", kind="stable").reset_index(drop=True)
-        a, b = linked_in_block([np.frombuffer(s, dtype=np.uint64) for s in pdf["set"]], percent)
-        if i != j:
-            across = pdf["bucket"].to_numpy()[a] != pdf["bucket"].to_numpy()[b]
-            a, b = a[across], b[across]
-        root = forest(a, b, len(pdf))
-        docs = pdf["doc"].to_numpy()
-        moved = root != np.arange(len(pdf))
-        return pd.DataFrame({"a": docs[moved], "b": docs[root[moved]]})
-
-    return rows.groupBy("i", "j").applyInPandas(run, "a long, b long")
+    rows = sided.join(members.select("doc", "component", "bucket"), "bucket").join(sets, "doc")
+    return rows.groupBy("i", "j").applyInPandas(
+        lambda pdf: linked_rows(pdf, percent, "component"), "a long, b long")
 
 
 def linked_in_block(sets: list[np.ndarray], percent: int, columns: int = 4096
@@ -359,17 +379,17 @@ def linked_in_block(sets: list[np.ndarray], percent: int, columns: int = 4096
 
 
 def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int = 32,
-                 bucket: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+                 bucket: int = 512, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of each row of ``docs``; the class
     is the smallest id with the same set."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.col(text_col).cast("string").cast("binary").alias("text"))
-    signed = stage(signatures(texts, size, percent), "signatures")
+    signed = stage(signatures(texts, size, percent, frequency_order(texts, size)), "signatures")
     named = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stage(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
     sets = stage(named.join(classes.select(F.col("class_id").alias("doc_id"), "n", "k1", "k2"),
                             ["doc_id", "n", "k1", "k2"], "left_semi")
-                 .select("doc_id", "n", "tokens", "emitted", "small"), "sets")
+                 .select("doc_id", "n", "tokens", "small"), "sets")
 
     # What is left to read of the signatures is slim; their shingles go once they are used.
     slim = stage(signed.select("doc_id", "n", "k1", "k2"), "slim")
@@ -392,12 +412,15 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))) \
         .unionByName(long_.select(F.col("doc").alias("doc_id"))).distinct()
     full = stage(whole_sets(texts, stage(ids, "ids"), size), "wholes")
-    edges += [verified_pairs(pairs, full, percent), heavy_links(long_, full, percent, bucket)]
+    edges.append(stage(verified_pairs(pairs, full, percent), "edges"))
+    release(index, able, pairs)
+    edges.append(heavy_links(long_, full, percent, bucket))
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
+    links = stage(links.distinct(), "links")
+    release(full, lists, *edges[:-1])
     components = connected_components(links)
-    release(full, *edges[:-2])
     out = slim.join(classes, ["n", "k1", "k2"], "left").join(
         components.withColumnRenamed("node", "class_id"), "class_id", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))

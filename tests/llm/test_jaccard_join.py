@@ -10,16 +10,16 @@ from loomline.llm.components import connected_components
 SCHEMA = "doc_id long, text string, n long, class_id string"
 
 
-def sets_of(rows):
+def sets_of(rows, size=3):
     out = {}
     for i, text in rows:
         w = (text or "").encode().lower().split()
-        out[i] = {b" ".join(w[k:k + 3]) for k in range(max(len(w) - 2, 1))} if w else set()
+        out[i] = {b" ".join(w[k:k + size]) for k in range(max(len(w) - size + 1, 1))} if w else set()
     return out
 
 
-def brute(rows):
-    s = sets_of(rows)
+def brute(rows, percent=90, size=3):
+    s = sets_of(rows, size)
     root = {i: i for i in s}
 
     def top(i):
@@ -28,7 +28,7 @@ def brute(rows):
         return i
 
     for a, b in itertools.combinations(s, 2):
-        if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 90 * len(s[a] | s[b]):
+        if s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
             x, y = sorted((top(a), top(b)))
             root[y] = x
     return {i: (len(s[i]), top(i)) for i in s}
@@ -73,6 +73,25 @@ def test_equals_brute_force(spark, settings):
     assert found(spark, rows, **settings) == brute(rows)
 
 
+@pytest.mark.parametrize("settings", [{}, {"heavy": 3, "bucket": 8}])
+def test_five_words_at_80_percent(spark, monkeypatch, settings):
+    monkeypatch.setattr(J, "OWN_BUCKET", 4)
+    monkeypatch.setattr(J, "PIVOTS", 2)
+    rows = corpus(3, copies=90)
+    passage = " ".join(f"p{i}" for i in range(60))  # one passage in many texts that do not link
+    rows += [(1000 + i, f"{passage} " + " ".join(f"q{i}x{k}" for k in range(30))) for i in range(40)]
+    assert found(spark, rows, percent=80, size=5, **settings) == brute(rows, 80, 5)
+
+
+def test_order_puts_repeated_shingles_last(spark):
+    rows = [(i, "one two three four " + f"own{i} word{i} here{i}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "CAST(text AS BINARY) AS text")
+    order = J.frequency_order(docs.repartition(1), 3)
+    signed = J.signatures(docs, 3, 80, order).collect()
+    common = J.shingles(b"one two three", 3).view(np.int64)[0]
+    assert all(common not in r["tokens"] and len(r["tokens"]) == J.prefix_size(r["n"], 80) for r in signed)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"v{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "a b c"),
@@ -93,7 +112,7 @@ def test_repeated_and_null_ids(spark):
 def test_boundary_has_a_cost(spark):
     short = [(i, " ".join(f"x{i}_{k}" for k in range(12))) for i in range(30)]
     signed = J.signatures(spark.createDataFrame(
-        [(i, t.encode()) for i, t in short], "doc_id long, text binary"), 3, 90)
+        [(i, t.encode()) for i, t in short], "doc_id long, text binary"), 3, 90, np.zeros(1 << J.ORDER_BITS, np.uint8))
     assert 0 <= J.choose_boundary(signed, 90) <= J.SMALL_LIMIT
     assert J.subset_count(9, 90) == 2 and J.least_common(19, 20, 90) == 19
 
