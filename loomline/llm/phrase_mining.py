@@ -36,13 +36,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomline.operators.ranking import top_per_group
 from loomline.session import release, stage
@@ -53,6 +54,7 @@ PLAIN = bytes.maketrans(BREAKS + b"\t", b"." * len(BREAKS) + b" ")
 SCALE = 2_000_000
 HIGHEST = SCALE + 1
 BATCH_BYTES = 2 << 20  # texts of one row of codes
+TEXTS_AT_ONCE, CODES_AT_ONCE = 1000, 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +66,19 @@ class Rules:
     filter_bits: int = 25
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside hand tasks so many rows at once, since a text or a row of codes is large
+    and Arrow doubles the memory of a batch as it grows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words_and_breaks(text: bytes | None) -> list[bytes]:
     """Lower-case words in order; ``.`` stands for a break between pieces."""
     return (text or b"").lower().translate(PLAIN).replace(b".", b" . ").split()
@@ -323,14 +338,19 @@ def mine_phrases(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text"
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` surviving phrases of each language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).cast("binary").alias("lang"),
                         F.col(text_col).cast("string").cast("binary").alias("text"))
-    words, seed = count_words(texts, rules)
+    spark = docs.sparkSession
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        words, seed = count_words(texts, rules)
     spoken = words.filter(F.col("word") != F.lit(b"."))
     totals = stage(spoken.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     vocabulary = stage(spoken.filter(F.col("f") >= rules.least), "vocabulary")
     release(words)
     frequent, _ = bit_set(vocabulary, ["h"], rules)
-    coded = stage(code_texts(texts, frequent, seed), "codes")
-    pairs = stage(known_pairs(count_phrases(coded, 2, rules), vocabulary), "pairs")
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        coded = stage(code_texts(texts, frequent, seed), "codes")
+    with rows_at_once(spark, CODES_AT_ONCE):
+        pairs = stage(count_phrases(coded, 2, rules), "pairs")
+    pairs = stage(known_pairs(pairs, vocabulary), "pairs")
     able, _ = bit_set(pairs, ["h1", "h2"], rules)
 
     triples = fours = None
@@ -387,7 +407,9 @@ def count_triples(coded: DataFrame, pairs: DataFrame, cuts: DataFrame, able: Bit
     """Extensions of the pairs of this round."""
     expand, _ = bit_set(within(pairs, cuts, "bound"), ["h1", "h2"], rules)
     settle, _ = bit_set(within(pairs, cuts, "cut.score"), ["h1", "h2"], rules)
-    return stage(known_triples(count_phrases(coded, 3, rules, able, expand, settle), pairs), "triples")
+    with rows_at_once(coded.sparkSession, CODES_AT_ONCE):
+        counted = stage(count_phrases(coded, 3, rules, able, expand, settle), "triples")
+    return stage(known_triples(counted, pairs), "triples")
 
 
 def count_fours(coded: DataFrame, pairs: DataFrame, triples: DataFrame, cuts: DataFrame, able: BitSet, rules: Rules
@@ -395,13 +417,15 @@ def count_fours(coded: DataFrame, pairs: DataFrame, triples: DataFrame, cuts: Da
     """The triples that the scores of four words ask for, and extensions of triples."""
     expand, _ = bit_set(within(triples, cuts, "bound"), ["h1", "h2", "h3"], rules)
     settle, _ = bit_set(within(triples, cuts, "cut.score"), ["h1", "h2", "h3"], rules)
-    fours = stage(count_phrases(coded, 4, rules, able, expand, settle), "fours")
+    with rows_at_once(coded.sparkSession, CODES_AT_ONCE):
+        fours = stage(count_phrases(coded, 4, rules, able, expand, settle), "fours")
     asked = stage(within(known_fours(fours, pairs, triples).filter("missing"), cuts, "cut.score").select(
         F.col("h2").alias("h1"), F.col("h3").alias("h2"), F.col("h4").alias("h3")).distinct(), "asked")
     requested, rows = bit_set(asked, ["h1", "h2", "h3"], rules)
     if not rows:
         return None, fours
-    found = count_phrases(coded, 3, rules, able, exactly=requested)
+    with rows_at_once(coded.sparkSession, CODES_AT_ONCE):
+        found = stage(count_phrases(coded, 3, rules, able, exactly=requested), "found")
     return stage(known_triples(found.join(asked, ["h1", "h2", "h3"], "left_semi"), pairs), "triples"), fours
 
 
