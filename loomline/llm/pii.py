@@ -34,7 +34,8 @@ ROUNDS = 8
 # Where a value may begin.
 BORDER = r"(?<![A-Za-z0-9.@+_-])"
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"
+# No group is repeated without bound but possessively: such a group would take stack for each turn.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
 # Days that exist, of 1900 to 2099: two digits (0) or one or two (0?) for day and month.
@@ -121,11 +122,11 @@ FULL_PHONE = (rf"(?:\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})|(?<!\+[0-9]{{1,3}} )\
               rf"[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}{END}")
 #: Other forms with a plus or brackets, of 8 to 15 digits, and the usual one without.
 OTHER_PHONE = "|".join([r"(?=[+(])(?:" + "|".join(marked_phones()) + ")", r"\+[0-9]{8,15}(?![A-Za-z0-9])", US_PHONE])
-#: Ten digits, or eleven from 1, in unusual groups.
-LOOSE_PHONE = "|".join(
+#: Ten digits, or eleven from 1, in unusual groups, and not inside a longer row of numbers.
+LOOSE_PHONE = "(?<![0-9][ .-])(?:" + "|".join(
     rf"(?={'1[ .-]?' if sum(g) == 11 else ''}[2-9](?:[ .-]?[0-9]){{2}}[ .-]?[2-9])"
     + "[ .-]".join(f"[0-9]{{{n}}}" for n in g) + END
-    for g in ((2, 4, 4), (3, 4, 3), (4, 3, 3), (4, 4, 2), (3, 4, 4), (4, 3, 4), (4, 4, 3)))
+    for g in ((2, 4, 4), (3, 4, 3), (4, 3, 3), (4, 4, 2), (3, 4, 4), (4, 3, 4), (4, 4, 3))) + ")(?![ .-][0-9])"
 
 # Kinds by level, each tried in what the levels before left. A pattern fits nothing but
 # valid values; cards and IBANs have check digits, so they have a level of their own.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,8 +34,13 @@ def vocabulary_path(name: str = packing.VOCABULARY) -> str:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The key of the session; jobs whose output leaves a trusted place must set their own."""
-    return spark.conf.get(PII_KEY, "registered query")
+    """The key of the session. Where none is set a random one is drawn and kept in the
+    session, so values are linked within it and nobody can undo them later."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(PII_KEY, key)
+    return key
 
 
 OP1_SQL = """
