@@ -1,8 +1,9 @@
 """Packing (7): first-fit decreasing on a tournament tree of free space, in randomised groups.
 
 Documents are tokenised where they are read; a document longer than a sequence is
-cut into full sequences and one rest. Pieces go to groups by a hash of the
-document id. One task packs one group: pieces in falling order of length, each
+cut into full sequences and one rest. Pieces go to groups by a hash of document id,
+place and content, so neither rows of one id nor pieces of one document meet in a
+group. One task packs one group: pieces in falling order of length, each
 into the first sequence that has room, which a tournament tree over the free
 space finds in O(log n). A group holds ``group_docs`` documents on average
 however many there are, so tasks neither grow nor skew, and groups share nothing.
@@ -18,21 +19,23 @@ itself; very long texts are cut, never truncated; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_CHUNKS = 600_000  # what a worker remembers before it starts anew
-CACHED_WORDS = 700_000
+REMEMBERED = 1_500_000  # chunks that a worker remembers before it starts anew
 MARKS = rb".,#$%&*!|?:;()\"-"
 PARTS = re.compile(rb"([" + re.escape(MARKS) + rb"]*)(.*?)([" + re.escape(MARKS) + rb"]*)", re.DOTALL)
+LETTERS = re.compile(rb"[a-z]+")
 _coders: dict[str, "WordIds"] = {}
 
 
@@ -43,12 +46,13 @@ def coder_of(path: str) -> "WordIds":
     return _coders[path]
 
 
-class WordIds:
-    """Ids of texts as little-endian bytes, chunk by chunk between white space.
+class WordIds(dict):
+    """Ids of the chunks between white space as little-endian bytes, coded when first met.
 
-    A chunk is coded as marks, word and marks, since the tokenizer never joins a
-    letter or digit with a mark; the word goes by its lower case, as there. What
-    does not fit this form, or might hold a special token, is coded as it is.
+    A chunk is coded as marks, word and marks, since the tokenizer never joins a letter or
+    digit with a mark; the word goes by its lower case, as there. What does not fit this
+    form once the tokenizer has normalised it, or might hold a special token, is coded as
+    it is. A word of plain letters is one piece, so it goes to the merges at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,39 +61,35 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.normalize, self.merges = self.tokenizer.normalizer.normalize_str, self.tokenizer.model
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        parts = self.parts(chunk)
+        if parts != (chunk,):
+            ids = b"".join([self[p] for p in parts])
+        elif LETTERS.fullmatch(chunk):
+            ids = array("I", [t.id for t in self.merges.tokenize(chunk.decode("ascii"))]).tobytes()
+        else:
+            coded = self.tokenizer.encode_batch_fast((chunk.decode("utf-8"),), add_special_tokens=False)
+            ids = array("I", coded[0].ids).tobytes()
+        if len(chunk) <= 256:
+            self[chunk] = ids
+        return ids
 
     def parts(self, chunk: bytes) -> tuple[bytes, ...]:
-        if b"<" in chunk:
+        if LETTERS.fullmatch(chunk) or b"<" in chunk:
             return (chunk,)
         before, word, after = PARTS.fullmatch(chunk).groups()
-        text = word.decode("utf-8")
-        if not text or not text[0].isalnum() or not text[-1].isalnum():
+        if not word.isascii():
+            text = self.normalize(word.decode("utf-8"))
+            if not text or not text[0].isalnum() or not text[-1].isalnum():
+                return (chunk,)
+        elif not word or not word[:1].isalnum() or not word[-1:].isalnum():
             return (chunk,)
         return tuple(p for p in (before, word.lower(), after) if p)
 
-    def learn(self, split: Iterable[list[bytes]]) -> None:
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        fresh: set[bytes] = set()
-        for chunks in split:
-            fresh |= set(chunks).difference(self.known)
-        parts = {chunk: self.parts(chunk) for chunk in fresh}
-        unknown = list({p for some in parts.values() for p in some}.difference(self.words))
-        for at in range(0, len(unknown), 8192):
-            some = unknown[at:at + 8192]
-            coded = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8") for w in some], add_special_tokens=False)
-            for word, enc in zip(some, coded):
-                self.words[word] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
-        for chunk, some in parts.items():
-            self.known[chunk] = b"".join([self.words[p] for p in some])
-
     def of(self, chunks: list[bytes], end_id: int) -> bytes:
-        return b"".join(map(self.known.__getitem__, chunks)) + struct.pack("<I", end_id)
+        return b"".join(map(self.__getitem__, chunks)) + struct.pack("<I", end_id)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -128,15 +128,17 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, sequence: int = 2048, end_
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                split = [(t or b"").split() for t in part.column(1).to_pylist()]
-                coder.learn(split)
+                if len(coder) > REMEMBERED:
+                    coder.clear()
+                gc.disable()  # a collection would walk all that is remembered
                 out: list[tuple] = []
-                for doc_id, words in zip(part.column(0).to_pylist(), split):
-                    ids = coder.of(words, end_id)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = coder.of((text or b"").split(), end_id)
                     total = len(ids) // 4
                     for start in range(0, total, sequence):
                         piece = ids[4 * start:4 * (start + sequence)]
                         out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, piece))
+                gc.enable()
                 columns = list(zip(*out))
                 arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -154,9 +156,10 @@ def pack(docs: DataFrame, vocabulary: str, sequence: int = 2048, end_id: int = 1
          group_docs: int = 2048, seed: int = 7, with_ids: bool = False,
          text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset`` in it."""
-    groups = max(1, -(-docs.count() // group_docs))
+    groups = max(1, -(-docs.count() // group_docs))  # pieces differ little in number from documents
     pieces = tokenize_pieces(docs, vocabulary, sequence, end_id, with_ids, text_col, id_col)
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
+    grouped = pieces.withColumn("group", F.pmod(
+        F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
     schema = PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
