@@ -60,7 +60,8 @@ class MinerOptions:
 
     ``sim_th = 0.0`` asks for the threshold that grows with the line length.
     ``round_leaders`` only shapes the work (members tried as leaders per block
-    and round), see ``plans.mining``.
+    at first), see ``plans.mining``. ``dictionary_veto`` and ``pos_veto`` need a
+    lexicon table.
     """
 
     sim_th: float = 0.4
@@ -75,6 +76,8 @@ class MinerOptions:
     punctuation: bool = False
     reverse_blocks: bool = True
     static_veto: bool = False
+    dictionary_veto: bool = False
+    pos_veto: bool = False
     prefer: str = "most_wildcards"
     round_leaders: int = 64
 

@@ -12,29 +12,30 @@ trailing tokens, and by the count alone. In one pass
 The members of a leader are folded into one template, and the templates of one
 pass are the members of the next.
 
-Leaders are found in rounds, a bounded number per block and round, so what a
-block sends to its members is bounded too; members meet their block's leaders
-in one row, no pairs are written. A block stays whole: as long as it has members
-without a leader it goes on, all its members against the new leaders of the
-round, and blocks that are done leave. Each round settles ``round_leaders``
-members of every open block, so the number changes the rounds, not the result.
+The first ``round_leaders`` members of each block are tried at once: members meet
+their block's leaders in one row, no pairs are written. Most blocks are done with
+that. Blocks with members that have no leader yet go on with candidates from an
+index of rare marks and parallel rounds, see ``operators.leaders``. A block stays
+whole all the way, so ``round_leaders`` shapes the work, not the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from loomline.functions import facts as R
 from loomline.functions import similarity as S
 from loomline.functions import tokens as T
 from loomline.operators.blocks import cap_children, key_text
+from loomline.operators.leaders import (
+    GROWTH, Rounds, find_leaders, mark_index, nearest_leaders, placed_members)
 from loomline.operators.lines import distinct_shapes, with_tokens
 from loomline.operators.ranking import top_per_group
 from loomline.options import MinerOptions
-from loomline.session import stage
+from loomline.session import release, stage
 
 
 @dataclass(frozen=True)
@@ -63,14 +64,24 @@ def literal_marks(tokens: Column, wildcard: str) -> Column:
         tagged, lambda m: ~m.endswith(T.SEP + wildcard)))
 
 
-def compare(leader: Column, member: dict[str, Column], n: Column, options: MinerOptions) -> Column:
+def shown_columns(options: MinerOptions) -> list[str]:
+    """What a comparison reads of a member."""
+    rules = options.dictionary_veto or options.pos_veto
+    return ["marks", "params"] + (["tokens"] if options.static_veto or rules else []) + (["facts"] if rules else [])
+
+
+def compare(leader: Column, member: Callable[[str], Column], n: Column, options: MinerOptions) -> Column:
     """Similarity of a leader struct and a member; a veto makes it zero."""
-    common = F.size(F.array_intersect(leader["marks"], member["marks"]))
+    common = F.size(F.array_intersect(leader["marks"], member("marks")))
     sim = F.when(n == 0, F.lit(1.0)).otherwise(common.cast("double") / n)
-    if not options.static_veto:
+    if options.dictionary_veto or options.pos_veto:
+        veto = R.veto_by_facts(leader["tokens"], member("tokens"), leader["facts"], member("facts"),
+                               options.static_veto, options.dictionary_veto, options.pos_veto)
+    elif options.static_veto:
+        veto = S.static_position_veto(leader["tokens"], member("tokens"),
+                                      options.mask_prefix, options.mask_suffix)
+    else:
         return sim
-    veto = S.static_position_veto(leader["tokens"], member["tokens"],
-                                  options.mask_prefix, options.mask_suffix)
     return F.when((sim >= S.threshold(n, options.sim_th)) & veto, F.lit(0.0)).otherwise(sim)
 
 
@@ -79,7 +90,7 @@ def choose_leaders(open_members: DataFrame, options: MinerOptions) -> DataFrame:
     one above them covers. At most ``round_leaders`` per block; the rank limit
     runs before the shuffle as well, so large blocks send few rows."""
     order = [F.desc("known"), F.desc("cnt"), F.asc("first_id"), F.asc("node_id")]
-    shown = ["node_id", "marks", "params"] + (["tokens"] if options.static_veto else [])
+    shown = ["node_id", *shown_columns(options)]
     top = top_per_group(open_members.select("block", "n", "known", "cnt", "first_id", *shown),
                         ["block"], order, options.round_leaders, F.col("node_id"), "rn")
     listed = top.groupBy("block", "n").agg(
@@ -87,7 +98,7 @@ def choose_leaders(open_members: DataFrame, options: MinerOptions) -> DataFrame:
     n = F.col("n")
 
     def keep(kept: Column, candidate: Column) -> Column:
-        covered = F.exists(kept, lambda k: compare(k, candidate, n, options)
+        covered = F.exists(kept, lambda k: compare(k, candidate.getField, n, options)
                            >= S.threshold(n, options.sim_th))
         return F.when(covered, kept).otherwise(F.concat(kept, F.array(candidate)))
 
@@ -95,64 +106,68 @@ def choose_leaders(open_members: DataFrame, options: MinerOptions) -> DataFrame:
     return listed.select("block", F.aggregate("ranked", none, keep).alias("leaders"))
 
 
-def _nearest(leaders: Column, rank_base: int, options: MinerOptions) -> Column:
-    """Best leader of one round as an ordered struct: similarity, wildcards,
+def _nearest(leaders: Column, options: MinerOptions) -> Column:
+    """Best leader of the first try as an ordered struct: similarity, wildcards,
     earlier rank; a leader is its own best."""
-    member = {"marks": F.col("marks"), "tokens": F.col("tokens")}
-
     def scored(leader: Column) -> Column:
         own = leader["node_id"] == F.col("node_id")
         return F.struct(
-            F.when(own, F.lit(2.0)).otherwise(compare(leader, member, F.col("n"), options))
-            .alias("sim"),
-            leader["params"].alias("params"),
-            (-(leader["rn"] + F.lit(rank_base))).alias("rank"),
+            F.when(own, F.lit(2.0)).otherwise(compare(leader, F.col, F.col("n"), options)).alias("sim"),
+            leader["params"].alias("params"), (-leader["rn"]).cast("long").alias("rank"),
             leader["node_id"].alias("leader_id"))
 
     return F.array_max(F.transform(leaders, scored))
 
 
-NEAR = "struct<sim:double,params:int,rank:int,leader_id:string>"
-
-
-def assign_to_leaders(nodes: DataFrame, options: MinerOptions) -> DataFrame:
+def assign_to_leaders(nodes: DataFrame, options: MinerOptions, rounds: Rounds | None = None) -> DataFrame:
     """One pass: ``nodes(node_id, block, n, tokens, cnt, first_id, ...)`` with
     ``leader_id`` added; all other columns but ``block`` are carried along.
 
-    Every round is one job. It writes the open blocks' members with their best
-    leader so far and counts on the way how many are still without one.
+    One job writes all members with their best leader so far and counts on the way
+    how many are without one; only blocks that hold such members go on.
     """
-    sim_th = S.threshold(F.col("n"), options.sim_th)
-    wild = F.filter("tokens", lambda t: t == options.wildcard)
-    members = nodes.withColumn("near", F.lit(None).cast(NEAR))
+    open_ = F.col("near.sim") < S.threshold(F.col("n"), options.sim_th)
     carried = [c for c in nodes.columns if c != "block"]
-    settled: list[DataFrame] = []
-
-    def settle(df: DataFrame) -> None:
-        settled.append(df.select(*carried, "near.leader_id"))
-
-    turn = 0
-    while True:
-        without = F.col("near").isNull() | (F.col("near.sim") < sim_th)
-        marked = members.withColumn("marks", literal_marks(F.col("tokens"), options.wildcard))
-        leaders = choose_leaders(
-            marked.filter(without).withColumn("params", F.size(wild)), options)
-        if turn > 0:
-            leaders = stage(leaders, "leaders")
-            settle(members.join(leaders, "block", "left_anti"))
-        near = F.greatest("near", _nearest(
-            F.col("leaders"), turn * options.round_leaders, options))
-        compared = (marked.join(leaders, "block").withColumn("near", near)
-                    .drop("leaders", "marks"))
-        still_open = Observation()
-        members = stage(
-            compared.observe(still_open, F.count_if(F.col("near.sim") < sim_th).alias("rows")),
-            "members")
-        turn += 1
-        if not still_open.get["rows"]:
-            settle(members)
-            break
-    return reduce(DataFrame.unionByName, settled)
+    marked = with_marks(nodes, options)
+    leaders = choose_leaders(marked, options)
+    compared = (marked.join(leaders, "block").withColumn("near", _nearest(F.col("leaders"), options))
+                .drop("leaders", "marks", "params"))
+    still_open = Observation()
+    members = stage(compared.observe(still_open, F.count_if(open_).alias("rows")), "members")
+    if not still_open.get["rows"]:
+        return members.select(*carried, "near.leader_id")
+    crowded = stage(members.filter(open_).select("block").distinct(), "crowded")
+    near = nearest_in_crowded(members.join(crowded, "block", "left_semi"), open_, options, rounds or Rounds())
+    return members.join(near, "node_id", "left").select(
+        *carried, F.greatest("near", "later").getField("leader_id").alias("leader_id"))
+
+
+def with_marks(nodes: DataFrame, options: MinerOptions) -> DataFrame:
+    """Nodes with what comparisons read: ``marks`` and ``params``, their wildcards."""
+    return nodes.withColumn("marks", literal_marks(F.col("tokens"), options.wildcard)).withColumn(
+        "params", F.size(F.filter("tokens", lambda t: t == options.wildcard)))
+
+
+def nearest_in_crowded(members: DataFrame, open_: Column, options: MinerOptions, rounds: Rounds) -> DataFrame:
+    """``(node_id, later)``: the best of the leaders beyond the first try, for the
+    members of blocks that need some. They rank below those of the first try."""
+    th = S.threshold(F.col("n"), options.sim_th)
+    placed = placed_members(members)
+    slim = stage(with_marks(placed, options).select("place", "n", *shown_columns(options)), "slim")
+    index = mark_index(placed, th, options.wildcard)
+
+    def sim(a: Column, b: Column, n: Column) -> Column:
+        return compare(a, b.getField, n, options)
+
+    leaders = find_leaders(slim, index, placed.filter(open_).select("place"), sim, th,
+                           GROWTH * options.round_leaders, rounds)
+    ids = placed.select("place", "node_id")
+    best = nearest_leaders(slim, index, leaders, sim, th).join(
+        ids.select(F.col("place").alias("leader"), F.col("node_id").alias("leader_id")), "leader").join(ids, "place")
+    rank = -(F.col("leader") + options.round_leaders + 1)
+    near = stage(best.select("node_id", F.struct("sim", "params", rank.alias("rank"), "leader_id").alias("later")), "near")
+    release(placed, slim, index)
+    return near
 
 
 def _fold(assigned: DataFrame, keys: Sequence[str], options: MinerOptions) -> DataFrame:
@@ -162,19 +177,25 @@ def _fold(assigned: DataFrame, keys: Sequence[str], options: MinerOptions) -> Da
     position; an empty line is kept by the outer explode.
     """
     groups = [*keys, "leader_id", "n"]
-    placed = assigned.select(*groups, "known", "cnt", "first_id", "last_id",
-                             "shapes", F.posexplode_outer("tokens").alias("pos", "tok"))
+    facts_too = "facts" in assigned.columns
+    token = F.arrays_zip(F.col("tokens").alias("tok"), F.col("facts").alias("fact")) if facts_too else (
+        F.transform("tokens", lambda t: F.struct(t.alias("tok"))))
+    placed = assigned.select(*groups, "known", "cnt", "first_id", "last_id", "shapes",
+                             F.posexplode_outer(token).alias("pos", "at")).select("*", "at.*").drop("at")
     facts = {"known": F.max, "cnt": F.sum, "first_id": F.min, "last_id": F.max, "shapes": F.sum}
     per_place = placed.groupBy(*groups, "pos").agg(
         F.min("tok").alias("lo"), F.max("tok").alias("hi"),
-        *[f(c).alias(c) for c, f in facts.items()])
-    token = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(options.wildcard))
-    at = F.when(F.col("pos").isNotNull(), F.struct("pos", token.alias("tok")))
+        *[f(c).alias(c) for c, f in facts.items()], *([F.min("fact").alias("fact")] if facts_too else []))
+    same = F.col("lo") == F.col("hi")
+    token = F.when(same, F.col("lo")).otherwise(F.lit(options.wildcard)).alias("tok")
+    fact = [F.when(same, F.col("fact")).otherwise(R.wildcard_fact(options)).alias("fact")] if facts_too else []
+    at = F.when(F.col("pos").isNotNull(), F.struct("pos", token, *fact))
     folded = per_place.groupBy(*groups).agg(
         F.array_sort(F.collect_list(at)).alias("at"), *[F.max(c).alias(c) for c in facts])
     return folded.select(
         *keys, F.col("leader_id").alias("node_id"), "n",
-        F.transform("at", lambda a: a["tok"]).alias("tokens"), *facts)
+        F.transform("at", lambda a: a["tok"]).alias("tokens"), *facts,
+        *([F.transform("at", lambda a: a["fact"]).alias("facts")] if facts_too else []))
 
 
 def _block(kind: str, keys: Sequence[str]) -> Column:
@@ -201,16 +222,21 @@ def block_nodes(nodes: DataFrame, kind: str, keys: Sequence[str], options: Miner
     return keyed.withColumn("block", _block(kind, keys)).drop("key")
 
 
-def mine_nodes(nodes: DataFrame, options: MinerOptions, keys: Sequence[str] = ()
-               ) -> tuple[DataFrame, DataFrame]:
+def mine_nodes(nodes: DataFrame, options: MinerOptions, keys: Sequence[str] = (),
+               lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Run all passes over ``nodes``; returns (templates, lineage).
 
     Nodes: ``(keys…, node_id, known, n, tokens, cnt, first_id, last_id,
     shapes)``. ``known`` nodes (templates of an earlier catalog) rank before
     others, so their ids live on. Lineage: ``(keys…, node_id, template_id)``
-    with the template of each pass as ``t1, t2, …``.
+    with the template of each pass as ``t1, t2, …``. The vetoes by words read
+    ``lexicon(token, known, tag)``.
     """
     keys = list(keys)
+    if options.dictionary_veto or options.pos_veto:
+        if lexicon is None:
+            raise ValueError("dictionary_veto and pos_veto need a lexicon")
+        nodes = stage(R.with_facts(nodes, lexicon, options), "facts")
     lineage = nodes.select(*keys, F.col("node_id").alias("t0"))
     kinds = ["prefix", "suffix", "length"] if options.reverse_blocks else ["prefix", "length"]
     for i, kind in enumerate(kinds, start=1):
@@ -227,7 +253,8 @@ def mine_nodes(nodes: DataFrame, options: MinerOptions, keys: Sequence[str] = ()
     return templates, lineage
 
 
-def mine_shapes(shapes: DataFrame, options: MinerOptions, keys: Sequence[str] = ()) -> Mined:
+def mine_shapes(shapes: DataFrame, options: MinerOptions, keys: Sequence[str] = (),
+                lexicon: DataFrame | None = None) -> Mined:
     """Mine templates from ``distinct_shapes``. Extra ``keys`` (a dataset, a
     source, a day) keep groups apart inside one job."""
     keys = list(keys)
@@ -236,18 +263,19 @@ def mine_shapes(shapes: DataFrame, options: MinerOptions, keys: Sequence[str] =
     nodes = shapes.select(
         *keys, "node_id", F.lit(0).alias("known"), "n", "tokens", "cnt", "first_id", "last_id",
         F.lit(1).cast("long").alias("shapes"))
-    templates, lineage = mine_nodes(nodes, options, keys)
+    templates, lineage = mine_nodes(nodes, options, keys, lexicon)
     lineage = shapes.select("node_id", "shape_id").join(lineage, "node_id").drop("node_id")
     return Mined(shapes.drop("node_id"), lineage, templates)
 
 
 def mine_templates(lines: DataFrame, options: MinerOptions, keys: Sequence[str] = (),
-                   text_col: str = "text", id_col: str = "line_id") -> Mined:
+                   text_col: str = "text", id_col: str = "line_id",
+                   lexicon: DataFrame | None = None) -> Mined:
     """Lines to a catalog of templates. Lines are masked and tokenised once: the
     result is written, and both the shapes and ``assign_lines`` read it."""
     tagged = stage(tag_lines(lines, options, text_col), "tagged")
     shapes = distinct_shapes(tagged, keys, id_col)
-    return replace(mine_shapes(shapes, options, keys), tagged=tagged.drop("tokens"), source=lines)
+    return replace(mine_shapes(shapes, options, keys, lexicon), tagged=tagged.drop("tokens"), source=lines)
 
 
 def tag_lines(lines: DataFrame, options: MinerOptions, text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from loomline.operators import blocks as B
 from loomline.operators.lines import annotate_tokens, token_dictionary
 from loomline.operators.matching import best_match
 from loomline.operators.merging import merge_group
+from loomline.operators.seen import seen_similarity, seen_tokens
 from loomline.options import MinerOptions
 from loomline.queries import inputs as I
 from loomline.queries.blocking import (
@@ -63,39 +64,28 @@ def positional_similarity(spark, sf_dir):
 
 
 @query("seen_token_similarity", f"""
-WITH {I.SQL_DOCUMENT_SHAPES},
-keyed AS (SELECT *, {SQL_BLOCK} AS key FROM shapes),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY n, key ORDER BY cnt DESC, first_id, shape_id)
-           AS rn FROM keyed),
-top3 AS (SELECT n, key, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos FROM ranked
-         WHERE rn <= 3),
+WITH spoken AS (WITH {I.SQL_CONVERSATIONS}, {I.sql_shapes(I.sql_tokens('text'))} SELECT * FROM shapes),
+said AS (SELECT n, {SQL_BLOCK} AS key, cnt, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos FROM spoken),
 places AS (SELECT n, key, pos, list(DISTINCT tok) AS seen,
-           CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '<*>' END AS t FROM top3
-           GROUP BY n, key, pos),
-words AS (SELECT shape_id, n, key, unnest(tokens) AS x, generate_subscripts(tokens, 1) AS pos
-          FROM keyed),
+           CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '<*>' END AS t FROM said GROUP BY n, key, pos),
+{I.SQL_DOCUMENT_SHAPES},
+words AS (SELECT shape_id, n, {SQL_BLOCK} AS key, unnest(tokens) AS x, generate_subscripts(tokens, 1) AS pos FROM shapes),
 hits AS (SELECT shape_id, n, x = t AS same,
-         x <> t AND (regexp_matches(t, '^<[^:]+>') OR regexp_matches(x, '^<[^:]+>'))
-         AND (list_contains(seen, x) OR (t = '<*>' AND x = '<*>')) AS param
+         x <> t AND (regexp_matches(t, '^<[^:]+>') OR regexp_matches(x, '^<[^:]+>')) AND list_contains(seen, x) AS param
          FROM words JOIN places USING (n, key, pos))
 SELECT shape_id, CAST(sum(CASE WHEN param THEN 1 ELSE 0 END) AS BIGINT) AS params,
        CAST(sum(CASE WHEN same OR param THEN 1 ELSE 0 END) AS BIGINT) / CAST(n AS DOUBLE) AS sim
 FROM hits GROUP BY shape_id, n""")
 def seen_token_similarity(spark, sf_dir):
-    """Templates of the three top ranked shapes of each block, with every token
-    seen at each of their positions."""
-    keyed = _keyed(_shapes(spark, sf_dir))
-    order = W.partitionBy("n", "key").orderBy(F.desc("cnt"), "first_id", "shape_id")
-    top = stage(keyed.withColumn("rn", F.row_number().over(order)).filter("rn <= 3"), "top")
-    template = merge_group(top, ["n", "key"]).withColumnRenamed("tokens", "t")
-    seen = (top.select("n", "key", F.posexplode("tokens").alias("pos", "tok"))
-            .groupBy("n", "key", "pos").agg(F.collect_set("tok").alias("seen"))
-            .groupBy("n", "key").agg(F.transform(F.array_sort(F.collect_list(
-                F.struct("pos", "seen"))), lambda s: s["seen"]).alias("seen")))
-    pairs = keyed.join(template, ["n", "key"]).join(seen, ["n", "key"])
-    match = S.seen_token_similarity(F.col("t"), F.col("tokens"), F.col("seen"))
-    return pairs.select("shape_id", match.alias("m")).select(
-        "shape_id", F.col("m.params").cast("long").alias("params"), "m.sim")
+    """Lines of documents next to the block templates of all lines of conversations, with
+    the tokens that the lines of conversations had at each place."""
+    spoken = _keyed(stage(I.conversation_shapes(spark, sf_dir), "shapes")).withColumn(
+        "template_id", F.md5(F.concat_ws("|", F.col("n").cast("string"), "key")))
+    templates = spoken.select("template_id", "n", "key").distinct().join(
+        merge_group(spoken, ["template_id"]).withColumnRenamed("tokens", "t"), "template_id")
+    pairs = _keyed(_shapes(spark, sf_dir)).filter("n > 0").join(templates, ["n", "key"]).select(
+        "template_id", "shape_id", "t", "tokens")
+    return seen_similarity(pairs, seen_tokens(spoken)).select("shape_id", "params", "sim")
 
 
 CAPS = r"'[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]'"
@@ -220,24 +210,21 @@ def dynamic_threshold(spark, sf_dir):
 
 
 @query("best_match", f"""
-WITH {I.SQL_DOCUMENT_SHAPES},
-keyed AS (SELECT *, {SQL_BLOCK} AS key FROM shapes),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY n, key ORDER BY cnt DESC, first_id, shape_id)
-           AS rn FROM keyed),
-pairs AS (SELECT k.shape_id, k.n, r.shape_id AS template_id,
-          len(list_filter(range(1, k.n + 1), lambda i: k.tokens[i] = r.tokens[i]))
-            / CAST(k.n AS DOUBLE) AS sim
-          FROM keyed k JOIN ranked r ON k.n = r.n AND k.key = r.key AND r.rn <= 5)
+WITH {I.SQL_DOCUMENT_SHAPES}, {sql_block_templates(6)},
+blocked AS (SELECT template_id, n, tokens AS t, {SQL_BLOCK} AS key FROM templates),
+pairs AS (SELECT k.shape_id, k.n, b.template_id, len(list_filter(b.t, lambda v: v = '<*>')) AS params,
+          CASE WHEN k.n = 0 THEN 1.0 ELSE len(list_filter(range(1, k.n + 1), lambda i: k.tokens[i] = b.t[i]
+            AND b.t[i] <> '<*>')) / CAST(k.n AS DOUBLE) END AS sim
+          FROM (SELECT *, {SQL_BLOCK} AS key FROM shapes) k JOIN blocked b ON k.n = b.n AND k.key = b.key)
 SELECT shape_id, template_id, sim FROM (
-  SELECT *, row_number() OVER (PARTITION BY shape_id ORDER BY sim DESC, template_id) AS best
-  FROM pairs) WHERE best = 1 AND sim >= round(CAST(1 AS DOUBLE) - log2(n) / n, 1)""")
+  SELECT *, row_number() OVER (PARTITION BY shape_id ORDER BY sim DESC, params DESC, template_id) AS best
+  FROM pairs) WHERE best = 1 AND sim >= CASE WHEN n = 0 THEN 1.0 ELSE round(CAST(1 AS DOUBLE) - log2(n) / n, 1) END""")
 def best_match_query(spark, sf_dir):
-    """Each shape against the five top ranked shapes of its block."""
-    keyed = _keyed(_shapes(spark, sf_dir))
-    order = W.partitionBy("n", "key").orderBy(F.desc("cnt"), "first_id", "shape_id")
-    top = (keyed.withColumn("rn", F.row_number().over(order)).filter("rn <= 5")
-           .select("n", "key", F.col("shape_id").alias("template_id"), F.col("tokens").alias("t")))
-    pairs = keyed.join(top, ["n", "key"]).select("shape_id", "n", "template_id", (
+    """Each shape against all templates of three leading tokens that share its first one."""
+    shapes = _shapes(spark, sf_dir)
+    templates = _keyed(stage(block_templates(shapes, MinerOptions(depth=6)), "templates")).select(
+        "n", "key", "template_id", F.col("tokens").alias("t"))
+    pairs = _keyed(shapes).join(templates, ["n", "key"]).select("shape_id", "n", "template_id", (
         S.positional_similarity(F.col("t"), F.col("tokens"))).alias("m"))
     return best_match(pairs.select("shape_id", "n", "template_id", "m.*"), ["shape_id"], 0.0
                       ).select("shape_id", "template_id", "sim")

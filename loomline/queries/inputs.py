@@ -83,6 +83,14 @@ def document_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_shapes(with_tokens(document_lines(spark, sf_dir), PLAIN))
 
 
+def conversation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lines of all turns."""
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 4096 + F.col("turn")).alias("turn_id"), "text")
+    lines = split_text(turns, "turn_id").withColumn("line_id", F.col("turn_id") * (1 << 20) + F.col("line_no"))
+    return distinct_shapes(with_tokens(lines, PLAIN))
+
+
 def event_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_shapes(with_tokens(event_lines(spark, sf_dir), NUMBERED))
 
@@ -148,6 +156,13 @@ SQL_DOCUMENTS = f"""lines AS (
         FROM documents))"""
 
 
+SQL_CONVERSATIONS = f"""lines AS (
+  SELECT (conv_id * 4096 + turn) * 1048576 + line_no AS line_id, regexp_replace(line, '{SP}+$', '') AS text
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+        FROM conversations))"""
+
+
 def sql_id(tokens: str) -> str:
     """The content id of a list of tokens."""
     return f"md5(array_to_string(list_transform({tokens}, lambda t: length(t) || ':' || t), ''))"

@@ -232,10 +232,10 @@ parts AS (
     WHEN es = 1 THEN [front, left(core, e - 1), '=', substr(core, e + 1), back]
     WHEN cs = 1 THEN [front, left(core, c - 1), ':', substr(core, c + 1), back]
     ELSE [front, core, back] END AS p FROM spots)
-SELECT line_id, CAST(sum(len(list_filter(p, lambda x: x <> ''))) AS BIGINT) AS n,
-       string_agg(array_to_string(list_filter(p, lambda x: x <> ''), '|'), '|' ORDER BY wi)
+SELECT line_id, coalesce(CAST(sum(len(list_filter(p, lambda x: x <> ''))) AS BIGINT), 0) AS n,
+       coalesce(string_agg(array_to_string(list_filter(p, lambda x: x <> ''), '|'), '|' ORDER BY wi), '')
          AS tokens
-FROM parts GROUP BY line_id"""
+FROM lines LEFT JOIN parts USING (line_id) GROUP BY line_id"""
 
 
 @query("tokenize_punct", f"""
@@ -250,7 +250,7 @@ def tokenize_punct(spark, sf_dir):
 WITH {I.SQL_DOCUMENTS}, {SQL_PUNCT.format(tokens=I.sql_tokens('text'))}""")
 def tokenize_punct_documents(spark, sf_dir):
     lines = I.document_lines(spark, sf_dir).withColumn("tokens", T.tokenize_punct(F.col("text")))
-    return lines.filter(F.size("tokens") > 0).select(
+    return lines.select(
         "line_id", F.size("tokens").cast("long").alias("n"),
         F.array_join("tokens", "|").alias("tokens"))
 

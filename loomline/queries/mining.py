@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.functions import tokens as T
+from loomline.functions.similarity import FUNCTION_TAGS
 from loomline.operators import blocks as B
 from loomline.operators import merging as G
+from loomline.operators import paths as K
 from loomline.operators.lines import distinct_shapes, with_tokens
+from loomline.operators.seen import move_seen, seen_tokens
 from loomline.options import MinerOptions
 from loomline.plans.mining import assign_lines, mine_shapes, mine_templates
 from loomline.queries import inputs as I
 from loomline.queries.blocking import block_templates, sql_block_templates
+from loomline.queries.comparing import CAPS, TAGS, _sql_snake
 from loomline.queries.registry import query
 from loomline.session import stage
 
@@ -27,28 +31,82 @@ def merge_group(spark, sf_dir):
                             I.text_of().alias("template"), "size", "shapes")
 
 
-def sql_pass(i: int, source: str, key: str, sim_th: float) -> str:
+SQL_BITS = {
+    1: f"regexp_matches(tok, '{I.DG}')", 2: f"NOT regexp_matches(tok, {CAPS})", 4: _sql_snake("tok"),
+    8: "regexp_matches(tok, '^[^:]+::[^:]+$')", 16: "regexp_matches(tok, '<[^:]+>')",
+    32: "contains(tok, '_') OR contains(tok, '/')", 64: "coalesce(known, false)",
+    128: "regexp_matches(tag, '" + "|".join(t.replace("$", "\\$") for t in FUNCTION_TAGS) + "')",
+    256: "regexp_matches(tag, 'VB|JJ|NN')", 512: "starts_with(tag, 'VB')", 1024: "contains(tag, 'VB')",
+    2048: "tag IN ('IN', 'TO')", 4096: "regexp_matches(tag, '^(JJ|VB)')"}
+
+
+def sql_facts(name: str, source: str) -> str:
+    """Facts of the tokens of each node, from the CTE ``lexicon``."""
+    bits = " + ".join(f"CASE WHEN coalesce({test}, false) THEN {bit} ELSE 0 END" for bit, test in SQL_BITS.items())
+    return f"""
+{name}t AS (SELECT id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos FROM {source}),
+{name} AS (SELECT id, list({{'b': {bits}, 'h': coalesce(tag[1], '')}} ORDER BY pos) AS facts
+  FROM {name}t LEFT JOIN lexicon ON token = tok GROUP BY id),"""
+
+
+def sql_veto(t: str, x: str, n: str) -> str:
+    """The vetoes by dictionary and part of speech of a template ``t`` and a member ``x``."""
+    def has(one: str, i: str, bit: int) -> str:
+        return f"((coalesce({one}.facts[{i}].b, 0) & {bit}) <> 0)"
+
+    def either(i: str, bit: int) -> str:
+        return f"({has(t, i, bit)} OR {has(x, i, bit)})"
+
+    def both(i: str, bit: int) -> str:
+        return f"({has(t, i, bit)} AND {has(x, i, bit)})"
+
+    def same(i: str) -> str:
+        return f"(coalesce({t}.tokens[{i}], '') = coalesce({x}.tokens[{i}], ''))"
+
+    def some(i: str, *tokens: str) -> str:
+        listed = ", ".join(f"'{v}'" for v in tokens)
+        return f"(coalesce({t}.tokens[{i}], '') IN ({listed}) OR coalesce({x}.tokens[{i}], '') IN ({listed}))"
+
+    dictionary = (f"(i > 1 AND i < {n} AND {both('i', 64)} AND (({same('i - 1')} AND {same('i + 1')} AND NOT "
+                  f"{has(t, 'i - 1', 2048)}) OR ({some('i - 1', '=', ':')} AND {some('i + 1', ',', '.', ':')})))")
+    leads = f"(i = 1 AND NOT {either('i', 32)} AND NOT {either('i + 1', 512)})"
+    unlinked = (f"(i > 1 AND NOT {either('i', 32)} AND NOT {some('i - 1', ':', '=')} AND NOT {either('i - 1', 2048)}"
+                f" AND NOT {both('i', 1)} AND NOT ({same('i - 1')} AND {either('i - 1', 4096)}))")
+    after_link = f"(i > 1 AND {has(t, 'i', 1024)} AND {has(t, 'i - 1', 2048)})"
+    pos = (f"({either('i', 128)} OR coalesce({t}.facts[i].h, '') <> coalesce({x}.facts[i].h, '') OR "
+           f"({either('i', 256)} AND ({leads} OR {unlinked} OR {after_link})))")
+    comparable = f"({t}.tokens[i] <> {x}.tokens[i] AND (NOT {either('i', 1)} OR {both('i', 2)}) AND NOT {either('i', 16)})"
+    return f"len(list_filter(range(1, {n} + 1), lambda i: {comparable} AND ({dictionary} OR {pos}))) > 0"
+
+
+def sql_pass(i: int, source: str, key: str, sim_th: float, rules: bool = False) -> str:
     """One mining pass: leaders in rank order by recursion over the rank, best
     leader per member, fold. Nodes: (id, n, tokens, cnt, first_id, last_id)."""
     same = ("len(list_filter(range(1, {n} + 1), lambda i: {a}[i] = {b}[i] AND {a}[i] <> '<*>'))"
             " >= {th} * {n}")
     covered = same.format(n="r.n", a="l.tokens", b="r.tokens", th=sim_th)
-    return f"""
-p{i}k AS (SELECT *, {key} AS key FROM {source}),
+    alike = "1.0"
+    if rules:
+        veto = sql_veto("l", "r", "r.n")
+        alike = f"(CASE WHEN {covered} AND {veto} THEN 0.0 ELSE 1.0 END)"
+        covered = f"{covered} AND NOT {veto}"
+    facts = ", 'facts': {}.facts" if rules else ""
+    return f"""{sql_facts(f'p{i}x', source) if rules else ''}
+p{i}k AS (SELECT *, {key} AS key FROM {source} {f'LEFT JOIN p{i}x USING (id)' if rules else ''}),
 p{i}r AS (SELECT *, row_number() OVER (PARTITION BY n, key ORDER BY cnt DESC, first_id, id) AS rn
           FROM p{i}k),
 p{i}l(n, key, rn, leaders) AS (
-  SELECT n, key, rn, [{{'rn': rn, 'id': id, 'tokens': tokens}}] FROM p{i}r WHERE rn = 1
+  SELECT n, key, rn, [{{'rn': rn, 'id': id, 'tokens': tokens{facts.format(f'p{i}r')}}}] FROM p{i}r WHERE rn = 1
   UNION ALL
   SELECT r.n, r.key, r.rn, CASE WHEN len(list_filter(s.leaders, lambda l: {covered})) > 0
-         THEN s.leaders ELSE list_append(s.leaders, {{'rn': r.rn, 'id': r.id, 'tokens': r.tokens}})
+         THEN s.leaders ELSE list_append(s.leaders, {{'rn': r.rn, 'id': r.id, 'tokens': r.tokens{facts.format('r')}}})
          END
   FROM p{i}l s JOIN p{i}r r ON r.n = s.n AND r.key = s.key AND r.rn = s.rn + 1),
 p{i}f AS (SELECT n, key, arg_max(leaders, rn) AS leaders FROM p{i}l GROUP BY n, key),
 p{i}u AS (SELECT n, key, unnest(leaders) AS l FROM p{i}f),
 p{i}a AS (
   SELECT r.id, r.n, r.tokens, r.cnt, r.first_id, r.last_id, arg_max(l.id, {{
-           'a': CASE WHEN l.id = r.id THEN 2.0 WHEN r.n = 0 THEN 1.0 ELSE
+           'a': CASE WHEN l.id = r.id THEN 2.0 WHEN r.n = 0 THEN 1.0 ELSE {alike} *
              len(list_filter(range(1, r.n + 1), lambda i: l.tokens[i] = r.tokens[i]
                  AND l.tokens[i] <> '<*>')) / CAST(r.n AS DOUBLE) END,
            'b': len(list_filter(l.tokens, lambda t: t = '<*>')), 'c': -l.rn}}) AS leader
@@ -61,15 +119,19 @@ p{i} AS (
   FROM p{i}a a JOIN p{i}t t ON t.leader = a.leader GROUP BY a.leader, a.n)"""
 
 
-SQL_MINED = f"""
+def sql_mined(rules: bool = False) -> str:
+    return f"""
 heads AS (SELECT *, {I.sql_key('tokens', I.sql_prefix_length(4))} AS head FROM shapes),
 frequent AS (SELECT n, head FROM heads WHERE n > 1 AND head <> '<*>' GROUP BY n, head
   QUALIFY row_number() OVER (PARTITION BY n ORDER BY sum(cnt) DESC, head) <= 99),
 nodes AS (SELECT shape_id AS id, n, tokens, cnt, first_id, last_id, CASE WHEN n < 2 THEN ''
   WHEN (n, head) IN (SELECT (n, head) FROM frequent) THEN head ELSE '<*>' END AS capped FROM heads),
-{sql_pass(1, 'nodes', 'capped', 0.4)},
-{sql_pass(2, 'p1', I.sql_key('list_reverse(tokens)', I.sql_suffix_length(4)), 0.4)},
-{sql_pass(3, 'p2', "''", 0.4)}"""
+{sql_pass(1, 'nodes', 'capped', 0.4, rules)},
+{sql_pass(2, 'p1', I.sql_key('list_reverse(tokens)', I.sql_suffix_length(4)), 0.4, rules)},
+{sql_pass(3, 'p2', "''", 0.4, rules)}"""
+
+
+SQL_MINED = sql_mined()
 
 
 @query("mine_templates", f"""
@@ -84,6 +146,29 @@ def mine_document_templates(spark, sf_dir):
         "first_id", "last_id")
 
 
+def benchmark_lexicon(spark, sf_dir):
+    """A row for each word of the benchmark passages; the tag goes by its length."""
+    words = I.table(spark, sf_dir, "benchmark").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
+    return words.select("token", (F.length("token") > 3).alias("known"), F.element_at(
+        F.array(*[F.lit(t) for t in TAGS]), F.length("token") % 8 + 1).alias("tag"))
+
+
+@query("mine_templates_rules", f"""
+WITH RECURSIVE {I.SQL_DOCUMENT_SHAPES},
+lexicon AS (SELECT DISTINCT token, length(token) > 3 AS known, {list(TAGS)}[length(token) % 8 + 1] AS tag
+            FROM (SELECT unnest({I.sql_tokens('text')}) AS token FROM benchmark)),
+{sql_mined(True)}
+SELECT id AS template_id, n, array_to_string(tokens, ' ') AS template,
+       CAST(cnt AS BIGINT) AS size, first_id, last_id FROM p3""")
+def mine_templates_rules(spark, sf_dir):
+    """All document lines; known words and parts of speech keep lines apart."""
+    mined = mine_templates(I.document_lines(spark, sf_dir), PLAIN.with_(dictionary_veto=True, pos_veto=True),
+                           lexicon=benchmark_lexicon(spark, sf_dir))
+    return mined.templates.select(
+        "template_id", F.col("n").cast("long").alias("n"), I.text_of().alias("template"), "size",
+        "first_id", "last_id")
+
+
 SQL_ITEM_TEXT = r"regexp_replace(text, '\d+(\.\d+)?', '<NUM>', 'g')"
 
 
@@ -224,3 +309,62 @@ def lineage(spark, sf_dir):
     """Template of every shape after each pass."""
     mined = mine_shapes(I.document_shapes(spark, sf_dir), PLAIN)
     return mined.lineage.select("shape_id", "t1", "t2", "template_id")
+
+
+SQL_MEMBERS = """members AS (SELECT a.id AS shape_id, a.n, a.tokens, a.cnt, c.leader AS template_id
+  FROM p1a a JOIN p2a b ON b.id = a.leader JOIN p3a c ON c.id = b.leader)"""
+
+
+@query("mine_seen_tokens", f"""
+WITH RECURSIVE {I.SQL_DOCUMENT_SHAPES}, {SQL_MINED}, {SQL_MEMBERS}
+SELECT template_id, pos - 1 AS pos, token, CAST(sum(cnt) AS BIGINT) AS lines FROM (
+  SELECT template_id, cnt, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM members)
+GROUP BY ALL""")
+def mine_seen_tokens(spark, sf_dir):
+    """Seen tokens of all members: the state of the first pass, carried through the others."""
+    mined = mine_shapes(I.document_shapes(spark, sf_dir), PLAIN)
+    lineage = mined.lineage.select("shape_id", "t1", "t2", "template_id")
+    state = seen_tokens(mined.shapes.join(lineage, "shape_id").select(F.col("t1").alias("template_id"), "tokens", "cnt"))
+    for before, after in (("t1", "t2"), ("t2", "template_id")):
+        state = move_seen(state, lineage.select(F.col(before).alias("template_id"), F.col(after).alias("to_id")).distinct())
+    return state.withColumn("pos", F.col("pos").cast("long"))
+
+
+def sql_general(key: str) -> str:
+    """A key of at most two tokens and what is more general."""
+    return (f"CASE len({key}) WHEN 0 THEN [{key}] WHEN 1 THEN [{key}, ['<*>']] ELSE [{key}, ['<*>', {key}[2]], "
+            f"[{key}[1], '<*>'], ['<*>', '<*>']] END")
+
+
+SQL_HEAD = f"tokens[1:{I.sql_prefix_length(5)}]"
+SQL_NUMBERED_HEAD = (f"list_transform({SQL_HEAD}, lambda t: CASE WHEN regexp_matches(t, '{I.DG}') "
+                     "THEN '<*>' ELSE t END)")
+KEYED = PLAIN.with_(depth=5)
+
+
+@query("key_history", f"""
+WITH RECURSIVE {I.SQL_DOCUMENT_SHAPES}, {SQL_MINED}, {SQL_MEMBERS},
+every AS (SELECT DISTINCT template_id, n, {SQL_NUMBERED_HEAD} AS key FROM members),
+asked AS (SELECT template_id, n, key, unnest({sql_general('key')}) AS g FROM every),
+covered AS (SELECT DISTINCT a.template_id, a.n, a.key FROM asked a JOIN every b
+            ON b.template_id = a.template_id AND b.n = a.n AND b.key = a.g WHERE a.g <> a.key),
+history AS (SELECT * FROM every ANTI JOIN covered USING (template_id, n, key)),
+now AS (SELECT id AS template_id, n, {SQL_HEAD} AS key FROM p3
+        UNION SELECT id, n, {SQL_NUMBERED_HEAD} FROM p3),
+heads AS (SELECT shape_id, n, unnest(list_distinct({sql_general(SQL_HEAD)})) AS key FROM shapes),
+old AS (SELECT DISTINCT shape_id, template_id FROM heads JOIN history USING (n, key)),
+cur AS (SELECT DISTINCT shape_id, template_id FROM heads JOIN now USING (n, key))
+SELECT shape_id, count(*) AS reached, count_if(cur.template_id IS NULL) AS by_old_keys
+FROM old LEFT JOIN cur USING (shape_id, template_id) GROUP BY shape_id""")
+def key_history(spark, sf_dir):
+    """Templates that each shape reaches by the keys their members came by, and how many
+    of them the keys of the folded tokens do not lead to."""
+    mined = mine_shapes(I.document_shapes(spark, sf_dir), PLAIN)
+    members = mined.shapes.join(mined.lineage, "shape_id").select("template_id", "n", "tokens")
+    history = stage(K.add_keys(None, K.member_keys(members, KEYED), KEYED), "history")
+    now = mined.templates.select("template_id", "n", "tokens")
+    current = stage(K.member_keys(now, KEYED).unionByName(K.member_keys(now, KEYED.with_(numeric_tokens=False))).distinct(), "keys")
+    old, cur = (K.reached_templates(mined.shapes, keys, KEYED).select("shape_id", "template_id").distinct()
+                for keys in (history, current))
+    both = old.join(cur.withColumn("now", F.lit(True)), ["shape_id", "template_id"], "left")
+    return both.groupBy("shape_id").agg(F.count(F.lit(1)).alias("reached"), F.count_if(F.col("now").isNull()).alias("by_old_keys"))

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from conftest import GOLDEN_TEMPLATES, texts
 from loomline.functions import tokens as T
 from loomline.operators import merging as G
 from loomline.operators.evaluate import grouping_accuracy
+from loomline.operators.leaders import Rounds
 from loomline.options import DEFAULT_MASKS, MinerOptions
 from loomline.plans.mining import assign_lines, assign_to_leaders, mine_templates
 
@@ -76,7 +78,7 @@ NODES = ("block string, node_id string, known int, n int, tokens array<string>,
          "first_id long, last_id long, shapes long")
 
 
-@pytest.mark.parametrize("leaders", [4, 64])
+@pytest.mark.parametrize("leaders", [1, 4, 64])
 def test_one_pass_matches_restatement(spark, leaders):
     """The rounds are an evaluation detail: any number of leaders per round
     gives the result of the plain algorithm."""
@@ -94,7 +96,7 @@ def test_one_pass_matches_restatement(spark, leaders):
     assert got == want
 
 
-@pytest.mark.parametrize("leaders", [256, 700])
+@pytest.mark.parametrize("leaders", [5, 256])
 def test_a_large_block_stays_whole(spark, leaders):
     """More than a thousand leaders in one block, in several rounds."""
     rng = random.Random(8)
@@ -110,6 +112,95 @@ def test_a_large_block_stays_whole(spark, leaders):
     assert got == want
 
 
+def test_rounds_do_not_grow_with_leaders(spark):
+    """20,000 leaders and more in one block: candidates by index, few parallel steps."""
+    rng = np.random.default_rng(4)
+    drawn = np.unique(rng.integers(0, 40, size=(21_500, 6)), axis=0)
+    drawn = drawn[rng.permutation(len(drawn))]
+    leads = np.zeros(len(drawn), dtype=bool)
+    for i, member in enumerate(drawn):
+        leads[i] = not ((drawn[:i] == member).sum(axis=1) >= 4)[leads[:i]].any()
+    assert leads.sum() > 20_000
+    nodes = [("b6", f"id{i:05d}", 0, 6, [f"t{v}" for v in member], 1, i, i, 1)
+             for i, member in enumerate(drawn.tolist())]
+    rounds = Rounds()
+    got = {r["node_id"]: r["leader_id"] for r in assign_to_leaders(
+        spark.createDataFrame(nodes, NODES), FAST.with_(sim_th=0.6), rounds).collect()}
+    assert rounds.fronts + rounds.steps < 20
+    assert {n for n, leader in got.items() if n == leader} == {f"id{i:05d}" for i in np.nonzero(leads)[0]}
+    kept = np.nonzero(leads)[0]
+    for i in np.nonzero(~leads)[0]:
+        same = (drawn[kept] == drawn[i]).sum(axis=1)
+        assert got[f"id{i:05d}"] == f"id{kept[same.argmax()]:05d}"
+
+
+def test_a_chain_of_better_neighbours(spark):
+    """Each member is similar to the next one only, so every second one leads."""
+    nodes = [("b", f"id{i:03d}", 0, 4, [f"a{i // 2}", f"b{(i + 1) // 2}", f"a{i // 2}", f"b{(i + 1) // 2}"], 1, i, i, 1)
+             for i in range(60)]
+    rounds = Rounds()
+    got = {r["node_id"]: r["leader_id"] for r in assign_to_leaders(
+        spark.createDataFrame(nodes, NODES), FAST.with_(sim_th=0.5, round_leaders=2), rounds).collect()}
+    members = [dict(zip(("block", "node_id", "known", "n", "tokens", "cnt", "first_id"), row)) for row in nodes]
+    assert got == leader_algorithm(members, 0.5)
+
+
+LEXICON = [("red", True, "JJ"), ("blue", True, "JJ"), ("door", True, "NN"), ("gate", True, "NN"), ("opens", True, "VBZ"),
+           ("shuts", True, "VBZ"), ("of", False, "IN"), ("the", False, "DT"), ("a", False, "DT"), ("Up", None, "RB"),
+           ("to", False, "TO"), ("Go", True, "VB"), ("==", None, None)]
+TOKENS = [w for w, *_ in LEXICON] + ["x1", "X9", "AB", "CD", ":", "=", ",", ".", "a_b", "c_d", "camelCase", "otherCase",
+                                     "n::m", "p/q", "<NUM>", "<*>", "zebra", "Über"]
+
+
+def test_vetoes_by_facts_equal_the_vetoes_by_tokens(spark):
+    from loomline.functions import facts as R
+    from loomline.functions import similarity as S
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(1500):
+        n = rng.randint(0, 6)
+        a = [rng.choice(TOKENS) for _ in range(n)]
+        b = [t if rng.random() < 0.6 else rng.choice(TOKENS) for t in a]
+        rows += [(f"{i}a", a), (f"{i}b", b)]
+    lexicon = spark.createDataFrame(LEXICON, "token string, known boolean, tag string")
+    nodes = R.with_facts(spark.createDataFrame(rows, "node_id string, tokens array<string>"), lexicon, FAST)
+    words = {w: (bool(k), t or "") for w, k, t in LEXICON}
+    known = F.transform("tokens", lambda t: t.isin(*[w for w, (k, _) in words.items() if k]))
+    tag_of = F.create_map(*[F.lit(v) for w, (_, tag) in words.items() for v in (w, tag)])
+    tags = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(tag_of, t), F.lit("")))
+    side = nodes.select(F.substring_index("node_id", "a", 1).alias("i"), "*", known.alias("known"), tags.alias("tags"))
+    a = side.filter(F.col("node_id").endswith("a")).select("i", F.struct("tokens", "facts", "known", "tags").alias("a"))
+    b = side.filter(F.col("node_id").endswith("b")).select(
+        F.substring_index("i", "b", 1).alias("i"), F.struct("tokens", "facts", "known", "tags").alias("b"))
+    pairs = a.join(b, "i").select("a.*", F.col("b.tokens").alias("x"), F.col("b.facts").alias("xf"),
+                                  F.col("b.known").alias("xk"), F.col("b.tags").alias("xt"))
+    c = F.col
+    by_tokens = {
+        "static": S.static_position_veto(c("tokens"), c("x")),
+        "dictionary": S.dictionary_veto(c("tokens"), c("x"), c("known"), c("xk"), c("tags")),
+        "pos": S.pos_veto(c("tokens"), c("x"), c("tags"), c("xt"))}
+    checked = pairs.select("tokens", "x", *[
+        F.struct(R.veto_by_facts(c("tokens"), c("x"), c("facts"), c("xf"), *[k == name for k in by_tokens]).alias("got"),
+                 rule.alias("want")).alias(name) for name, rule in by_tokens.items()]).collect()
+    assert len(checked) == 1500
+    for name in by_tokens:
+        assert all(r[name]["got"] == r[name]["want"] for r in checked), name
+        assert 10 < sum(r[name]["want"] for r in checked) < 1490
+
+
+def test_words_keep_templates_apart(spark):
+    rows = [(1, "the red door opens 7"), (2, "the red gate opens 7"), (3, "the red door opens 8")]
+    lines = spark.createDataFrame(rows, "line_id long, text string")
+    lexicon = spark.createDataFrame(LEXICON, "token string, known boolean, tag string")
+    loose = texts(mine_templates(lines, FAST).templates)
+    strict = texts(mine_templates(lines, FAST.with_(dictionary_veto=True), lexicon=lexicon).templates)
+    assert loose == {("the red <*> opens <*>", 3)}
+    assert strict == {("the red door opens <*>", 2), ("the red gate opens 7", 1)}
+    with pytest.raises(ValueError):
+        mine_templates(lines, FAST.with_(pos_veto=True))
+
+
 def labelled(spark, count=4000):
     """Lines from hand-written templates, one of them holding a third."""
     node = F.concat(F.lit("node"), F.abs(F.xxhash64("id", F.lit(1))) % 500)
