@@ -49,6 +49,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomline.llm.common import rows_at_once
 from loomline.llm.components import connected_components, forest
 from loomline.operators.ranking import top_per_group
 from loomline.session import release, stage
@@ -56,6 +57,7 @@ from loomline.session import release, stage
 SMALL_LIMIT = 29  # sets above this size have too many subsets to be worth listing
 ORDER_BITS = 20  # size of the table of frequent shingles
 PIVOTS, OWN_BUCKET = 16, 64  # pivots of a cluster; components from this size have buckets of their own
+PAIRS_AT_ONCE = 128  # pairs of whole sets that a task is handed at once
 BUCKET_SHINGLES = 400_000  # a bucket holds no more shingles than this, or one set
 
 
@@ -412,7 +414,8 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))) \
         .unionByName(long_.select(F.col("doc").alias("doc_id"))).distinct()
     full = stage(whole_sets(texts, stage(ids, "ids"), size), "wholes")
-    edges.append(stage(verified_pairs(pairs, full, percent), "edges"))
+    with rows_at_once(docs.sparkSession, PAIRS_AT_ONCE):
+        edges.append(stage(verified_pairs(pairs, full, percent), "edges"))
     release(index, able, pairs)
     edges.append(heavy_links(long_, full, percent, bucket))
     links = edges[0]

@@ -36,15 +36,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from loomline.llm.common import rows_at_once
 from loomline.operators.ranking import top_per_group
 from loomline.session import release, stage
 
@@ -66,19 +66,6 @@ class Rules:
     filter_bits: int = 25
 
 
-@contextmanager
-def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs inside hand tasks so many rows at once, since a text or a row of codes is large
-    and Arrow doubles the memory of a batch as it grows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def words_and_breaks(text: bytes | None) -> list[bytes]:
     """Lower-case words in order; ``.`` stands for a break between pieces."""
     return (text or b"").lower().translate(PLAIN).replace(b".", b" . ").split()
