@@ -7,7 +7,8 @@ stage's ``docs``. All but the last return the columns of ``documents``:
 1. ``quality_rules`` drops the documents that the rules reject;
 2. ``jaccard_join`` keeps one document, that of the smallest id, of each group of
    near copies (5-word shingles, 80 %); documents without words and without an id
-   link with nothing and stay, of rows that repeat an id one stays;
+   link with nothing and stay; of rows that repeat both id and text the one whose
+   other columns come first, written as JSON, stays;
 3. ``pii`` replaces personal data by pseudonyms;
 4. ``mix_sources`` repeats and leaves out documents so that sources come near
    their weights, dealt to shards and shuffled inside them;
@@ -30,6 +31,8 @@ from loomline.session import stage
 
 # Near copies share four fifths of their shingles of five words; op4's query keeps its own contract.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
+# Prefixes of a fifth make pairs of all near copies: longer lists are compared around pivots.
+SHORT_LISTS = 8
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -42,10 +45,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
-    joined = jaccard_join.join_similar(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
-    kept = stage(joined.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.filter("doc_id IS NULL"))
+    joined = jaccard_join.join_similar(docs, percent=NEAR_PERCENT, size=NEAR_WORDS, heavy=SHORT_LISTS)
+    kept = stage(joined.filter("doc_id = component_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows")), "kept")
+    once = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
+    # Only rows of ids that repeat are compared, by their text's digest.
+    again = docs.join(kept.filter("rows > 1"), "doc_id", "left_semi")
+    row = F.struct(*[f"`{c}`" for c in docs.columns])
+    first = again.groupBy("doc_id", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).agg(
+        F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return once.unionByName(first).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -351,9 +351,9 @@ covered AS (SELECT DISTINCT a.template_id, a.n, a.key FROM asked a JOIN every b
 history AS (SELECT * FROM every ANTI JOIN covered USING (template_id, n, key)),
 now AS (SELECT id AS template_id, n, {SQL_HEAD} AS key FROM p3
         UNION SELECT id, n, {SQL_NUMBERED_HEAD} FROM p3),
-heads AS (SELECT shape_id, n, unnest(list_distinct({sql_general(SQL_HEAD)})) AS key FROM shapes),
-old AS (SELECT DISTINCT shape_id, template_id FROM heads JOIN history USING (n, key)),
-cur AS (SELECT DISTINCT shape_id, template_id FROM heads JOIN now USING (n, key))
+tried AS (SELECT shape_id, n, unnest(list_distinct({sql_general(SQL_HEAD)})) AS key FROM shapes),
+old AS (SELECT DISTINCT shape_id, template_id FROM tried JOIN history USING (n, key)),
+cur AS (SELECT DISTINCT shape_id, template_id FROM tried JOIN now USING (n, key))
 SELECT shape_id, count(*) AS reached, count_if(cur.template_id IS NULL) AS by_old_keys
 FROM old LEFT JOIN cur USING (shape_id, template_id) GROUP BY shape_id""")
 def key_history(spark, sf_dir):
