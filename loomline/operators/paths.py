@@ -1,9 +1,10 @@
 """Every key under which a template ever got members, as a trie in rows.
 
 A key is a path of tokens; a node of the trie is ``(n, path)`` with ``path`` a hash of the
-tokens down to it, an edge leads from a node by a token to the next. ``key_paths`` keeps a
-row for each key that a template had, with the batch it came in, so a template is found
-through old keys after its tokens have changed. A key whose every token is covered by the
+tokens down to it, an edge leads from a node by a token to the next. The history has a row
+for each key that a template had, with the batch it came in. The keys of its tokens today
+are not enough: a rare token may have stood for the wildcard when a prefix had too many
+children, and a template may be folded or cut anew. A key whose every token is covered by the
 wildcards of another key of the same template says nothing new and is left out.
 
 Shapes walk down level by level as a frontier of rows: from a node both the edge of the
@@ -16,17 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomline.functions import tokens as T
-from loomline.operators.blocks import key_text
+from loomline.operators.blocks import cap_children, key_text
 from loomline.options import MinerOptions
 from loomline.session import release, stage
 
 ROOT = 0
 
 
-def member_keys(members: DataFrame, options: MinerOptions, batch: int = 0) -> DataFrame:
-    """``(template_id, n, key, batch)`` of the keys that members of templates came by."""
+def member_keys(members: DataFrame, options: MinerOptions, batch: int = 0, capped: bool = False) -> DataFrame:
+    """``(template_id, n, key, batch)`` of the keys that members of templates came by. With
+    ``capped`` rare tokens under a crowded prefix are the wildcard, as in mining; members
+    then carry their lines ``cnt``."""
     key = T.prefix_key(F.col("tokens"), F.col("n"), options.depth, options.numeric_tokens, options.wildcard)
-    return members.select("template_id", "n", key.alias("key")).distinct().withColumn("batch", F.lit(batch))
+    keyed = members.withColumn("key", key)
+    if capped and options.depth > 3:
+        keyed = cap_children(keyed, "key", options.depth - 3, options)
+    return keyed.select("template_id", "n", "key").distinct().withColumn("batch", F.lit(batch))
 
 
 def add_keys(history: DataFrame | None, fresh: DataFrame, options: MinerOptions,

@@ -336,15 +336,14 @@ def sql_general(key: str) -> str:
             f"[{key}[1], '<*>'], ['<*>', '<*>']] END")
 
 
-SQL_HEAD = f"tokens[1:{I.sql_prefix_length(5)}]"
+SQL_HEAD = f"tokens[1:{I.sql_prefix_length(4)}]"
 SQL_NUMBERED_HEAD = (f"list_transform({SQL_HEAD}, lambda t: CASE WHEN regexp_matches(t, '{I.DG}') "
                      "THEN '<*>' ELSE t END)")
-KEYED = PLAIN.with_(depth=5)
-
 
 @query("key_history", f"""
 WITH RECURSIVE {I.SQL_DOCUMENT_SHAPES}, {SQL_MINED}, {SQL_MEMBERS},
-every AS (SELECT DISTINCT template_id, n, {SQL_NUMBERED_HEAD} AS key FROM members),
+every AS (SELECT DISTINCT template_id, m.n, CASE WHEN m.n < 2 THEN [] ELSE [capped] END AS key
+          FROM members m JOIN nodes ON nodes.id = shape_id),
 asked AS (SELECT template_id, n, key, unnest({sql_general('key')}) AS g FROM every),
 covered AS (SELECT DISTINCT a.template_id, a.n, a.key FROM asked a JOIN every b
             ON b.template_id = a.template_id AND b.n = a.n AND b.key = a.g WHERE a.g <> a.key),
@@ -354,17 +353,17 @@ now AS (SELECT id AS template_id, n, {SQL_HEAD} AS key FROM p3
 tried AS (SELECT shape_id, n, unnest(list_distinct({sql_general(SQL_HEAD)})) AS key FROM shapes),
 old AS (SELECT DISTINCT shape_id, template_id FROM tried JOIN history USING (n, key)),
 cur AS (SELECT DISTINCT shape_id, template_id FROM tried JOIN now USING (n, key))
-SELECT shape_id, count(*) AS reached, count_if(cur.template_id IS NULL) AS by_old_keys
+SELECT shape_id, count(*) AS reached, CAST(count_if(cur.template_id IS NULL) AS BIGINT) AS by_old_keys
 FROM old LEFT JOIN cur USING (shape_id, template_id) GROUP BY shape_id""")
 def key_history(spark, sf_dir):
     """Templates that each shape reaches by the keys their members came by, and how many
     of them the keys of the folded tokens do not lead to."""
     mined = mine_shapes(I.document_shapes(spark, sf_dir), PLAIN)
-    members = mined.shapes.join(mined.lineage, "shape_id").select("template_id", "n", "tokens")
-    history = stage(K.add_keys(None, K.member_keys(members, KEYED), KEYED), "history")
+    members = mined.shapes.join(mined.lineage, "shape_id").select("template_id", "n", "tokens", "cnt")
+    history = stage(K.add_keys(None, K.member_keys(members, PLAIN, capped=True), PLAIN), "history")
     now = mined.templates.select("template_id", "n", "tokens")
-    current = stage(K.member_keys(now, KEYED).unionByName(K.member_keys(now, KEYED.with_(numeric_tokens=False))).distinct(), "keys")
-    old, cur = (K.reached_templates(mined.shapes, keys, KEYED).select("shape_id", "template_id").distinct()
+    current = stage(K.member_keys(now, PLAIN).unionByName(K.member_keys(now, PLAIN.with_(numeric_tokens=False))).distinct(), "keys")
+    old, cur = (K.reached_templates(mined.shapes, keys, PLAIN).select("shape_id", "template_id").distinct()
                 for keys in (history, current))
     both = old.join(cur.withColumn("now", F.lit(True)), ["shape_id", "template_id"], "left")
     return both.groupBy("shape_id").agg(F.count(F.lit(1)).alias("reached"), F.count_if(F.col("now").isNull()).alias("by_old_keys"))

@@ -96,6 +96,19 @@ def test_a_template_is_found_only_by_an_old_key(spark):
     assert {r["template_id"] for r in K.reached_templates(asked, both, OPTIONS).collect()} == {"t", "u"}
 
 
+def test_a_capped_key_is_remembered(spark):
+    """A template whose rare first token stood for the wildcard is found by other rare tokens."""
+    rows = [("t0", 3, ["often", "b", "c"], 9), ("t1", 3, ["rare", "b", "c"], 1), ("t2", 3, ["scarce", "b", "c"], 1)]
+    options = MinerOptions(depth=4, max_children=2)
+    members = spark.createDataFrame(rows, MEMBERS)
+    history = K.add_keys(None, K.member_keys(members, options, capped=True), options)
+    asked = spark.createDataFrame([("s", 3, ["new", "b", "c"]), ("o", 3, ["often", "b", "x"])],
+                                  "shape_id string, n int, tokens array<string>")
+    found = {(r["shape_id"], r["template_id"]) for r in K.reached_templates(asked, history, options).collect()}
+    assert found == {("s", "t1"), ("s", "t2"), ("o", "t0"), ("o", "t1"), ("o", "t2")}
+    assert K.reached_templates(asked, K.member_keys(members, options), options).filter("shape_id = 's'").count() == 0
+
+
 def plain_seen(rows):
     out = Counter()
     for t, _, tokens, cnt in rows:
