@@ -44,7 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomline.llm.common import rows_at_once
+from loomline.llm.common import give_back, rows_at_once
 from loomline.operators.ranking import top_per_group
 from loomline.session import release, stage
 
@@ -114,6 +114,7 @@ def bit_set(rows: DataFrame, columns: Sequence[str], rules: Rules) -> tuple[BitS
             parts = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
             at = np.unique(mixed(joined_hash(parts)) >> np.uint64(64 - bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
+        give_back()
 
     data = np.zeros(1 << (bits - 3), dtype=np.uint8)
     if count:
@@ -154,6 +155,7 @@ def count_words(texts: DataFrame, rules: Rules) -> tuple[DataFrame, int]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h), pa.array([lang] * len(words), pa.binary()), pa.array(words, pa.binary()),
                          pa.array(list(some.values()), pa.int64())], ["h", "lang", "word", "f"])
+            give_back()
 
         named = F.struct("lang", "word")
         words = stage(texts.mapInArrow(run, "h long, lang binary, word binary, f long").groupBy("h").agg(
@@ -187,6 +189,7 @@ def code_texts(texts: DataFrame, frequent: BitSet, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names.tobytes()], pa.binary()), pa.array([codes.astype(np.uint32).tobytes()], pa.binary())],
                 ["names", "codes"])
+        give_back()
 
     return texts.mapInArrow(run, "names binary, codes binary")
 
@@ -242,6 +245,7 @@ def count_phrases(coded: DataFrame, m: int, rules: Rules, pairs: BitSet | None =
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(names[codes[here[first] + k]].view(np.int64)) for k in range(m)),
                      pa.array(count.astype(np.int64))], [*names_of, "a"])
+        give_back()
 
     schema = ", ".join(f"{c} long" for c in [*names_of, "a"])
     return coded.mapInArrow(run, schema).groupBy(*names_of).agg(F.sum("a").alias("a")).filter(
