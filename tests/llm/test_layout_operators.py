@@ -146,6 +146,24 @@ def test_pieces_equal_the_tokenizer(spark):
     assert P.pack(docs.limit(0), vocabulary_path()).count() == 0
 
 
+def test_every_letter_next_to_a_mark(spark):
+    """Ids equal the tokenizer's for each character of the first planes between marks and letters."""
+    coder = P.coder_of(vocabulary_path())
+    chars = [chr(c) for c in range(0x21, 0x3100) if not chr(c).isspace()]
+    chunks = [form.format(c) for c in chars for form in ("E{}.", ".{}e", "{}", "({})", "a{}b")]
+    want = coder.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+    for chunk, enc in zip(chunks, want):
+        if len(chunk.split()) == 1:
+            assert coder[chunk.encode()] == struct.pack(f"<{len(enc.ids)}I", *enc.ids), chunk
+
+
+def test_null_and_repeated_ids_are_spread_over_groups(spark):
+    docs = spark.range(3000).selectExpr("IF(id % 3 = 0, null, IF(id % 3 = 1, 7, id)) AS doc_id",
+                                        "concat('text number ', id) AS text")
+    groups = Counter(r["sequence_id"] >> 32 for r in P.pack(docs, vocabulary_path(), group_docs=300).collect())
+    assert len(groups) == 10 and max(groups.values()) < 450
+
+
 def test_first_fit_equals_a_plain_scan():
     import random
     rng = random.Random(3)

@@ -287,3 +287,15 @@ def test_tree_edges(spark):
     none = S.learn_and_score(df, F.lit(False)).collect()
     assert {r["n_known"] for r in none} == {0} and all(np.isfinite(r["score"]) for r in none)
     assert S.learn_and_score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_hostile_texts_take_neither_stack_nor_the_job(spark):
+    """Long runs of what a pattern repeats; rows of numbers are no phones."""
+    texts = ["x@" + "a." * 100_000 + "com", "x@" + "a." * 2000 + "c", "1" * 1_000_000, "1 " * 200_000,
+             " ".join(str(i) for i in range(20_000, 24_000)), "a@b.co.u", "+1" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.pseudonymize(df, "key").collect()}
+    assert got[0]["n_pii"] == 1 and got[0]["text"] != texts[0]
+    assert got[5]["n_pii"] == 1 and got[5]["text"].endswith(".u")
+    for i in (2, 3, 4, 6):
+        assert got[i]["text"] == texts[i], i
