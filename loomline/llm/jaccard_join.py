@@ -58,7 +58,7 @@ SMALL_LIMIT = 29  # sets above this size have too many subsets to be worth listi
 ORDER_BITS = 20  # size of the table of frequent shingles
 PIVOTS, OWN_BUCKET = 16, 64  # pivots of a cluster; components from this size have buckets of their own
 PAIRS_AT_ONCE = 128  # pairs of whole sets that a task is handed at once
-BUCKET_SHINGLES = 400_000  # a bucket holds no more shingles than this, or one set
+BUCKET_SHINGLES = 2_000_000  # a bucket holds no more shingles than this, or one set
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -340,17 +340,20 @@ def bucket_links(homes: DataFrame, lists: DataFrame, sets: DataFrame, near: Data
                                                      F.col("p.own").isNull(), part).alias("bucket")), "members")
     ranges = stage(members.groupBy("bucket").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("own")), "buckets")
-    spread = stage(lists.select("token", "doc").join(members.select("doc", "bucket"), "doc")
-                   .select("token", "bucket").distinct().join(ranges, "bucket"), "buckets")
-    one = spread.select("token", F.col("bucket").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"),
-                        F.col("own").alias("own_i"))
-    pairs = stage(one.join(spread, "token").filter(
+    spread = stage(lists.select("token", "doc").join(members.select("doc", "bucket"), "doc"), "spread")
+    met = stage(spread.select("token", "bucket").distinct().join(ranges, "bucket"), "met")
+    one = met.select("token", F.col("bucket").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"),
+                     F.col("own").alias("own_i"))
+    pairs = stage(one.join(met, "token").filter(
         (F.col("i") <= F.col("bucket")) & (F.col("hi_i") * 100 >= F.col("lo") * percent)
         & (F.col("hi") * 100 >= F.col("lo_i") * percent)
         & ~F.coalesce(F.col("own_i") == F.col("own"), F.lit(False)))
-        .select("i", F.col("bucket").alias("j")).distinct(), "pairs")
-    sided = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("bucket"))
-    rows = sided.join(members.select("doc", "component", "bucket"), "bucket").join(sets, "doc")
+        .select("token", "i", F.col("bucket").alias("j")), "pairs")
+    # A set goes only to the pairs of buckets that one of its own lists connects.
+    sided = stage(pairs.select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("bucket"))
+                  .join(spread, ["token", "bucket"]).select("i", "j", "doc").distinct(), "sided")
+    release(met, pairs, spread)
+    rows = sided.join(members.select("doc", "component"), "doc").join(sets, "doc")
     return rows.groupBy("i", "j").applyInPandas(
         lambda pdf: linked_rows(pdf, percent, "component"), "a long, b long")
 
@@ -381,7 +384,7 @@ def linked_in_block(sets: list[np.ndarray], percent: int, columns: int = 4096
 
 
 def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int = 32,
-                 bucket: int = 512, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+                 bucket: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of each row of ``docs``; the class
     is the smallest id with the same set."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
