@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -54,6 +55,9 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, int, bool]] = []
         self.open: list[tuple[str, bool, bool]] = []  # element, skipped, article
+        # Where elements of each name are open, and where blocks are, so that no tag walks the stack.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.block_places: list[int] = []
         self.words: list[str] = []
         self.tags = 0
         self.skipping = 0
@@ -68,7 +72,10 @@ class Blocks(HTMLParser):
 
     def pop_to(self, at: int) -> None:
         while len(self.open) > at:
-            _, skipped, article = self.open.pop()
+            tag, skipped, article = self.open.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.block_places.pop()
             self.skipping -= skipped
             self.articles -= article
 
@@ -77,13 +84,13 @@ class Blocks(HTMLParser):
         if tag in BLOCKS:
             self.close_block()
             if tag in ENDS_P:
-                self.end_open("p", ("p",), stop=("table", "button", "article", "section", "td"))
+                self.end_open(("p",), stop=("table", "button", "article", "section", "td"))
             if tag in ("li", "dd", "dt", "td", "th", "tr"):
                 same = ("dd", "dt") if tag in ("dd", "dt") else (
                     ("td", "th") if tag in ("td", "th") else (tag,))
-                self.end_open(tag, same, stop=("ul", "ol", "dl", "table", "menu"))
+                self.end_open(same, stop=("ul", "ol", "dl", "table", "menu"))
         if tag == "body":
-            self.end_open("head", ("head",), stop=())
+            self.end_open(("head",), stop=())
         if tag in VOID:
             return
         inside = self.articles > 0
@@ -96,18 +103,21 @@ class Blocks(HTMLParser):
                         name == "style" and value and "display:none" in value.replace(" ", "")):
                     skipped = True
         article = tag in ("article", "main") and not self.skipping
+        self.places[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.block_places.append(len(self.open))
         self.open.append((tag, skipped, article))
         self.skipping += skipped
         self.articles += article
 
-    def end_open(self, tag: str, same: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            name = self.open[at][0]
-            if name in same:
-                return self.pop_to(at)
-            if name in stop:
-                return None
-        return None
+    def last(self, *tags: str) -> int:
+        """Where the innermost open element of these is, or -1."""
+        return max(self.places[t][-1] if self.places[t] else -1 for t in tags)
+
+    def end_open(self, same: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        at = self.last(*same)
+        if at >= 0 and (not stop or at > self.last(*stop)):
+            self.pop_to(at)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -121,11 +131,9 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.close_block()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                if tag in BLOCKS or all(o[0] not in BLOCKS for o in self.open[at:]):
-                    self.pop_to(at)
-                break
+        at = self.last(tag)
+        if at >= 0 and (tag in BLOCKS or not self.block_places or self.block_places[-1] < at):
+            self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
