@@ -28,12 +28,15 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
     Where that is unset, the checkpoint folder of the context is used; with
-    neither, a folder inside the warehouse, which a session shares with all of
-    its executors. No machine-local temporary folder is ever used.
+    neither, a folder inside the warehouse. On a cluster that must not be a folder
+    of one machine: each executor would write to its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if not local and (folder.startswith("file:") or "://" not in folder):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
