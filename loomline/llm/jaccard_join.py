@@ -11,9 +11,12 @@ joined to its smallest member without a comparison.
 
 *Large sets* scan inverted lists, restricted to a prefix: in one order of all
 shingles, sets that link share a shingle among the first n - ceil(0.9 n) + 1 of
-each. The order puts shingles last that repeat within batches of documents, by how
-often, so that prefixes are made of rare shingles; it is a table of ``ORDER_BITS``
-bits of hashes, however large the corpus, and any order gives the same links. Short
+each. Any order gives the same links; one that starts with rare shingles makes short
+lists. ``counted``: by hash level, then by how many documents hold the shingle, where
+only as many levels are counted as a prefix needs; right for narrow prefixes of short
+shingles. Else shingles that repeat within batches of documents come last, by how often,
+from a table of ``ORDER_BITS`` bits of hashes; right for wide prefixes, of which counting
+would shuffle half the corpus, and for long shingles, which seldom repeat by chance. Short
 lists make pairs, at most ``heavy`` squared a list. Members of long lists are dealt
 to chunks with some pivots of their cluster in each, and a chunk is compared inside a
 task as a product of incidence matrices, so near copies of one text become one
@@ -55,6 +58,7 @@ from loomline.operators.ranking import top_per_group
 from loomline.session import release, stage
 
 SMALL_LIMIT = 29  # sets above this size have too many subsets to be worth listing
+LEVELS = (0, 1, 2, 2, 3, 3, 3, 3)  # hash level of a shingle by its three highest bits
 ORDER_BITS = 20  # size of the table of frequent shingles
 PIVOTS, OWN_BUCKET = 16, 64  # pivots of a cluster; components from this size have buckets of their own
 PAIRS_AT_ONCE = 128  # pairs of whole sets that a task is handed at once
@@ -143,6 +147,39 @@ def signatures(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> D
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens array<long>, small binary")
 
 
+def counted_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """As ``signatures``, with the shingles of the levels that a prefix needs, in no order,
+    and their number by level as ``emitted``."""
+    levels = np.array(LEVELS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                out: list[tuple] = []
+                for text in batch.column(1).to_pylist():
+                    s = shingles(text, size)
+                    n = len(s)
+                    level = levels[(s >> np.uint64(61)).astype(np.int64)]
+                    per_level = np.bincount(level, minlength=4)
+                    need = prefix_size(n, percent) if n else 0
+                    last = int(np.searchsorted(np.cumsum(per_level), need))
+                    per_level[last + 1:] = 0
+                    out.append((n, int(s.sum(dtype=np.uint64).astype(np.int64)),
+                                int(mix(s).sum(dtype=np.uint64).astype(np.int64)),
+                                s[:int(per_level.sum())].view(np.int64), per_level.tolist(),
+                                s.tobytes() if n <= SMALL_LIMIT else None))
+                n, k1, k2, tokens, per_level, small = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
+                     pa.array(k2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
+                     pa.array(per_level, pa.list_(pa.int32())), pa.array(small, pa.binary())],
+                    ["doc_id", "n", "k1", "k2", "tokens", "emitted", "small"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens array<long>, "
+                                "emitted array<int>, small binary")
+
+
 def choose_boundary(sets: DataFrame, percent: int, scan_weight: float = 8.0) -> int:
     """The largest size treated as small, by estimated cost of either way."""
     small = sets.filter(f"n BETWEEN 1 AND {SMALL_LIMIT}")
@@ -209,6 +246,48 @@ def prefix_index(sets: DataFrame, least_size: int, percent: int) -> DataFrame:
         "first", F.col("n") - F.col("pos") >= needed(F.col("n"), F.col("n"), percent))
 
 
+def counted_index(sets: DataFrame, least_size: int, percent: int) -> DataFrame:
+    """As ``prefix_index``, of ``counted_signatures``: counts what prefixes may need."""
+    able = sets.filter(F.col("n") >= least_size)
+    tokens = able.select("doc_id", F.explode("tokens").alias("token"))
+    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "lists")
+    known = tokens.join(shared, "token").groupBy("doc_id").agg(
+        F.collect_list(F.struct("df", "token")).alias("listed"))
+    levels = np.array(LEVELS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, sizes, emitted, listed = (batch.column(i) for i in range(4))
+            out_doc, out_n, out_token, out_pos = [], [], [], []
+            for doc, n, per_level, rows in zip(docs.to_pylist(), sizes.to_pylist(),
+                                               emitted.to_pylist(), listed):
+                df = rows.values.field("df").to_numpy(zero_copy_only=False)
+                token = rows.values.field("token").to_numpy(zero_copy_only=False)
+                level = levels[(token.view(np.uint64) >> np.uint64(61)).astype(np.int64)]
+                order = np.lexsort((token, df, level))
+                room, passed = prefix_size(n, percent), 0
+                for at in range(4):
+                    here = order[level[order] == at]
+                    passed += per_level[at] - len(here)  # shingles of no other set come first
+                    if passed >= room:
+                        break
+                    taken = here[:room - passed]
+                    out_pos.append(np.arange(passed, passed + len(taken)))
+                    passed += len(taken)
+                    out_token.append(token[taken])
+                    out_doc.append(np.full(len(taken), doc, dtype=np.int64))
+                    out_n.append(np.full(len(taken), n, dtype=np.int64))
+            if out_token:
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.concatenate(c), pa.int64()) for c in (out_token, out_doc, out_n)),
+                     pa.array(np.concatenate(out_pos), pa.int64())], ["token", "doc", "n", "pos"])
+
+    rows = known.join(able.select("doc_id", "n", "emitted"), "doc_id").select(
+        "doc_id", "n", "emitted", "listed")
+    return rows.mapInArrow(run, "token long, doc long, n long, pos long").withColumn(
+        "first", F.col("n") - F.col("pos") >= needed(F.col("n"), F.col("n"), percent))
+
+
 def needed(a: Column, b: Column, percent: int) -> Column:
     """``least_common`` of two sizes."""
     return F.floor(((a + b) * percent + (100 + percent - 1)) / (100 + percent))
@@ -384,17 +463,18 @@ def linked_in_block(sets: list[np.ndarray], percent: int, columns: int = 4096
 
 
 def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int = 32,
-                 bucket: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+                 bucket: int = 256, counted: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of each row of ``docs``; the class
     is the smallest id with the same set."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.col(text_col).cast("string").cast("binary").alias("text"))
-    signed = stage(signatures(texts, size, percent, frequency_order(texts, size)), "signatures")
+    signed = stage(counted_signatures(texts, size, percent) if counted else signatures(
+        texts, size, percent, frequency_order(texts, size)), "signatures")
     named = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stage(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
     sets = stage(named.join(classes.select(F.col("class_id").alias("doc_id"), "n", "k1", "k2"),
                             ["doc_id", "n", "k1", "k2"], "left_semi")
-                 .select("doc_id", "n", "tokens", "small"), "sets")
+                 .drop("k1", "k2"), "sets")
 
     # What is left to read of the signatures is slim; their shingles go once they are used.
     slim = stage(signed.select("doc_id", "n", "k1", "k2"), "slim")
@@ -402,7 +482,7 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     boundary = choose_boundary(sets, percent)
     edges = [stage(small_links(sets, boundary, percent), "edges")] if boundary else []
     least_size = -(-percent * (boundary + 1) // 100)
-    index = stage(prefix_index(sets, least_size, percent), "index")
+    index = stage((counted_index if counted else prefix_index)(sets, least_size, percent), "index")
     release(sets)
     # A list needs a member of a first part; larger sets meet it with their whole prefix.
     least_first = stage(index.groupBy("token").agg(

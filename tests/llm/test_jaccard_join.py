@@ -67,13 +67,13 @@ def corpus(seed, copies=40):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("settings", [{}, {"heavy": 3, "bucket": 8}])
+@pytest.mark.parametrize("settings", [{}, {"heavy": 3, "bucket": 8}, {"heavy": 3, "bucket": 8, "counted": False}])
 def test_equals_brute_force(spark, settings):
     rows = corpus(1)
     assert found(spark, rows, **settings) == brute(rows)
 
 
-@pytest.mark.parametrize("settings", [{}, {"heavy": 3, "bucket": 8}])
+@pytest.mark.parametrize("settings", [{}, {"heavy": 3, "bucket": 8}, {"heavy": 3, "bucket": 8, "counted": False}])
 def test_five_words_at_80_percent(spark, monkeypatch, settings):
     monkeypatch.setattr(J, "OWN_BUCKET", 4)
     monkeypatch.setattr(J, "PIVOTS", 2)
