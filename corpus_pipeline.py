@@ -45,7 +45,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
-    joined = jaccard_join.join_similar(docs, percent=NEAR_PERCENT, size=NEAR_WORDS, heavy=SHORT_LISTS)
+    joined = jaccard_join.join_similar(docs, percent=NEAR_PERCENT, size=NEAR_WORDS, heavy=SHORT_LISTS,
+                                       counted=False)
     kept = stage(joined.filter("doc_id = component_id").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("rows")), "kept")
     once = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
