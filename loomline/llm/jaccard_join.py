@@ -52,8 +52,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomline.llm.common import rows_at_once
+from loomline.llm.common import drop_shuffles, rows_at_once
 from loomline.llm.components import connected_components, forest
+from loomline.llm.phrase_mining import Rules, bit_set, joined_hash
 from loomline.operators.ranking import top_per_group
 from loomline.session import release, stage
 
@@ -302,17 +303,22 @@ def common_of(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``(doc, set)`` of the documents in ``ids(doc_id)``."""
+    """``(doc, set)`` of the documents in ``ids(doc_id)``, and of a few more: tasks know the
+    ids by a bit set of fixed size, so texts are not shuffled to meet them."""
+    asked, _ = bit_set(ids, ["doc_id"], Rules())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
+                known = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                batch = batch.filter(pa.array(asked.holds(joined_hash([known]))))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([shingles(t, size).tobytes() for t in
                                                 batch.column(1).to_pylist()], pa.binary())],
                     ["doc", "set"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc long, set binary")
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "doc long, set binary")
 
 
 def light_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -366,6 +372,7 @@ def heavy_links(lists: DataFrame, sets: DataFrame, percent: int, bucket: int) ->
         "doc", "n", F.coalesce("component", "token").alias("home")), "homes")
     release(first)
     near = stage(chunk_links(homes, sets, percent, bucket), "near")
+    drop_shuffles(lists.sparkSession)
     far = stage(bucket_links(homes, lists, sets, near, percent, bucket), "far")
     release(homes)
     return near.unionByName(far)
@@ -466,6 +473,7 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
                  bucket: int = 256, counted: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of each row of ``docs``; the class
     is the smallest id with the same set."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.col(text_col).cast("string").cast("binary").alias("text"))
     signed = stage(counted_signatures(texts, size, percent) if counted else signatures(
@@ -484,6 +492,7 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     least_size = -(-percent * (boundary + 1) // 100)
     index = stage((counted_index if counted else prefix_index)(sets, least_size, percent), "index")
     release(sets)
+    drop_shuffles(spark)
     # A list needs a member of a first part; larger sets meet it with their whole prefix.
     least_first = stage(index.groupBy("token").agg(
         F.min(F.when(F.col("first"), F.col("n"))).alias("least"), F.count("*").alias("len"))
@@ -492,20 +501,24 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
         F.col("first") | (F.col("n") > F.col("least"))).drop("least"), "lists")
     lengths = stage(able.groupBy("token").agg(F.count("*").alias("len")).filter("len > 1"), "lengths")
     lists = stage(able.join(lengths, "token"), "lists")
+    release(index, able, least_first, lengths)
+    drop_shuffles(spark)
     short, long_ = lists.filter(F.col("len") <= heavy), lists.filter(F.col("len") > heavy)
     pairs = stage(light_pairs(short, percent), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))) \
         .unionByName(long_.select(F.col("doc").alias("doc_id"))).distinct()
     full = stage(whole_sets(texts, stage(ids, "ids"), size), "wholes")
-    with rows_at_once(docs.sparkSession, PAIRS_AT_ONCE):
+    with rows_at_once(spark, PAIRS_AT_ONCE):
         edges.append(stage(verified_pairs(pairs, full, percent), "edges"))
-    release(index, able, pairs)
+    release(pairs)
+    drop_shuffles(spark)
     edges.append(heavy_links(long_, full, percent, bucket))
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
     links = stage(links.distinct(), "links")
     release(full, lists, *edges[:-1])
+    drop_shuffles(spark)
     components = connected_components(links)
     out = slim.join(classes, ["n", "k1", "k2"], "left").join(
         components.withColumnRenamed("node", "class_id"), "class_id", "left")
