@@ -62,7 +62,7 @@ SELECT shape_id, c.n, concat_ws(chr(1), c.a2, CASE WHEN c.b IS NULL THEN NULL
          WHEN rn <= 7 THEN c.b ELSE '<*>' END) AS key
 FROM cap1 c LEFT JOIN rank2 r ON c.n = r.n AND c.a2 = r.a2 AND c.b = r.b""")
 def cap_children(spark, sf_dir):
-    keyed = B.with_prefix_key(I.document_shapes(spark, sf_dir), FEW_CHILDREN, "key")
+    keyed = B.with_prefix_key(I.document_shapes(spark, sf_dir), FEW_CHILDREN, "key").drop("tokens")
     capped = B.cap_children(stage(keyed, "keyed"), "key", 2, FEW_CHILDREN)
     return capped.select("shape_id", F.col("n").cast("long").alias("n"),
                          B.key_text(F.col("key")).alias("key"))
@@ -92,18 +92,32 @@ WITH {I.SQL_DOCUMENT_SHAPES}, {sql_capped(9, 2)}
 SELECT shape_id, n, path AS key FROM c6""")
 def cap_children_deep(spark, sf_dir):
     """Six levels, two children and the wildcard at each."""
-    keyed = B.with_prefix_key(I.document_shapes(spark, sf_dir), SIX_LEVELS, "key")
+    keyed = B.with_prefix_key(I.document_shapes(spark, sf_dir), SIX_LEVELS, "key").drop("tokens")
     capped = B.cap_children(stage(keyed, "keyed"), "key", 6, SIX_LEVELS)
     return capped.select("shape_id", F.col("n").cast("long").alias("n"),
                          B.key_text(F.col("key")).alias("key"))
 
 
-def block_leaders(keyed, key_col: str):
-    """The top ranked shape of each ``(n, key)`` block, as its template."""
-    order = F.struct(-F.col("cnt"), F.col("first_id"), F.col("shape_id"))
-    return keyed.groupBy("n", key_col).agg(
-        F.min_by(F.struct("shape_id", "tokens"), order).alias("l")).select(
-        "n", key_col, F.col("l.shape_id").alias("template_id"), F.col("l.tokens").alias("leader"))
+def block_leaders(keyed, key_col: str, values=()):
+    """The top ranked shape of each ``(n, key)`` block, as its template, with its ``leader``
+    tokens and other arrays as ``leader_<value>``."""
+    order = F.struct((-F.col("cnt")).alias("c"), "first_id", "shape_id")
+    first = keyed.groupBy("n", key_col).agg(F.min(order).alias("l")).select(
+        "n", key_col, F.col("l.shape_id").alias("template_id"))
+    texts = keyed.select(F.col("shape_id").alias("template_id"), F.col("tokens").alias("leader"),
+                         *[F.col(v).alias(f"leader_{v}") for v in values])
+    return first.join(texts, "template_id")
+
+
+def with_leaders(keyed, key_col: str, values=()):
+    """Every shape next to the top ranked shape of its block. Sequences of tokens or tags
+    are shuffled as one text."""
+    texts = ["tokens", *[v for v in values if dict(keyed.dtypes)[v] == "array<string>"]]
+    slim = keyed.select("shape_id", "n", "cnt", "first_id", key_col, *[
+        T.pack_tokens(F.col(c)).alias(c) if c in texts else F.col(c) for c in ("tokens", *values)])
+    leaders = block_leaders(slim, key_col, values)
+    return slim.drop("cnt", "first_id").join(leaders, ["n", key_col]).withColumns({
+        c: T.unpack_tokens(F.col(c)) for t in texts for c in (t, "leader" if t == "tokens" else f"leader_{t}")})
 
 
 def sql_leaders(key: str, name: str) -> str:
@@ -136,7 +150,7 @@ def two_way_candidates(spark, sf_dir):
     for kind, add in (("prefix_key", B.with_prefix_key), ("suffix_key", B.with_suffix_key)):
         options = TWO_TOKENS if kind == "prefix_key" else HALF
         keyed = add(shapes, options).withColumn(kind, B.key_text(F.col(kind)))
-        pairs = keyed.join(block_leaders(keyed, kind), ["n", kind])
+        pairs = with_leaders(keyed, kind)
         sides.append(pairs.select("shape_id", "template_id", S.positional_similarity(
             F.col("leader"), F.col("tokens")).alias("m")).select("shape_id", "template_id", "m.*"))
     return M.two_way_candidates(sides[0], sides[1], ["shape_id"]).select(
@@ -149,11 +163,11 @@ def block_templates(shapes, options: MinerOptions):
         "key", B.key_text(F.col("prefix_key")))
     ids = F.md5(F.concat_ws("|", F.col("n").cast("string"), "key"))
     keyed = keyed.withColumn("template_id", ids)
-    folded = merge_group(keyed, ["template_id"], options.wildcard)
+    folded = merge_group(keyed, ["template_id"], options.wildcard).withColumn("tokens", T.pack_tokens(F.col("tokens")))
     sizes = keyed.groupBy("template_id", "n").agg(
         F.sum("cnt").alias("size"), F.count("*").alias("shapes"),
         F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
-    return sizes.join(folded, "template_id")
+    return sizes.join(folded, "template_id").withColumn("tokens", T.unpack_tokens(F.col("tokens")))
 
 
 def sql_block_templates(depth: int) -> str:
