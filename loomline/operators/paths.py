@@ -124,6 +124,43 @@ def reached_templates(shapes: DataFrame, history: DataFrame, options: MinerOptio
     return found
 
 
+def reached_counts(shapes: DataFrame, history: DataFrame, current: DataFrame, options: MinerOptions) -> DataFrame:
+    """``(shape_id, reached, by_old_keys)``: how many templates each shape reaches by the keys of
+    ``history``, and how many of those ``current`` does not lead it to.
+
+    Shapes go as distinct heads and templates as distinct keys. With keys of one token a head
+    reaches a template by one key of those that no other key covers, so templates are counted
+    by their keys and no row is made for a shape and a template. Longer keys of a template may
+    overlap; then the pairs are listed.
+    """
+    shapes = shapes.select("shape_id", "n", F.slice("tokens", F.lit(1), T.prefix_key_length(
+        F.col("n"), options.depth)).alias("tokens"))
+    if options.depth > 4:
+        old, now = (reached_templates(shapes, keys, options).select("shape_id", "template_id").distinct()
+                    for keys in (history, current))
+        both = old.join(now.withColumn("now", F.lit(True)), ["shape_id", "template_id"], "left")
+        return both.groupBy("shape_id").agg(F.count(F.lit(1)).alias("reached"),
+                                            F.count_if(F.col("now").isNull()).alias("by_old_keys"))
+    heads = stage(shapes.select("n", "tokens").distinct().withColumn(
+        "shape_id", F.md5(F.to_json(F.struct("n", "tokens")))), "heads")
+    sides = []
+    for keys, name in ((history, "old"), (current, "now")):
+        kept = stage(without_covered(keys, options).select(
+            "template_id", "n", "key", F.to_json("key").alias(name)).distinct(), "keys")
+        classes = kept.select("n", "key", F.col(name).alias("template_id")).distinct().withColumn("batch", F.lit(0))
+        met = reached_templates(heads, classes, options).select("shape_id", F.col("template_id").alias(name))
+        sides.append((kept.drop("key"), met))
+    (old_keys, old), (now_keys, now) = sides
+    met = heads.select("shape_id", "n").join(old, "shape_id")
+    reached = met.join(old_keys.groupBy("n", "old").agg(F.count(F.lit(1)).alias("c")), ["n", "old"]).groupBy(
+        "shape_id").agg(F.sum("c").alias("reached"))
+    pairs = old_keys.join(now_keys, ["template_id", "n"]).groupBy("n", "old", "now").agg(F.count(F.lit(1)).alias("c"))
+    both = met.join(now, "shape_id").join(pairs, ["n", "old", "now"]).groupBy("shape_id").agg(F.sum("c").alias("both"))
+    counted = reached.join(both, "shape_id", "left").join(heads, "shape_id").select(
+        "n", "tokens", "reached", (F.col("reached") - F.coalesce("both", F.lit(0))).alias("by_old_keys"))
+    return shapes.join(counted, ["n", "tokens"]).select("shape_id", "reached", "by_old_keys")
+
+
 def preferred(reached: DataFrame, prefer: str = "literal") -> DataFrame:
     """One template a shape: of most literals (``literal``) or of fewest (``wildcard``)."""
     first = F.desc("literals") if prefer == "literal" else F.asc("literals")
