@@ -52,11 +52,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomline.llm.common import drop_shuffles, rows_at_once
+from loomline.llm.common import rows_at_once
 from loomline.llm.components import connected_components, forest
 from loomline.llm.phrase_mining import Rules, bit_set, joined_hash
 from loomline.operators.ranking import top_per_group
-from loomline.session import release, stage
+from loomline.session import drop_shuffles, release, stage
 
 SMALL_LIMIT = 29  # sets above this size have too many subsets to be worth listing
 LEVELS = (0, 1, 2, 2, 3, 3, 3, 3)  # hash level of a shingle by its three highest bits

@@ -12,6 +12,7 @@ from loomline.operators.evaluate import grouping_accuracy
 from loomline.operators.leaders import Rounds
 from loomline.options import DEFAULT_MASKS, MinerOptions
 from loomline.plans.mining import assign_lines, assign_to_leaders, mine_templates
+from loomline.session import stage
 
 FAST = MinerOptions()
 
@@ -336,3 +337,24 @@ def test_null_blank_and_control_lines_keep_their_rows(spark):
     assert sorted(rows) == [1, 2, 3, 4, 5] and tagged.count() == 5
     assert len({rows[i]["cluster_id"] for i in (1, 2, 5)}) == 1
     assert len({r["cluster_id"] for r in rows.values()}) == 3
+
+
+def test_fusing_rounds_hold_numbers_only(spark, monkeypatch):
+    """A long chain takes many rounds, and none of them moves ids as text."""
+    from loomline.operators import components
+    written = []
+
+    def kept(df, label="stage"):
+        written.append([t for _, t in df.dtypes])
+        return stage(df, label)
+
+    monkeypatch.setattr(components, "stage", kept)
+    monkeypatch.setattr(G, "stage", kept)
+    names = [f"t{i:03d}" for i in range(60)]
+    random.Random(5).shuffle(names)
+    links = [(f"s{i}", t) for i, pair in enumerate(zip(names, names[1:])) for t in pair]
+    links += [("hub", t) for t in ("u1", "u2", "u3", "u1")] + [("one", "v"), (None, "w"), ("x", None)]
+    got = {r["template_id"]: r["fused_id"] for r in G.fuse_labels(
+        spark.createDataFrame(links, "shape_id string, template_id string")).collect()}
+    assert got == {**{t: "t000" for t in names}, "u1": "u1", "u2": "u1", "u3": "u1", "v": "v"}
+    assert sum("string" in types for types in written) <= 4 and len(written) > 8
