@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -155,3 +156,29 @@ def test_plan_has_no_cross_product(spark):
                          )._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert F.lit(1) is not None
+
+
+def test_near_pairs_hold_all_that_reach_the_threshold(spark):
+    """In a crowded block all similar pairs are found, and not its product."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    blocks = {(6, "k"): 60, (6, "l"): 3, (13, "k"): 40, (0, ""): 2, (3, "k"): 20}
+    shapes, templates = [], []
+    for (n, key), count in blocks.items():
+        for i in range(count):
+            base = [key, *rng.choices(words, k=n - 1)] if n else []
+            templates.append((f"t{n}{key}{i}", n, key, [w if rng.random() < 0.9 else "<*>" for w in base]))
+            for j in range(3):
+                shapes.append((f"s{n}{key}{i}_{j}", n, key, [
+                    w if rng.random() < 0.8 else rng.choice([*words, "<*>"]) for w in base]))
+    left = spark.createDataFrame(shapes, "shape_id string, n int, key string, tokens array<string>")
+    right = spark.createDataFrame(templates, "template_id string, n int, key string, tokens array<string>")
+    got = {(r["shape_id"], r["template_id"]) for r in M.near_pairs(left, right, ["n", "key"], 0.0, crowded=5).collect()}
+    whole = {(s, t) for s, n, k, _ in shapes for t, m, q, _ in templates if (n, k) == (m, q)}
+    near = set()
+    for s, n, k, x in shapes:
+        for t, m, q, y in templates:
+            same = sum(a == b != "<*>" for a, b in zip(x, y))
+            if (n, k) == (m, q) and (n == 0 or same / n >= round(1 - math.log2(n) / n, 1)):
+                near.add((s, t))
+    assert near <= got <= whole and len(got) < len(whole) / 4
