@@ -364,20 +364,24 @@ def heavy_links(lists: DataFrame, sets: DataFrame, percent: int, bucket: int) ->
     First the members of a cluster are compared in chunks that its pivots join, then
     those that lie in different components, in buckets of like size.
     """
-    first = stage(lists.groupBy("doc", "n").agg(F.min("token").alias("token")), "first")
-    clusters = connected_components(
-        lists.select("doc", F.col("token").alias("a")).join(
-            first.select("doc", F.col("token").alias("b")), "doc").select("a", "b"))
-    homes = stage(first.join(clusters.withColumnRenamed("node", "token"), "token", "left").select(
+    held = stage(held_lists(lists), "held")
+    clusters = connected_components(held.select(F.explode("tokens").alias("a"), F.array_min("tokens").alias("b")))
+    homes = stage(held.select("doc", "n", F.array_min("tokens").alias("token")).join(clusters.withColumnRenamed("node", "token"), "token", "left").select(
         "doc", "n", F.coalesce("component", "token").alias("home")), "homes")
-    release(first)
+    drop_shuffles(lists.sparkSession)
     near = stage(chunk_links(homes, sets, percent, bucket), "near")
     drop_shuffles(lists.sparkSession)
-    far = stage(bucket_links(homes, lists, sets, near, percent, bucket), "far")
-    release(homes)
+    far = stage(bucket_links(homes, held, sets, near, percent, bucket), "far")
+    release(homes, held)
     return near.unionByName(far)
 
 
+def held_lists(lists: DataFrame) -> DataFrame:
+    """``(doc, n, tokens)``: the lists that a member is in, at most its prefix; what a member is
+    joined with meets one row of it, however many lists it shares with its like."""
+    return lists.groupBy("doc", "n").agg(F.collect_list("token").alias("tokens"))
+
+
 def chunk_links(homes: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Links inside chunks of a cluster; the pivots of the cluster are in each chunk."""
     pivots = stage(top_per_group(homes, ["home"], [F.xxhash64("doc"), F.col("doc")], PIVOTS, F.col("doc"))
@@ -407,7 +411,7 @@ def linked_rows(pdf: pd.DataFrame, percent: int, sides: str | None = None) -> pd
     return pd.DataFrame({"a": docs[moved], "b": docs[root[moved]]})
 
 
-def bucket_links(homes: DataFrame, lists: DataFrame, sets: DataFrame, near: DataFrame, percent: int,
+def bucket_links(homes: DataFrame, held: DataFrame, sets: DataFrame, near: DataFrame, percent: int,
                  bucket: int) -> DataFrame:
     """Links between components that a list connects, by pairs of buckets."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
@@ -426,7 +430,8 @@ def bucket_links(homes: DataFrame, lists: DataFrame, sets: DataFrame, near: Data
                                                      F.col("p.own").isNull(), part).alias("bucket")), "members")
     ranges = stage(members.groupBy("bucket").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("own")), "buckets")
-    spread = stage(lists.select("token", "doc").join(members.select("doc", "bucket"), "doc"), "spread")
+    spread = stage(held.select("doc", "tokens").join(members.select("doc", "bucket"), "doc").select(
+        "doc", "bucket", F.explode("tokens").alias("token")), "spread")
     met = stage(spread.select("token", "bucket").distinct().join(ranges, "bucket"), "met")
     one = met.select("token", F.col("bucket").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"),
                      F.col("own").alias("own_i"))
@@ -439,6 +444,7 @@ def bucket_links(homes: DataFrame, lists: DataFrame, sets: DataFrame, near: Data
     sided = stage(pairs.select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("bucket"))
                   .join(spread, ["token", "bucket"]).select("i", "j", "doc").distinct(), "sided")
     release(met, pairs, spread)
+    drop_shuffles(homes.sparkSession)
     rows = sided.join(members.select("doc", "component"), "doc").join(sets, "doc")
     return rows.groupBy("i", "j").applyInPandas(
         lambda pdf: linked_rows(pdf, percent, "component"), "a long, b long")

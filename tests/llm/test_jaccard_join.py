@@ -6,6 +6,7 @@ import pytest
 
 from loomline.llm import jaccard_join as J
 from loomline.llm.components import connected_components
+from loomline.session import stage
 
 SCHEMA = "doc_id long, text string, n long, class_id string"
 
@@ -136,3 +137,23 @@ def test_components_of_a_chain_and_a_star(spark):
         spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(200)}, **{i: 1000 for i in range(1000, 1050)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_member_of_many_long_lists_is_one_row(spark, monkeypatch):
+    """Joins by document meet one row a member; its lists are unfolded behind them."""
+    written = {}
+
+    def kept(df, label="stage"):
+        out = stage(df, label)
+        written.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(J, "stage", kept)
+    lists = spark.createDataFrame([(t, d, 30) for d in range(50) for t in range(20)], "token long, doc long, n long")
+    assert sorted(map(tuple, J.held_lists(lists).selectExpr("doc", "n", "size(tokens)").collect())) == [
+        (d, 30, 20) for d in range(50)]
+    sets = spark.createDataFrame([(d, np.arange(30 * (d % 2), 30 * (d % 2) + 30, dtype=np.uint64).tobytes())
+                                  for d in range(50)], "doc long, set binary")
+    got = connected_components(J.heavy_links(lists, sets, 90, 16))
+    assert {r["node"]: r["component"] for r in got.collect()} == {d: d % 2 for d in range(50)}
+    assert written["held"] == 50 and written["homes"] == 50
