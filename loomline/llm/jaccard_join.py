@@ -377,9 +377,20 @@ def heavy_links(lists: DataFrame, sets: DataFrame, percent: int, bucket: int) ->
 
 
 def held_lists(lists: DataFrame) -> DataFrame:
-    """``(doc, n, tokens)``: the lists that a member is in, at most its prefix; what a member is
-    joined with meets one row of it, however many lists it shares with its like."""
-    return lists.groupBy("doc", "n").agg(F.collect_list("token").alias("tokens"))
+    """``(doc, n, tokens, places)``: the lists that a member is in, at most its prefix; what a member is
+    joined with meets one row of it, however many lists it shares with its like.
+
+    ``places`` are the ``pos`` of the lists; without that column a list may be the first of each set.
+    """
+    pos = F.col("pos") if "pos" in lists.columns else F.lit(0).cast("long")
+    listed = lists.groupBy("doc", "n").agg(F.collect_list(F.struct("token", pos.alias("pos"))).alias("listed"))
+    return listed.select("doc", "n", F.col("listed.token").alias("tokens"), F.col("listed.pos").alias("places"))
+
+
+def largest_partner(n: Column, pos: Column, percent: int) -> Column:
+    """Size of the largest set that links with one of ``n`` if the first shingle both hold has
+    ``pos`` of its own before it, so that no more than ``n - pos`` are common."""
+    return F.least(F.floor(n * 100 / percent), F.floor((n - pos) * (100 + percent) / percent) - n)
 
 
 def chunk_links(homes: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -416,36 +427,48 @@ def bucket_links(homes: DataFrame, held: DataFrame, sets: DataFrame, near: DataF
     """Links between components that a list connects, by pairs of buckets."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     joined = connected_components(near)
-    known = stage(homes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "doc", "n", "home", size_class.alias("class"), F.coalesce("component", "doc").alias("component")), "known")
+    # Of two sets that link, the smaller leads: a list lets it meet sets of its own size and above.
+    leads = held.select("doc", (largest_partner(F.col("n"), F.array_min("places"), percent) >= F.col("n")).alias("leads"))
+    known = stage(homes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").join(leads, "doc").select(
+        "doc", "n", "home", size_class.alias("class"), "leads", F.coalesce("component", "doc").alias("component")), "known")
     large = stage(known.groupBy("component").count().filter(F.col("count") >= OWN_BUCKET).select(
         "component", F.col("component").alias("own")), "large")
     placed = known.join(large, "component", "left")
-    counts = stage(placed.groupBy("home", "class", "own").agg(F.greatest(
+    kind = ["home", "class", "leads", "own"]
+    counts = stage(placed.groupBy(*kind).agg(F.greatest(
         F.ceil(F.count("*") / bucket), F.ceil(F.sum("n") / BUCKET_SHINGLES)).cast("int").alias("parts")), "counts")
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    members = stage(placed.alias("p").join(counts.alias("c"), (F.col("p.home") == F.col("c.home")) & (
-        F.col("p.class") == F.col("c.class")) & F.col("p.own").eqNullSafe(F.col("c.own"))).select(
-        "doc", "n", "component", "p.own", F.xxhash64("p.home", "p.class", F.coalesce("p.own", F.lit(-1)),
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in kind]
+    members = stage(placed.alias("p").join(counts.alias("c"), same).select(
+        "doc", "n", "component", "p.own", F.xxhash64("p.home", "p.class", "p.leads", F.coalesce("p.own", F.lit(-1)),
                                                      F.col("p.own").isNull(), part).alias("bucket")), "members")
-    ranges = stage(members.groupBy("bucket").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("own")), "buckets")
-    spread = stage(held.select("doc", "tokens").join(members.select("doc", "bucket"), "doc").select(
-        "doc", "bucket", F.explode("tokens").alias("token")), "spread")
-    met = stage(spread.select("token", "bucket").distinct().join(ranges, "bucket"), "met")
-    one = met.select("token", F.col("bucket").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"),
-                     F.col("own").alias("own_i"))
-    pairs = stage(one.join(met, "token").filter(
-        (F.col("i") <= F.col("bucket")) & (F.col("hi_i") * 100 >= F.col("lo") * percent)
-        & (F.col("hi") * 100 >= F.col("lo_i") * percent)
-        & ~F.coalesce(F.col("own_i") == F.col("own"), F.lit(False)))
-        .select("token", "i", F.col("bucket").alias("j")), "pairs")
-    # A set goes only to the pairs of buckets that one of its own lists connects.
-    sided = stage(pairs.select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("bucket"))
-                  .join(spread, ["token", "bucket"]).select("i", "j", "doc").distinct(), "sided")
+    spread = stage(held.select("doc", "tokens", "places").join(members.select("doc", "n", "own", "bucket"), "doc").select(
+        "doc", "n", "own", "bucket", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("pos"))))
+        .withColumn("most", largest_partner(F.col("n"), F.col("pos"), percent)).drop("pos"), "spread")
+    # The members of a list inside a bucket, a bounded number, are one row.
+    met = stage(spread.groupBy("token", "bucket").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"), F.min("own").alias("own"),
+        F.collect_list(F.struct("doc", "n", "most")).alias("members")), "met")
+
+    def reach(n: Column, most: Column, lo: Column, hi: Column) -> Column:
+        """Whether some size from ``lo`` to ``hi`` is neither too small for sets of ``n`` nor above ``most``."""
+        return (hi * 100 >= n * percent) & (lo <= most)
+
+    other = met.select("token", F.col("bucket").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"),
+                       F.col("most").alias("other_most"), F.col("own").alias("other_own"))
+    # A set goes only to the pairs of buckets where one of its own lists may let it link.
+    going = F.transform(F.filter("members", lambda m: reach(m["n"], m["most"], F.col("other_lo"), F.col("other_hi"))
+                                 & reach(F.col("other_lo"), F.col("other_most"), m["n"], m["n"])), lambda m: m["doc"])
+    pairs = stage(met.join(other, "token").filter(
+        reach(F.col("lo"), F.col("most"), F.col("other_lo"), F.col("other_hi"))
+        & reach(F.col("other_lo"), F.col("other_most"), F.col("lo"), F.col("hi"))
+        & ~F.coalesce(F.col("own") == F.col("other_own"), F.lit(False)))
+        .select(F.least("bucket", "other").alias("i"), F.greatest("bucket", "other").alias("j"), going.alias("docs")), "pairs")
+    sided = stage(pairs.groupBy("i", "j").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))
+                  .select("i", "j", F.explode("docs").alias("doc")), "sided")
     release(met, pairs, spread)
     drop_shuffles(homes.sparkSession)
-    rows = sided.join(members.select("doc", "component"), "doc").join(sets, "doc")
+    rows = sided.join(members.select("doc", "component").join(sets, "doc"), "doc")
     return rows.groupBy("i", "j").applyInPandas(
         lambda pdf: linked_rows(pdf, percent, "component"), "a long, b long")
 

@@ -157,3 +157,23 @@ def test_a_member_of_many_long_lists_is_one_row(spark, monkeypatch):
     got = connected_components(J.heavy_links(lists, sets, 90, 16))
     assert {r["node"]: r["component"] for r in got.collect()} == {d: d % 2 for d in range(50)}
     assert written["held"] == 50 and written["homes"] == 50
+
+
+def test_members_of_a_list_go_only_where_their_place_lets_them_link(spark, monkeypatch):
+    """A passage that many texts hold late in their prefixes does not bring each to all the others."""
+    shown = []
+
+    def kept(df, label="stage"):
+        out = stage(df, label)
+        if label == "sided":
+            shown.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "stage", kept)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join(passage + [f"q{i}x{k}" for k in range(rng.randrange(2, 9))]) for i in range(400)]
+    texts += [" ".join([f"r{i}"] * (i % 2) + passage + [f"s{i // 40}x{k}" for k in range(12)]) for i in range(80)]
+    rows = list(enumerate(texts))
+    assert found(spark, rows, percent=80, size=5, heavy=4, bucket=8, counted=False) == brute(rows, 80, 5)
+    assert 0 < shown[0] < 1000
