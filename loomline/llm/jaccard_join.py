@@ -25,6 +25,12 @@ buckets of bounded size, and each pair of buckets that a list connects is compar
 unless both are of one component. Tasks return spanning forests of links, and all links
 are verified by exact intersection sizes.
 
+Before whole sets are shuffled, candidates meet by *parity maps*: a bit for each bucket of
+hashes, about one bit a shingle, set where the bucket holds an odd number of shingles. A
+shingle that only one of two sets holds changes one bit, so sets whose maps differ in more
+bits than linked sets of their sizes may differ in shingles do not link, and no link is
+lost. Only sets that may link by their maps are made whole.
+
 The *boundary* between small and large minimises the estimated cost from the
 histogram of sizes and the mean length of lists. Sets a little below the boundary
 are in the index too, so pairs across it are found.
@@ -44,7 +50,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,6 +110,33 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+def parity_map(s: np.ndarray) -> bytes:
+    """A bit for each bucket of hashes, as many as a power of two not below the set's size:
+    whether an odd number of the set's shingles lies in it."""
+    width = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(maps: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sets that may link by their maps; a map is folded to meet a shorter one."""
+    words = [np.frombuffer(m, dtype=np.uint64) for m in maps]
+    widths = np.array([len(w) for w in words])
+    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for width in np.unique(widths):
+        folds = [(k, np.flatnonzero(widths == width << k)) for k in range((100 // percent).bit_length() + 1)]
+        at = np.concatenate([here for _, here in folds])
+        table = np.array([np.bitwise_xor.reduce(words[i].reshape(1 << k, width), axis=0)
+                          for k, here in folds for i in here])
+        for k in range(len(folds[0][1])):
+            total = sizes[at[k]] + sizes[at[k + 1:]]
+            most = total - 2 * -(-percent * total // (100 + percent))
+            near = np.flatnonzero(np.bitwise_count(table[k + 1:] ^ table[k]).sum(axis=1, dtype=np.int64) <= most)
+            a.append(np.full(len(near), at[k]))
+            b.append(at[k + 1 + near])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def frequency_order(docs: DataFrame, size: int) -> np.ndarray:
     """A class of frequency for each bucket of shingle hashes; 0 where none repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +157,8 @@ def frequency_order(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> DataFrame:
-    """``doc_id, n``, a 128-bit key of the set, its prefix in order, and the whole set if
-    it is small."""
+    """``doc_id, n``, a 128-bit key of the set, its prefix in order, the whole set if it is
+    small, and its parity map."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -138,14 +171,17 @@ def signatures(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> D
                     prefix = s[first[:prefix_size(n, percent) if n else 0]]
                     out.append((n, int(s.sum(dtype=np.uint64).astype(np.int64)),
                                 int(mix(s).sum(dtype=np.uint64).astype(np.int64)),
-                                prefix.view(np.int64), s.tobytes() if n <= SMALL_LIMIT else None))
-                n, k1, k2, tokens, small = zip(*out)
+                                prefix.view(np.int64), s.tobytes() if n <= SMALL_LIMIT else None,
+                                parity_map(s)))
+                n, k1, k2, tokens, small, parity = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
                      pa.array(k2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-                     pa.array(small, pa.binary())], ["doc_id", "n", "k1", "k2", "tokens", "small"])
+                     pa.array(small, pa.binary()), pa.array(parity, pa.binary())],
+                    ["doc_id", "n", "k1", "k2", "tokens", "small", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens array<long>, small binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens array<long>, small binary, "
+                                "parity binary")
 
 
 def counted_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -169,16 +205,17 @@ def counted_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     out.append((n, int(s.sum(dtype=np.uint64).astype(np.int64)),
                                 int(mix(s).sum(dtype=np.uint64).astype(np.int64)),
                                 s[:int(per_level.sum())].view(np.int64), per_level.tolist(),
-                                s.tobytes() if n <= SMALL_LIMIT else None))
-                n, k1, k2, tokens, per_level, small = zip(*out)
+                                s.tobytes() if n <= SMALL_LIMIT else None, parity_map(s)))
+                n, k1, k2, tokens, per_level, small, parity = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
                      pa.array(k2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-                     pa.array(per_level, pa.list_(pa.int32())), pa.array(small, pa.binary())],
-                    ["doc_id", "n", "k1", "k2", "tokens", "emitted", "small"])
+                     pa.array(per_level, pa.list_(pa.int32())), pa.array(small, pa.binary()),
+                     pa.array(parity, pa.binary())],
+                    ["doc_id", "n", "k1", "k2", "tokens", "emitted", "small", "parity"])
 
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens array<long>, "
-                                "emitted array<int>, small binary")
+                                "emitted array<int>, small binary, parity binary")
 
 
 def choose_boundary(sets: DataFrame, percent: int, scan_weight: float = 8.0) -> int:
@@ -339,6 +376,22 @@ def light_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return grouped.select(F.inline(pairs)).distinct()
 
 
+def close_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their maps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in (2, 3)]
+            x, y = (batch.column(c).to_pylist() for c in (4, 5))
+            keep = [len(may_link([x[i], y[i]], np.array([sizes[0][i], sizes[1][i]]), percent)[0]) > 0
+                    for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = maps.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
+    right = maps.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(
+        run, "a long, b long")
+
+
 def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,21 +410,41 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         run, "a long, b long")
 
 
-def heavy_links(lists: DataFrame, sets: DataFrame, percent: int, bucket: int) -> DataFrame:
+Sets = Callable[[DataFrame], DataFrame]  # the whole sets ``(doc, set)`` of ids, and of a few more
+
+
+def maps_of(sets: DataFrame) -> DataFrame:
+    """``(doc, n, parity)`` of whole sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in some], pa.int64()),
+                 pa.array([parity_map(s) for s in some], pa.binary())], ["doc", "n", "parity"])
+
+    return sets.select("doc", "set").mapInArrow(run, "doc long, n long, parity binary")
+
+
+def heavy_links(lists: DataFrame, sets: DataFrame | Sets, percent: int, bucket: int,
+                maps: DataFrame | None = None) -> DataFrame:
     """Links between members of long lists, enough of them to connect what links.
 
+    ``sets`` holds the whole sets, or makes them of ids, then with ``maps(doc, n, parity)``.
+
     Lists that share members are one cluster (the shingles of a common passage, say).
     First the members of a cluster are compared in chunks that its pivots join, then
     those that lie in different components, in buckets of like size.
     """
+    of: Sets = sets if maps is not None else lambda ids: sets
+    maps = maps if maps is not None else stage(maps_of(sets), "maps")
     held = stage(held_lists(lists), "held")
     clusters = connected_components(held.select(F.explode("tokens").alias("a"), F.array_min("tokens").alias("b")))
     homes = stage(held.select("doc", "n", F.array_min("tokens").alias("token")).join(clusters.withColumnRenamed("node", "token"), "token", "left").select(
         "doc", "n", F.coalesce("component", "token").alias("home")), "homes")
     drop_shuffles(lists.sparkSession)
-    near = stage(chunk_links(homes, sets, percent, bucket), "near")
+    near = stage(chunk_links(homes, of, maps, percent, bucket), "near")
     drop_shuffles(lists.sparkSession)
-    far = stage(bucket_links(homes, held, sets, near, percent, bucket), "far")
+    far = stage(bucket_links(homes, held, of, maps, near, percent, bucket), "far")
     release(homes, held)
     return near.unionByName(far)
 
@@ -393,7 +466,7 @@ def largest_partner(n: Column, pos: Column, percent: int) -> Column:
     return F.least(F.floor(n * 100 / percent), F.floor((n - pos) * (100 + percent) / percent) - n)
 
 
-def chunk_links(homes: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+def chunk_links(homes: DataFrame, sets: Sets, maps: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Links inside chunks of a cluster; the pivots of the cluster are in each chunk."""
     pivots = stage(top_per_group(homes, ["home"], [F.xxhash64("doc"), F.col("doc")], PIVOTS, F.col("doc"))
                    .select("home", "doc"), "pivots")
@@ -404,11 +477,24 @@ def chunk_links(homes: DataFrame, sets: DataFrame, percent: int, chunk: int) ->
         "home", "doc", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int").alias("part"))
     shown = pivots.join(parts.filter("parts > 1"), "home").select(
         "home", "doc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = own.unionByName(shown).distinct().join(sets, "doc")
-    return rows.groupBy("home", "part").applyInPandas(
+    rows = own.unionByName(shown).distinct().join(maps, "doc")
+    able = stage(rows.groupBy("home", "part").applyInPandas(
+        lambda pdf: able_rows(pdf, percent)[["home", "part", "doc"]], "home long, part int, doc long"), "able")
+    drop_shuffles(homes.sparkSession)
+    return able.join(sets(able.select("doc")), "doc").groupBy("home", "part").applyInPandas(
         lambda pdf: linked_rows(pdf, percent), "a long, b long")
 
 
+def able_rows(pdf: pd.DataFrame, percent: int, sides: str | None = None) -> pd.DataFrame:
+    """The rows of a group that may link with another of them by their maps; with ``sides``
+    with one that differs in it."""
+    a, b = may_link(list(pdf["parity"]), pdf["n"].to_numpy(), percent)
+    if sides is not None:
+        across = pdf[sides].to_numpy()[a] != pdf[sides].to_numpy()[b]
+        a, b = a[across], b[across]
+    return pdf.iloc[np.unique(np.r_[a, b])]
+
+
 def linked_rows(pdf: pd.DataFrame, percent: int, sides: str | None = None) -> pd.DataFrame:
     """A spanning forest of the links of a group's rows; with ``sides`` of those between
     rows that differ in it."""
@@ -422,8 +508,8 @@ def linked_rows(pdf: pd.DataFrame, percent: int, sides: str | None = None) -> pd
     return pd.DataFrame({"a": docs[moved], "b": docs[root[moved]]})
 
 
-def bucket_links(homes: DataFrame, held: DataFrame, sets: DataFrame, near: DataFrame, percent: int,
-                 bucket: int) -> DataFrame:
+def bucket_links(homes: DataFrame, held: DataFrame, sets: Sets, maps: DataFrame, near: DataFrame,
+                 percent: int, bucket: int) -> DataFrame:
     """Links between components that a list connects, by pairs of buckets."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     joined = connected_components(near)
@@ -468,8 +554,13 @@ def bucket_links(homes: DataFrame, held: DataFrame, sets: DataFrame, near: DataF
                   .select("i", "j", F.explode("docs").alias("doc")), "sided")
     release(met, pairs, spread)
     drop_shuffles(homes.sparkSession)
-    rows = sided.join(members.select("doc", "component").join(sets, "doc"), "doc")
-    return rows.groupBy("i", "j").applyInPandas(
+    rows = sided.join(members.select("doc", "component").join(maps, "doc"), "doc")
+    able = stage(rows.groupBy("i", "j").applyInPandas(
+        lambda pdf: able_rows(pdf, percent, "component")[["i", "j", "doc", "component"]],
+        "i long, j long, doc long, component long"), "able")
+    release(sided)
+    drop_shuffles(homes.sparkSession)
+    return able.join(sets(able.select("doc")), "doc").groupBy("i", "j").applyInPandas(
         lambda pdf: linked_rows(pdf, percent, "component"), "a long, b long")
 
 
@@ -512,6 +603,7 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     sets = stage(named.join(classes.select(F.col("class_id").alias("doc_id"), "n", "k1", "k2"),
                             ["doc_id", "n", "k1", "k2"], "left_semi")
                  .drop("k1", "k2"), "sets")
+    every_map = stage(sets.select(F.col("doc_id").alias("doc"), "n", "parity"), "maps")
 
     # What is left to read of the signatures is slim; their shingles go once they are used.
     slim = stage(signed.select("doc_id", "n", "k1", "k2"), "slim")
@@ -534,19 +626,33 @@ def join_similar(docs: DataFrame, percent: int = 90, size: int = 3, heavy: int =
     drop_shuffles(spark)
     short, long_ = lists.filter(F.col("len") <= heavy), lists.filter(F.col("len") > heavy)
     pairs = stage(light_pairs(short, percent), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))) \
-        .unionByName(long_.select(F.col("doc").alias("doc_id"))).distinct()
-    full = stage(whole_sets(texts, stage(ids, "ids"), size), "wholes")
-    with rows_at_once(spark, PAIRS_AT_ONCE):
-        edges.append(stage(verified_pairs(pairs, full, percent), "edges"))
+    wholes: list[DataFrame] = []
+
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("a", "b")).alias("doc"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = stage(ids.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+        wholes.append(stage(whole_sets(texts, asked, size), "wholes"))
+        release(asked)
+        return wholes[-1]
+
+    asked = ends(pairs).unionByName(long_.select("doc")).distinct()
+    maps = stage(every_map.join(asked, "doc"), "maps")
+    release(every_map)
+    close = stage(close_pairs(pairs, maps, percent), "close")
     release(pairs)
+    full = sets_of(ends(close))
+    with rows_at_once(spark, PAIRS_AT_ONCE):
+        edges.append(stage(verified_pairs(close, full, percent), "edges"))
+    release(close, full)
     drop_shuffles(spark)
-    edges.append(heavy_links(long_, full, percent, bucket))
+    edges.append(heavy_links(long_, sets_of, percent, bucket, maps))
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
     links = stage(links.distinct(), "links")
-    release(full, lists, *edges[:-1])
+    release(lists, maps, *wholes[1:], *edges[:-1])
     drop_shuffles(spark)
     components = connected_components(links)
     out = slim.join(classes, ["n", "k1", "k2"], "left").join(

@@ -177,3 +177,36 @@ def test_members_of_a_list_go_only_where_their_place_lets_them_link(spark, monke
     rows = list(enumerate(texts))
     assert found(spark, rows, percent=80, size=5, heavy=4, bucket=8, counted=False) == brute(rows, 80, 5)
     assert 0 < shown[0] < 1000
+
+
+def test_maps_lose_no_link():
+    """Sets that link may link by their maps, also across widths; sets that share a passage may not."""
+    rng = np.random.default_rng(5)
+    base = J.mix(rng.integers(0, 2 ** 60, 130, dtype=np.uint64))
+    sets = [np.unique(np.r_[base[rng.random(130) < p], J.mix(rng.integers(0, 2 ** 60, k, dtype=np.uint64))])
+            for p in (1.0, 0.97, 0.93, 0.6) for k in (0, 3, 12, 200) for _ in range(6)] + [np.empty(0, dtype=np.uint64)]
+    sizes = np.array([len(s) for s in sets])
+    for percent in (40, 80, 90):
+        a, b = J.may_link([J.parity_map(s) for s in sets], sizes, percent)
+        able = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+        linked = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in J.linked_in_block(sets, percent)))}
+        assert linked and linked <= able
+    assert len(able) < len(sets) * (len(sets) - 1) / 4  # most pairs go
+
+
+def test_only_sets_that_may_link_are_made_whole(spark, monkeypatch):
+    """A passage in many texts brings their maps together, not their whole sets."""
+    made = []
+
+    def kept(df, label="stage"):
+        out = stage(df, label)
+        if label == "wholes":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "stage", kept)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"q{i}x{k}" for k in range(30))) for i in range(300)]
+    rows += [(1000 + i, " ".join([f"r{i}"] + [f"s{i // 2}x{k}" for k in range(60)])) for i in range(20)]
+    assert found(spark, rows, percent=80, size=5, heavy=4, bucket=16, counted=False) == brute(rows, 80, 5)
+    assert made and sum(made) < 60
