@@ -280,6 +280,25 @@ def test_states_sum_to_one(spark):
             assert (ratio * tree.root).sum() == pytest.approx(1.0)
 
 
+def test_entries_that_no_task_holds_count(spark):
+    """Which entries tasks hold changes neither totals, states nor scores."""
+    rows = list(enumerate(sentences(600)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.select(F.col("text").cast("binary").alias("text"))
+    few, all_ = S.Settings(depth=2, context_share=2e-3, entry_share=2e-3), S.Settings(depth=2, context_share=2e-3, entry_share=1e-9)
+    after: dict = {}
+    for _, text in rows:
+        words = text.lower().split()
+        for word in words:  # a word is a context once, whatever follows
+            after[word] = after.get(word, 0) + 1
+    (tree, counts), (whole, _) = S.fit(texts, few), S.fit(texts, all_)
+    assert len(tree.levels[0].entries) < len(whole.levels[0].entries) == counts.entries[0].count()
+    assert sorted(tree.levels[0].total) == sorted(after.values())
+    assert [list(level.state) for level in tree.levels] == [list(level.state) for level in whole.levels]
+    got, wanted = ({r["doc_id"]: r["score"] for r in S.learn_and_score(df, F.lit(True), s).collect()} for s in (few, all_))
+    assert len(got) == len(rows) and all(got[i] == pytest.approx(wanted[i]) for i in got)
+
+
 def test_tree_edges(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     got = S.learn_and_score(df, F.lit(True)).collect()
