@@ -14,7 +14,7 @@ from loomline.plans.mining import assign_lines, mine_templates
 from loomline.queries import inputs as I
 from loomline.queries.blocking import block_templates, sql_block_templates
 from loomline.queries.registry import query
-from loomline.session import stage
+from loomline.session import drop_shuffles, stage
 
 PLAIN = MinerOptions()
 
@@ -44,12 +44,15 @@ UNION ALL SELECT 'never', * FROM never
 UNION ALL SELECT 'fallback', shape_id, coalesce(n.template_id, a.template_id)
 FROM always a LEFT JOIN never n USING (shape_id)""")
 def match_lines(spark, sf_dir):
-    """Document shapes against templates folded from finer blocks."""
+    """Document shapes against templates folded from finer blocks. Each strategy is written
+    before the next, so that the shuffle files of one lie on the disks at a time."""
     shapes = stage(I.document_shapes(spark, sf_dir), "shapes")
     catalog = stage(block_templates(shapes, MinerOptions(depth=5)), "catalog")
-    parts = [M.match_lines(shapes, catalog, PLAIN, s).select(
-        F.lit(s).alias("strategy"), "shape_id", "template_id")
-        for s in ("always", "never", "fallback")]
+    parts = []
+    for s in ("always", "never", "fallback"):
+        drop_shuffles(spark)
+        parts.append(stage(M.match_lines(shapes, catalog, PLAIN, s).select(
+            F.lit(s).alias("strategy"), "shape_id", "template_id"), "matched"))
     return reduce(DataFrame.unionByName, parts)
 
 
