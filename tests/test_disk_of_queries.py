@@ -50,3 +50,19 @@ def test_vetoes_keep_the_tagged_shapes_only(spark, documents, monkeypatch, name)
 
     assert [label for label in written if exists(label)] == ["tagged"]
     assert found.count() == found.select(F.col("shape_id")).distinct().count() > 50
+
+
+def test_spoken_lines_are_folded_before_the_last_join(spark, documents, monkeypatch):
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(["red door of", "red blue of\nopens", "", None])],
+                          "conv_id long, turn int, role string, text string").write.parquet(f"{documents}/conversations.parquet")
+    steps = []
+
+    def kept(df, label="stage"):
+        steps.append(label)
+        return stage(df, label)
+
+    monkeypatch.setattr(comparing, "stage", kept)
+    monkeypatch.setattr(comparing, "drop_shuffles", lambda spark: steps.append("dropped"))
+    found = comparing.seen_token_similarity(spark, documents)
+    assert steps == ["shapes", "templates", "dropped", "seen", "shapes", "dropped"]
+    assert found.count() == found.select("shape_id").distinct().count() > 5
